@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickledger.functions.once import evaluate_once
+
 MINUTE_US = 60_000_000
 SECOND_US = 1_000_000
 MINUTES_PER_DAY = 1440
@@ -90,50 +92,84 @@ def _number(text: Column, names: dict) -> Column:
     return F.coalesce(F.try_element_at(_constant_map(names), F.lower(text)), digits)
 
 
-def _field_mask(text: Column, low: int, high: int, names: dict) -> Column:
-    """Mask of one field, or null when it breaks a rule.
+def _list_mask(text: Column, low: int, high: int, names: dict) -> Column:
+    """Mask of a comma list of numbers, names, ranges and steps.
 
-    Plain stars and plain numbers, the bulk of real schedules, take the first two branches.
+    Each ``transform`` is one stage whose values the next one reuses, so every item is split once.
     """
+    pieces = F.transform(
+        F.filter(F.split(text, ",", -1), lambda item: item != ""),
+        lambda item: F.struct(
+            F.split(F.substring_index(item, "/", 1), "-", -1).alias("span"),
+            F.split(item, "/", -1).alias("parts"),
+        ),
+    )
+    numbers = F.transform(
+        pieces,
+        lambda p: F.struct(
+            p["span"][0].isin("*", "?").alias("star"),
+            F.size(p["span"]).alias("ends"),
+            F.size(p["parts"]).alias("parts"),
+            _number(p["span"][0], names).alias("first"),
+            _number(F.get(p["span"], F.lit(1)), names).alias("last"),
+            F.when(F.size(p["parts"]) == 1, F.lit(1))
+            .otherwise(_number(F.get(p["parts"], F.lit(1)), {}))
+            .alias("step"),
+        ),
+    )
+    open_ended = lambda n: (n["ends"] == 1) & (n["parts"] == 2)
+    bounds = F.transform(
+        numbers,
+        lambda n: F.struct(
+            ((n["parts"] <= 2) & (n["star"] | (n["ends"] <= 2)) & (n["step"] > 0)).alias("shaped"),
+            F.when(n["star"], F.lit(low)).otherwise(n["first"]).alias("first"),
+            F.when(n["star"] | open_ended(n), F.lit(high))
+            .when(n["ends"] == 1, n["first"])
+            .otherwise(n["last"])
+            .alias("last"),
+            n["step"].alias("step"),
+        ),
+    )
+    masks = F.transform(
+        bounds,
+        lambda b: F.when(
+            b["shaped"] & (b["first"] >= low) & (b["last"] <= high) & (b["first"] <= b["last"]),
+            F.aggregate(
+                F.sequence(b["first"], b["last"], b["step"]),
+                F.lit(0).cast("bigint"),
+                lambda acc, x: acc.bitwiseOR(_bit(x)),
+            ),
+        ),
+    )
+    # a null item makes the field null
+    return F.aggregate(masks, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
-    def item_mask(item: Column) -> Column:
-        parts = F.split(item, "/", -1)
-        span = F.split(parts[0], "-", -1)
-        star = span[0].isin("*", "?")
-        single = F.size(span) == 1
-        stepped = F.size(parts) == 2
-        first = F.when(star, F.lit(low)).otherwise(_number(span[0], names))
-        last = (
-            F.when(star | (single & stepped), F.lit(high))
-            .when(single, first)
-            .otherwise(_number(F.get(span, F.lit(1)), names))
-        )
-        step = F.when(stepped, _number(F.get(parts, F.lit(1)), {})).otherwise(F.lit(1))
-        valid = (
-            (F.size(parts) <= 2)
-            & (star | (F.size(span) <= 2))
-            & (first >= low)
-            & (last <= high)
-            & (first <= last)
-            & (step > 0)
-        )
-        bits = F.aggregate(
-            F.sequence(first, last, step), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(_bit(x))
-        )
-        return F.when(valid, bits)
 
-    items = F.filter(F.split(text, ",", -1), lambda x: x != "")
-    every_item = F.aggregate(
-        F.transform(items, item_mask),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc.bitwiseOR(x),  # a null item makes the field null
-    )
+def _field_mask(text: Column, low: int, high: int, names: dict) -> Column:
+    """Mask of one field, or null when it breaks a rule.
+
+    Stars, plain numbers, ranges and stepped stars, the bulk of real schedules, need no array.
+    """
     full = sum(1 << i for i in range(low, high + 1))
+    stepped = {n: sum(1 << i for i in range(low, high + 1, n)) for n in range(1, high + 1)}
     plain = F.when(text.rlike(r"^\d{1,2}$"), text.cast("int"))
+    is_step = text.rlike(r"^\*/[1-9]\d?$")
+    step = F.when(is_step, F.substring(text, 3, 2).cast("int"))
+    is_range = text.rlike(r"^\d{1,2}-\d{1,2}$")
+    first = F.when(is_range, F.substring_index(text, "-", 1).cast("int"))
+    last = F.when(is_range, F.substring_index(text, "-", -1).cast("int"))
     return (
         F.when(text.isin("*", "?"), F.lit(full).cast("bigint"))
-        .when(plain.between(low, high), _bit(plain))
-        .otherwise(every_item)
+        .when(plain.isNotNull(), F.when(plain.between(low, high), _bit(plain)))
+        .when(
+            is_step,
+            F.coalesce(F.try_element_at(_constant_map(stepped), step), F.lit(1 << low)).cast("bigint"),
+        )
+        .when(
+            is_range,
+            F.when((first >= low) & (first <= last) & (last <= high), _bit(last + 1) - _bit(first)),
+        )
+        .otherwise(_list_mask(text, low, high, names))
     )
 
 
@@ -190,13 +226,14 @@ def parse(df: DataFrame, cron: str = "cron") -> DataFrame:
         .when(~F.col("_five"), "expected 5 fields")
         .otherwise(F.coalesce(*field_errors))
     )
-    return (
+    parsed = (
         out.withColumn("cron_kind", kind)
         .withColumn("cron_error", error)
         .withColumn("dom_star", F.col("_five") & _is_star(F.get(F.col("_fields"), F.lit(2))))
         .withColumn("dow_star", F.col("_five") & _is_star(F.get(F.col("_fields"), F.lit(4))))
         .drop("_fields", "_five")
     )
+    return evaluate_once(parsed, *PARSED)
 
 
 @dataclass(frozen=True)
@@ -300,9 +337,8 @@ def with_next_match(df: DataFrame, after: str, out: str) -> DataFrame:
     )
     of_day = F.coalesce(F.col("_same_day"), lowest_bit(hours) * 60 + first_minute)
     value = (F.col("_next_day").cast("bigint") * MINUTES_PER_DAY + of_day) * MINUTE_US
-    return step.withColumn(out, F.when(F.col("_m").isNotNull(), value)).drop(
-        "_m", "_day", "_h", "_mi", "_date", "_in_hour", "_in_day", "_same_day", "_in_month", "_later_month", "_next_day"
-    )
+    found = step.withColumn(out, F.when(F.col("_m").isNotNull(), value)).select(*df.columns, out)
+    return evaluate_once(found, out)
 
 
 def truncate_second(micros: Column) -> Column:

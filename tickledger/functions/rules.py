@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickledger import schemas as S
 from tickledger.functions import cron as C
+from tickledger.functions.once import evaluate_once
 
 
 def method_name(method: Column) -> Column:
@@ -61,7 +62,7 @@ def with_create_error(df: DataFrame, create: str = "create", out: str = "error",
         .when(F.col("cron_kind") == "error", F.concat(sched, F.lit("invalid cron: "), F.col("cron_error")))
         .when(schedule["start_time"].isNull(), F.concat(sched, F.lit("start time required")))
     )
-    return checked.withColumn(out, error).select(*columns, out)
+    return evaluate_once(checked.withColumn(out, error).select(*columns, out), out)
 
 
 def default_start(create: Column, now: dt.datetime) -> Column:

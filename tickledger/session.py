@@ -37,6 +37,7 @@ def local_session(app: str = "tickledger", cores: str | int = "*", **extra: str)
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.python.unix.domain.socket.enabled", "true")
