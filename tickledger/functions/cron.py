@@ -1,15 +1,14 @@
 """Cron texts as bit masks, and next-match search as plain integer arithmetic.
 
 A five-field text becomes five long masks (bit n set = value n matches). Searching the next
-matching instant is then a handful of shifts and bit counts, which stay inside whole-stage code
-generation: no Python worker, no lookup table and no join, so a cron text that a third of all
-timers share costs no more than any other.
+matching instant is then a handful of shifts and bit counts: no Python worker, no lookup table and
+no join, so a cron text that a third of all timers share costs no more than any other.
+
+The expressions are written as SQL text, which keeps a plan of this size quick to build.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +48,8 @@ UNIT_NANOS = {
     "m": 60 * 10**9,
     "h": 3600 * 10**9,
 }
-DURATION = r"^[-+]?(?:0|(?:(?:\d+\.?\d*|\.\d+)(?:ns|us|µs|μs|ms|s|m|h))+)$"
-DURATION_PART = r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h)"
+_AMOUNT = "([0-9]+[.]?[0-9]*|[.][0-9]+)"
+_UNIT = "(" + "|".join(UNIT_NANOS) + ")"
 
 # A weekly pattern repeated six times: 42 days, enough for a month starting on any weekday.
 WEEK_REPEAT = sum(1 << (7 * i) for i in range(6))
@@ -59,287 +58,199 @@ MASKS = [f"{name}_mask" for name, *_ in FIELDS]
 PARSED = ["cron_kind", "every_s", *MASKS, "dom_star", "dow_star", "cron_error"]
 
 
-def _constant_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
+def _sql(value) -> str:
+    return f"'{value}'" if isinstance(value, str) else f"{value}L" if abs(value) >= 1 << 31 else str(value)
 
 
-def _from_bit(position: Column) -> Column:
-    """Mask of all bits at and above a position."""
-    return F.call_function("shiftleft", F.lit(-1).cast("bigint"), position.cast("int"))
+def _map(values: dict) -> str:
+    return "map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in values.items()) + ")"
 
 
-def _has(mask: Column, position: Column) -> Column:
-    return F.call_function("shiftright", mask, position.cast("int")).bitwiseAND(F.lit(1)) == 1
+def _lowest(mask: str) -> str:
+    """Position of the lowest set bit of a mask that is not zero."""
+    return f"bit_count(({mask} & -({mask})) - 1)"
 
 
-def lowest_bit(mask: Column) -> Column:
-    """Position of the lowest set bit; the mask must not be zero."""
-    return F.bit_count(mask.bitwiseAND(-mask) - 1)
+def _has(mask: str, position: str) -> str:
+    return f"((shiftright({mask}, {position}) & 1L) = 1L)"
 
 
-def mask_to_array(mask: Column, low: int, high: int) -> Column:
-    return F.filter(F.sequence(F.lit(low), F.lit(high)), lambda x: _has(mask, x))
+def _number(text: str, names: dict) -> str:
+    digits = f"CASE WHEN {text} RLIKE '^[+]?[0-9]{{1,9}}$' THEN int(replace({text}, '+', '')) END"
+    return f"coalesce(try_element_at({_map(names)}, lower({text})), {digits})" if names else digits
 
 
-def _number(text: Column, names: dict) -> Column:
-    digits = F.when(text.rlike(r"^\+?\d{1,9}$"), F.replace(text, F.lit("+"), F.lit("")).cast("int"))
-    if not names:
-        return digits
-    return F.coalesce(F.try_element_at(_constant_map(names), F.lower(text)), digits)
+def _bits_of(sequence: str) -> str:
+    return f"aggregate({sequence}, 0L, (acc, x) -> acc | shiftleft(1L, x))"
 
 
-def _list_mask(text: Column, low: int, high: int, names: dict) -> Column:
-    """Mask of a comma list of numbers, names, ranges and steps.
+def _list_mask(text: str, low: int, high: int, names: dict) -> str:
+    """Mask of a comma list of numbers, names, ranges and steps; null when an item is wrong.
 
-    Each ``transform`` is one stage whose values the next one reuses, so every item is split once.
+    Each ``transform`` is one stage whose values the next one reuses, so an item is split once.
     """
-    pieces = F.transform(
-        F.filter(F.split(text, ",", -1), lambda item: item != ""),
-        lambda item: F.struct(
-            F.split(F.substring_index(item, "/", 1), "-", -1).alias("span"),
-            F.split(item, "/", -1).alias("parts"),
-        ),
+    items = f"filter(split({text}, ','), i -> i <> '')"
+    pieces = f"transform({items}, i -> struct(split(substring_index(i, '/', 1), '-') AS span, split(i, '/') AS parts))"
+    numbers = (
+        f"transform({pieces}, p -> struct(p.span[0] IN ('*', '?') AS star, size(p.span) AS ends, size(p.parts) AS parts, "
+        f"{_number('p.span[0]', names)} AS first, {_number('get(p.span, 1)', names)} AS last, "
+        f"CASE WHEN size(p.parts) = 1 THEN 1 ELSE {_number('get(p.parts, 1)', {})} END AS step))"
     )
-    numbers = F.transform(
-        pieces,
-        lambda p: F.struct(
-            p["span"][0].isin("*", "?").alias("star"),
-            F.size(p["span"]).alias("ends"),
-            F.size(p["parts"]).alias("parts"),
-            _number(p["span"][0], names).alias("first"),
-            _number(F.get(p["span"], F.lit(1)), names).alias("last"),
-            F.when(F.size(p["parts"]) == 1, F.lit(1))
-            .otherwise(_number(F.get(p["parts"], F.lit(1)), {}))
-            .alias("step"),
-        ),
+    bounds = (
+        f"transform({numbers}, n -> struct(n.parts <= 2 AND (n.star OR n.ends <= 2) AND n.step > 0 AS shaped, "
+        f"CASE WHEN n.star THEN {low} ELSE n.first END AS first, "
+        f"CASE WHEN n.star OR (n.ends = 1 AND n.parts = 2) THEN {high} WHEN n.ends = 1 THEN n.first ELSE n.last END AS last, "
+        "n.step AS step))"
     )
-    open_ended = lambda n: (n["ends"] == 1) & (n["parts"] == 2)
-    bounds = F.transform(
-        numbers,
-        lambda n: F.struct(
-            ((n["parts"] <= 2) & (n["star"] | (n["ends"] <= 2)) & (n["step"] > 0)).alias("shaped"),
-            F.when(n["star"], F.lit(low)).otherwise(n["first"]).alias("first"),
-            F.when(n["star"] | open_ended(n), F.lit(high))
-            .when(n["ends"] == 1, n["first"])
-            .otherwise(n["last"])
-            .alias("last"),
-            n["step"].alias("step"),
-        ),
+    masks = (
+        f"transform({bounds}, b -> CASE WHEN b.shaped AND b.first >= {low} AND b.last <= {high} AND b.first <= b.last "
+        f"THEN {_bits_of('sequence(b.first, b.last, b.step)')} END)"
     )
-    masks = F.transform(
-        bounds,
-        lambda b: F.when(
-            b["shaped"] & (b["first"] >= low) & (b["last"] <= high) & (b["first"] <= b["last"]),
-            F.aggregate(
-                F.sequence(b["first"], b["last"], b["step"]),
-                F.lit(0).cast("bigint"),
-                lambda acc, x: acc.bitwiseOR(_bit(x)),
-            ),
-        ),
-    )
-    # a null item makes the field null
-    return F.aggregate(masks, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
-
+    return f"aggregate({masks}, 0L, (acc, x) -> acc | x)"
 
-def _field_mask(text: Column, low: int, high: int, names: dict) -> Column:
-    """Mask of one field, or null when it breaks a rule.
 
-    Stars, plain numbers, ranges and stepped stars, the bulk of real schedules, need no array.
-    """
+def _field_mask(text: str, low: int, high: int, names: dict) -> str:
+    """Mask of one field, or null when it breaks a rule; the common forms need no list."""
     full = sum(1 << i for i in range(low, high + 1))
-    stepped = {n: sum(1 << i for i in range(low, high + 1, n)) for n in range(1, high + 1)}
-    plain = F.when(text.rlike(r"^\d{1,2}$"), text.cast("int"))
-    is_step = text.rlike(r"^\*/[1-9]\d?$")
-    step = F.when(is_step, F.substring(text, 3, 2).cast("int"))
-    is_range = text.rlike(r"^\d{1,2}-\d{1,2}$")
-    first = F.when(is_range, F.substring_index(text, "-", 1).cast("int"))
-    last = F.when(is_range, F.substring_index(text, "-", -1).cast("int"))
+    first, last = f"int(substring_index({text}, '-', 1))", f"int(substring_index({text}, '-', -1))"
     return (
-        F.when(text.isin("*", "?"), F.lit(full).cast("bigint"))
-        .when(plain.isNotNull(), F.when(plain.between(low, high), _bit(plain)))
-        .when(
-            is_step,
-            F.coalesce(F.try_element_at(_constant_map(stepped), step), F.lit(1 << low)).cast("bigint"),
-        )
-        .when(
-            is_range,
-            F.when((first >= low) & (first <= last) & (last <= high), _bit(last + 1) - _bit(first)),
-        )
-        .otherwise(_list_mask(text, low, high, names))
+        f"CASE WHEN {text} IN ('*', '?') THEN bigint({full}) "
+        f"WHEN {text} RLIKE '^[0-9]{{1,2}}$' THEN CASE WHEN int({text}) BETWEEN {low} AND {high} THEN shiftleft(1L, int({text})) END "
+        f"WHEN {text} RLIKE '^[*]/[1-9][0-9]?$' THEN {_bits_of(f'sequence({low}, {high}, int(substring({text}, 3, 2)))')} "
+        f"WHEN {text} RLIKE '^[0-9]{{1,2}}-[0-9]{{1,2}}$' THEN CASE WHEN {first} >= {low} AND {first} <= {last} AND {last} <= {high} "
+        f"THEN shiftleft(1L, {last} + 1) - shiftleft(1L, {first}) END "
+        f"ELSE {_list_mask(text, low, high, names)} END"
     )
 
 
-def _is_star(text: Column) -> Column:
-    return text.rlike(r"(?:^|,)[*?](?:[-/,]|$)")
-
-
-def _every_seconds(text: Column) -> Column:
-    """Whole seconds of an ``@every`` duration, at least one; null when it is not a duration."""
-    body = F.substring(text, len(EVERY) + 1, 1 << 20)
-    numbers = F.regexp_extract_all(body, F.lit(DURATION_PART), 1)
-    units = F.regexp_extract_all(body, F.lit(DURATION_PART), 2)
-    nanos = F.aggregate(
-        F.zip_with(
-            numbers,
-            units,
-            lambda n, u: F.round(n.cast("double") * F.element_at(_constant_map(UNIT_NANOS), u)).cast("bigint"),
-        ),
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc + x,
+def _every_seconds(text: str) -> str:
+    """Whole seconds of a repeat duration, at least one; null when it is not a duration."""
+    body = f"substring({text}, {len(EVERY) + 1})"
+    parts = [f"regexp_extract_all({body}, '{_AMOUNT}{_UNIT}', {group})" for group in (1, 2)]
+    nanos = (
+        f"aggregate(zip_with({parts[0]}, {parts[1]}, (n, u) -> bigint(round(double(n) * element_at({_map(UNIT_NANOS)}, u)))), "
+        "0L, (acc, x) -> acc + x)"
+    )
+    return (
+        f"CASE WHEN {body} RLIKE '^[-+]?(0|({_AMOUNT}{_UNIT})+)$' THEN "
+        f"CASE WHEN startswith({body}, '-') THEN 1L ELSE greatest({nanos} div 1000000000L, 1L) END END"
     )
-    seconds = F.greatest(F.floor(nanos / F.lit(10**9)), F.lit(1)).cast("bigint")
-    return F.when(body.rlike(DURATION), F.when(body.startswith("-"), F.lit(1)).otherwise(seconds))
 
 
 def parse(df: DataFrame, cron: str = "cron") -> DataFrame:
     """Add the parsed form of a cron column (see ``PARSED``)."""
-    text = F.col(cron)
-    standard = F.coalesce(F.try_element_at(_constant_map(SHORTHANDS), text), text)
-    is_every = F.coalesce(text.startswith(EVERY), F.lit(False))
-    out = (
-        df.withColumn("_fields", F.split(F.trim(F.regexp_replace(standard, r"\s+", " ")), " ", -1))
-        .withColumn("every_s", F.when(is_every, _every_seconds(text)))
-        .withColumn("_five", ~is_every & ~F.coalesce(standard.startswith("@"), F.lit(True)) & (F.size("_fields") == 5))
+    text = f"`{cron}`"
+    named = df.selectExpr(
+        "*",
+        f"coalesce(try_element_at({_map(SHORTHANDS)}, {text}), {text}, '') AS _text",
+        f"coalesce(startswith({text}, '{EVERY}'), false) AS _repeats",
     )
-    for i, (name, low, high, names) in enumerate(FIELDS):
-        field = F.get(F.col("_fields"), F.lit(i))
-        out = out.withColumn(f"{name}_mask", F.when(F.col("_five"), _field_mask(field, low, high, names)))
-    masks_ok = F.lit(True)
-    for mask in MASKS:
-        masks_ok = masks_ok & F.col(mask).isNotNull()
-    field_errors = [
-        F.when(F.col(f"{name}_mask").isNull(), F.lit(f"bad {name} field")) for name, *_ in FIELDS
-    ]
-    kind = (
-        F.when(is_every & F.col("every_s").isNotNull(), "every")
-        .when(F.col("_five") & masks_ok, "fields")
-        .otherwise("error")
+    split = named.selectExpr(
+        "*",
+        "split(trim(regexp_replace(_text, '[ \\t\\n\\r]+', ' ')), ' ') AS _fields",
+        f"CASE WHEN _repeats THEN {_every_seconds(text)} END AS every_s",
+    ).selectExpr("*", "NOT startswith(_text, '@') AND size(_fields) = 5 AS _five")
+    masked = split.selectExpr(
+        "*",
+        *[
+            f"CASE WHEN _five THEN {_field_mask(f'_fields[{i}]', low, high, names)} END AS {name}_mask"
+            for i, (name, low, high, names) in enumerate(FIELDS)
+        ],
+        *[f"_five AND get(_fields, {i}) RLIKE '(^|,)[*?]([-/,]|$)' AS {name}_star" for i, name in ((2, "dom"), (4, "dow"))],
     )
+    wrong_field = ", ".join(f"CASE WHEN {name}_mask IS NULL THEN 'bad {name} field' END" for name, *_ in FIELDS)
     error = (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty text")
-        .when(is_every, F.when(F.col("every_s").isNull(), F.lit("bad duration")))
-        .when(standard.startswith("@"), "unknown descriptor")
-        .when(~F.col("_five"), "expected 5 fields")
-        .otherwise(F.coalesce(*field_errors))
-    )
-    parsed = (
-        out.withColumn("cron_kind", kind)
-        .withColumn("cron_error", error)
-        .withColumn("dom_star", F.col("_five") & _is_star(F.get(F.col("_fields"), F.lit(2))))
-        .withColumn("dow_star", F.col("_five") & _is_star(F.get(F.col("_fields"), F.lit(4))))
-        .drop("_fields", "_five")
+        "CASE WHEN _text = '' THEN 'empty text' WHEN _repeats THEN CASE WHEN every_s IS NULL THEN 'bad duration' END "
+        "WHEN startswith(_text, '@') THEN 'unknown descriptor' WHEN NOT _five THEN 'expected 5 fields' "
+        f"ELSE coalesce({wrong_field}) END"
     )
-    return evaluate_once(parsed, *PARSED)
+    judged = masked.selectExpr(*_quoted(df.columns), *PARSED[1:-1], "_repeats", f"{error} AS cron_error")
+    kind = "CASE WHEN cron_error IS NOT NULL THEN 'error' WHEN _repeats THEN 'every' ELSE 'fields' END AS cron_kind"
+    return evaluate_once(judged.selectExpr(*_quoted(df.columns), kind, *PARSED[1:]), *PARSED)
 
 
-@dataclass(frozen=True)
-class Day:
-    """Parts of a day given as days since 1970-01-01."""
+def _quoted(columns: list[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
 
-    number: Column
 
-    @property
-    def date(self) -> Column:
-        return F.date_from_unix_date(self.number.cast("int"))
-
-    @property
-    def weekday(self) -> Column:
-        return F.pmod(self.number + 4, F.lit(7)).cast("int")
-
-
-def day_matches(day: Column) -> Column:
+def day_matches_sql(day: str) -> str:
     """Whether a day number (days since 1970-01-01) is a day of the schedule in scope."""
-    d = Day(day)
-    dom = _has(F.col("dom_mask"), F.dayofmonth(d.date))
-    dow = _has(F.col("dow_mask"), d.weekday)
-    both = F.col("dom_star") | F.col("dow_star")
-    return _has(F.col("month_mask"), F.month(d.date)) & F.when(both, dom & dow).otherwise(dom | dow)
+    date = f"date_from_unix_date(int({day}))"
+    dom = _has("dom_mask", f"dayofmonth({date})")
+    dow = _has("dow_mask", f"int(pmod({day} + 4, 7))")
+    return (
+        f"({_has('month_mask', f'month({date})')} AND "
+        f"CASE WHEN dom_star OR dow_star THEN {dom} AND {dow} ELSE {dom} OR {dow} END)"
+    )
 
 
-def _month_days(first: Column) -> Column:
+def _month_days(first: str) -> str:
     """Mask of the matching days of the month that starts on the date ``first``."""
-    weekday = F.pmod(F.unix_date(first) + 4, F.lit(7)).cast("int")
-    length = F.dayofmonth(F.last_day(first))
-    in_month = _bit(length + 1) - 2
-    cycle = F.col("dow_mask") * F.lit(WEEK_REPEAT)
-    by_dow = F.call_function("shiftleft", F.call_function("shiftright", cycle, weekday), F.lit(1)).bitwiseAND(in_month)
-    by_dom = F.col("dom_mask").bitwiseAND(in_month)
-    both = F.col("dom_star") | F.col("dow_star")
-    days = F.when(both, by_dom.bitwiseAND(by_dow)).otherwise(by_dom.bitwiseOR(by_dow))
-    return F.when(_has(F.col("month_mask"), F.month(first)), days).otherwise(F.lit(0).cast("bigint"))
-
-
-def _floor_div(value: Column, by: int) -> Column:
-    """Whole quotient rounded down; exact, since the dividend is made a multiple first."""
-    multiple = value - F.pmod(value, F.lit(by).cast("bigint"))
-    return (multiple / by).cast("bigint")
+    in_month = f"(shiftleft(1L, dayofmonth(last_day({first})) + 1) - 2L)"
+    weekday = f"int(pmod(unix_date({first}) + 4, 7))"
+    by_dow = f"(shiftleft(shiftright(dow_mask * {WEEK_REPEAT}L, {weekday}), 1) & {in_month})"
+    by_dom = f"(dom_mask & {in_month})"
+    return (
+        f"CASE WHEN {_has('month_mask', f'month({first})')} THEN "
+        f"CASE WHEN dom_star OR dow_star THEN {by_dom} & {by_dow} ELSE {by_dom} | {by_dow} END ELSE 0L END"
+    )
 
 
 def with_next_match(df: DataFrame, after: str, out: str) -> DataFrame:
     """First matching instant strictly after ``after`` (both epoch microseconds).
 
-    Needs the columns of ``parse``; null for ``@every`` and broken texts, for a null ``after`` and
-    when nothing matches until the end of the fifth year after it.
+    Needs the columns of ``parse``; null for repeat intervals and broken texts, for a null
+    ``after`` and when nothing matches until the end of the fifth year after it.
     """
-    zero = F.lit(0).cast("bigint")
-    hours = F.col("hour_mask")
-    minutes = F.col("minute_mask")
-    usable = (F.col("cron_kind") == "fields") & (hours != 0) & (minutes != 0)
-    step = (
-        df.withColumn("_m", F.when(usable, _floor_div(F.col(after), MINUTE_US) + 1))
-        .withColumn("_day", _floor_div(F.col("_m"), MINUTES_PER_DAY))
-        .withColumn("_h", F.floor(F.pmod(F.col("_m"), F.lit(MINUTES_PER_DAY)) / 60).cast("int"))
-        .withColumn("_mi", F.pmod(F.col("_m"), F.lit(60)).cast("int"))
-        .withColumn("_date", Day(F.col("_day")).date)
+    usable = "cron_kind = 'fields' AND hour_mask <> 0 AND minute_mask <> 0"
+    whole_minute = f"({after} - pmod({after}, {MINUTE_US}L)) div {MINUTE_US}L"
+    first_minute = _lowest("minute_mask")
+    earliest = f"{_lowest('hour_mask')} * 60 + {first_minute}"
+    clock = (
+        df.selectExpr("*", f"CASE WHEN {usable} THEN {whole_minute} + 1 END AS _m")
+        .selectExpr(
+            "*",
+            f"(_m - pmod(_m, {MINUTES_PER_DAY}L)) div {MINUTES_PER_DAY}L AS _day",
+            f"int(pmod(_m, {MINUTES_PER_DAY}L) div 60) AS _h",
+            "int(pmod(_m, 60L)) AS _mi",
+        )
+        .selectExpr("*", "trunc(date_from_unix_date(int(_day)), 'MM') AS _month", f"{day_matches_sql('_day')} AS _today")
     )
     # the rest of this hour, then the later hours of this day
-    this_hour = F.when(_has(hours, F.col("_h")), minutes.bitwiseAND(_from_bit(F.col("_mi")))).otherwise(zero)
-    later_hours = hours.bitwiseAND(_from_bit(F.col("_h") + 1))
-    first_minute = lowest_bit(minutes)
-    step = (
-        step.withColumn("_in_hour", F.when(day_matches(F.col("_day")), this_hour).otherwise(zero))
-        .withColumn("_in_day", F.when(day_matches(F.col("_day")), later_hours).otherwise(zero))
-        .withColumn(
-            "_same_day",
-            F.when(F.col("_in_hour") != 0, F.col("_h") * 60 + lowest_bit(F.col("_in_hour"))).when(
-                F.col("_in_day") != 0, lowest_bit(F.col("_in_day")) * 60 + first_minute
-            ),
-        )
+    this_hour = f"CASE WHEN _today AND {_has('hour_mask', '_h')} THEN minute_mask & shiftleft(-1L, _mi) ELSE 0L END"
+    later_hours = "CASE WHEN _today THEN hour_mask & shiftleft(-1L, _h + 1) ELSE 0L END"
+    same_day = (
+        f"CASE WHEN _in_hour <> 0 THEN _h * 60 + {_lowest('_in_hour')} "
+        f"WHEN _in_day <> 0 THEN {_lowest('_in_day')} * 60 + {first_minute} END"
+    )
+    today = clock.selectExpr("*", f"{this_hour} AS _in_hour", f"{later_hours} AS _in_day").selectExpr(
+        "*", f"{same_day} AS _same_day"
     )
     # the rest of this month, then the first later month with a matching day
-    month_start = F.trunc(F.col("_date"), "MM")
-    step = step.withColumn(
-        "_in_month",
-        F.when(
-            F.col("_same_day").isNull(),
-            _month_days(month_start).bitwiseAND(_from_bit(F.dayofmonth(F.col("_date")) + 1)),
-        ),
+    rest = f"({_month_days('_month')}) & shiftleft(-1L, dayofmonth(date_from_unix_date(int(_day))) + 1)"
+    ahead = (
+        "get(filter(sequence(1, 72 - month(_month)), "
+        f"k -> ({_month_days('add_months(_month, k)')}) <> 0L), 0)"
     )
-    last_ahead = F.lit(5 * 12 + 12) - F.month(F.col("_date"))
-    ahead = F.get(
-        F.filter(F.sequence(F.lit(1), last_ahead), lambda k: _month_days(F.add_months(month_start, k)) != 0),
-        F.lit(0),
+    later = (
+        today.selectExpr("*", f"CASE WHEN _same_day IS NULL THEN {rest} END AS _in_month")
+        .selectExpr("*", f"CASE WHEN _in_month = 0 THEN add_months(_month, {ahead}) END AS _later")
+        .selectExpr("*", f"CASE WHEN _later IS NOT NULL THEN {_month_days('_later')} END AS _in_later")
     )
-    step = step.withColumn(
-        "_later_month", F.when(F.col("_in_month") == 0, F.add_months(month_start, ahead))
-    ).withColumn(
-        "_next_day",
-        F.when(F.col("_same_day").isNotNull(), F.col("_day"))
-        .when(F.col("_in_month") != 0, F.unix_date(month_start) + lowest_bit(F.col("_in_month")) - 1)
-        .when(
-            F.col("_later_month").isNotNull(),
-            F.unix_date(F.col("_later_month")) + lowest_bit(_month_days(F.col("_later_month"))) - 1,
-        ),
+    next_day = (
+        "CASE WHEN _same_day IS NOT NULL THEN _day "
+        f"WHEN _in_month <> 0 THEN unix_date(_month) + {_lowest('_in_month')} - 1 "
+        f"WHEN _later IS NOT NULL THEN unix_date(_later) + {_lowest('_in_later')} - 1 END"
     )
-    of_day = F.coalesce(F.col("_same_day"), lowest_bit(hours) * 60 + first_minute)
-    value = (F.col("_next_day").cast("bigint") * MINUTES_PER_DAY + of_day) * MINUTE_US
-    found = step.withColumn(out, F.when(F.col("_m").isNotNull(), value)).select(*df.columns, out)
+    value = f"(bigint({next_day}) * {MINUTES_PER_DAY} + coalesce(_same_day, {earliest})) * {MINUTE_US}"
+    found = later.selectExpr(*_quoted(df.columns), f"CASE WHEN _m IS NOT NULL THEN {value} END AS {out}")
     return evaluate_once(found, out)
 
 
+def mask_to_array(mask: str, low: int, high: int) -> str:
+    """SQL text of the sorted values of a mask."""
+    return f"filter(sequence({low}, {high}), x -> {_has(mask, 'x')})"
+
+
 def truncate_second(micros: Column) -> Column:
     return micros - F.pmod(micros, F.lit(SECOND_US).cast("bigint"))

@@ -55,11 +55,13 @@ def fire_calendar(timers: DataFrame, from_us: int | Column, until_us: int | Colu
     minutes, hours = F.col("minute_mask"), F.col("hour_mask")
     of_day = F.pmod(F.col("_first"), F.lit(DAY_US)) / C.MINUTE_US
     hour, minute = F.floor(of_day / 60).cast("int"), F.pmod(of_day.cast("int"), F.lit(60))
-    below = lambda mask, n: mask.bitwiseAND(C._bit(n) - 1)
-    skipped = _bits(below(hours, hour)) * _bits(minutes) + _bits(below(minutes, minute))
+    ready = ready.withColumn("_hour", hour).withColumn("_minute", minute)
+    skipped = F.expr(
+        "bit_count(hour_mask & (shiftleft(1L, _hour) - 1)) * bit_count(minute_mask)"
+        " + bit_count(minute_mask & (shiftleft(1L, _minute) - 1))"
+    )
     ready = ready.withColumn("_per_day", _bits(hours) * _bits(minutes)).withColumn("_skipped", skipped)
-    days = F.sequence(F.col("_first_day"), F.col("_last_day"))
-    matching = F.filter(days, C.day_matches)
+    matching = F.expr(f"filter(sequence(_first_day, _last_day), d -> {C.day_matches_sql('d')})")
     needed = F.floor((limit - 1 + F.col("_skipped")) / F.col("_per_day")).cast("int") + 1
     matching = F.when(limit > 0, F.slice(matching, F.lit(1), needed)).otherwise(matching)
     last_every = F.when(limit > 0, F.least(F.col("_end"), F.col("_first") + (limit - 1) * F.col("_step"))).otherwise(
@@ -72,15 +74,8 @@ def fire_calendar(timers: DataFrame, from_us: int | Column, until_us: int | Colu
         F.posexplode(F.when(is_every, every_days).otherwise(matching)).alias("_index", "_day"),
     ).where((F.col("_day") + 1) * DAY_US > F.col("_low"))
     day_start = F.col("_day") * DAY_US
-    clock = F.flatten(
-        F.transform(
-            C.mask_to_array(F.col("hour_mask"), 0, 23),
-            lambda h: F.transform(
-                C.mask_to_array(F.col("minute_mask"), 0, 59),
-                lambda m: (h * 60 + m).cast("bigint"),
-            ),
-        )
-    )
+    hours_of_day, minutes_of_hour = C.mask_to_array("hour_mask", 0, 23), C.mask_to_array("minute_mask", 0, 59)
+    clock = F.expr(f"flatten(transform({hours_of_day}, h -> transform({minutes_of_hour}, m -> bigint(h * 60 + m))))")
     from_first = F.greatest(day_start, F.col("_low"), F.col("_first")) - F.col("_first")
     low_k = F.ceil(from_first / F.col("_step"))
     high_k = F.floor((F.least(day_start + DAY_US - 1, F.col("_end")) - F.col("_first")) / F.col("_step"))

@@ -397,7 +397,7 @@ SELECT cron, CASE WHEN cron_error IS NOT NULL THEN 'error' WHEN is_every THEN 'e
     "planned_vs_actual": _with(_LOG, _CALENDAR)
     + f""", spans AS (SELECT domain, timer_uuid, n, fire_us, lead(fire_us, 1, 9000000000000000) OVER (PARTITION BY timer_uuid ORDER BY fire_us) AS upto FROM calendar)
 SELECT s.domain, s.timer_uuid, s.n, s.fire_us AS planned_us, min(e.ts_us) AS actual_us, min(e.ts_us) - s.fire_us AS lateness_us, min(e.ts_us) IS NULL AS missed
-FROM spans s LEFT JOIN execs e ON e.timer_uuid = s.timer_uuid AND e.ts_us >= s.fire_us AND e.ts_us < s.upto GROUP BY ALL""",
+FROM spans s LEFT JOIN execs e ON e.timer_uuid = s.timer_uuid AND e.ts_us >= s.fire_us AND e.ts_us < s.upto GROUP BY 1, 2, 3, 4""",
     "executions_in_interval": _with(_LOG, _CALENDAR)
     + f""", spans AS (SELECT domain, timer_uuid, n, fire_us, lead(fire_us, 1, 9000000000000000) OVER (PARTITION BY timer_uuid ORDER BY fire_us) AS upto FROM calendar)
 SELECT s.domain, s.timer_uuid, s.fire_us AS planned_us, count(*) AS executions

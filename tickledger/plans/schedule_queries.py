@@ -34,7 +34,10 @@ def parse_schedules(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     parsed = C.parse(rows.select(text.alias("cron")).distinct())
-    listed = lambda mask, low, high: F.array_join(C.mask_to_array(F.col(mask), low, high).cast("array<string>"), ",")
+
+    def listed(mask: str, low: int, high: int):
+        return F.array_join(F.expr(C.mask_to_array(mask, low, high)).cast("array<string>"), ",")
+
     fields = F.col("cron_kind") == "fields"
     return plain(
         parsed.select(
