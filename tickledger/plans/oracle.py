@@ -123,7 +123,7 @@ raw_fires AS (
   UNION ALL
   SELECT t.*, t.start_us + i * 5400000000 AS fire_us FROM {source} t, range(1000) r(i)
   WHERE t.cron = '@every 90m' AND t.start_us + i * 5400000000 <= least({high}, coalesce(t.stop_us, {high}))),
-ranked_fires AS (SELECT *, row_number() OVER (PARTITION BY timer_uuid, start_us ORDER BY fire_us) AS n FROM raw_fires),
+ranked_fires AS (SELECT *, row_number() OVER (PARTITION BY timer_uuid, created_us ORDER BY fire_us) AS n FROM raw_fires),
 calendar AS (SELECT * FROM ranked_fires WHERE (max_executions = 0 OR n <= max_executions) AND fire_us >= {low})"""
 
 
@@ -448,4 +448,57 @@ SELECT d.*, coalesce(c.keys, 0) AS keys FROM d LEFT JOIN c USING (partition)""",
 SELECT member, keys, rows, rows / (SELECT avg(rows) FROM l) AS skew FROM l""",
 }
 
-SQL = {**LOG_SQL, **STATE_SQL, **SCHEDULE_SQL, **SHARD_SQL}
+_MARK = "mark AS (SELECT max(ts_us) // 1000 * 1000 AS w FROM lg WHERE topic = 'create' AND kind <> 'MARKER')"
+_LIVES = f"""
+{_MARK},
+lives AS (
+  SELECT q.*, ts_us AS created_us, coalesce(upto - 1, w) AS high_us FROM (
+    SELECT *, lead(ts_us) OVER (PARTITION BY timer_uuid ORDER BY ts_us, off) AS upto
+    FROM lg WHERE topic = 'create' AND kind <> 'MARKER') q, mark WHERE kind = 'UPSERT')"""
+_PAST = f"""
+{_MARK},
+past AS (SELECT * FROM lg WHERE ts_us < {SPLIT}),
+past_live AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY timer_uuid ORDER BY off DESC) AS rn FROM past
+    WHERE topic = 'create' AND kind <> 'MARKER') q WHERE rn = 1 AND kind = 'UPSERT'),
+past_prog AS (
+  SELECT timer_uuid, arg_max(completed, off) AS done, arg_max(coalesce(last_us, -1), off) AS last_run
+  FROM past WHERE topic = 'execute' AND kind = 'UPSERT' GROUP BY timer_uuid),
+next_command AS (SELECT timer_uuid, min(ts_us) AS upto FROM lg WHERE ts_us >= {SPLIT} AND topic = 'create' AND kind <> 'MARKER' GROUP BY timer_uuid),
+old_lives AS (
+  SELECT l.domain, l.timer_uuid, l.cron, l.start_us, l.stop_us, l.max_executions, coalesce(p.done, 0) AS done,
+         CASE WHEN p.last_run >= 0 THEN p.last_run END AS run_us, coalesce(c.upto - 1, w) AS high_us
+  FROM past_live l LEFT JOIN past_prog p USING (timer_uuid) LEFT JOIN next_command c USING (timer_uuid), mark),
+old_raw AS (
+  SELECT o.*, cal.m_us AS fire_us FROM old_lives o JOIN cal ON o.cron = cal.cron AND cal.m_us > coalesce(run_us, start_us - 1)
+  WHERE cal.m_us <= least(high_us, coalesce(stop_us, high_us))
+  UNION ALL
+  SELECT o.*, coalesce(run_us // 1000000 * 1000000 + 5400000000, start_us) + i * 5400000000 AS fire_us FROM old_lives o, range(1000) r(i)
+  WHERE o.cron = '@every 90m' AND coalesce(run_us // 1000000 * 1000000 + 5400000000, start_us) + i * 5400000000 <= least(high_us, coalesce(stop_us, high_us))),
+old_fires AS (
+  SELECT domain, timer_uuid, n, fire_us FROM (
+    SELECT *, done + row_number() OVER (PARTITION BY timer_uuid ORDER BY fire_us) AS n FROM old_raw) q
+  WHERE max_executions = 0 OR n <= max_executions)"""
+_STREAM_FIRES = f"{_LIVES}, {_CAL}, {_calendar('lives', 't.high_us', '0')}"
+
+STREAM_SQL = {
+    "stream_timers": STATE_SQL["timers_projection"],
+    "stream_dedup_executions": STATE_SQL["executions_append"],
+    "stream_progress": STATE_SQL["progress_latest"],
+    "stream_quarantine": LOG_SQL["quarantine_malformed"],
+    "stream_fires": _with(_LOG, _STREAM_FIRES) + "SELECT domain, timer_uuid, n, fire_us FROM calendar",
+    "late_fires": _with(_LOG, _LIVE, _MARK, _CAL)
+    + """SELECT domain, timer_uuid, 1::BIGINT AS n, w AS fire_us FROM (
+  SELECT live.*, w, CASE WHEN live.cron = '@every 90m' THEN start_us ELSE cal.m_us END AS planned_us
+  FROM (SELECT * FROM live, mark) live ASOF LEFT JOIN cal ON live.cron = cal.cron AND live.start_us - 1 < cal.m_us) q
+WHERE planned_us <= w AND coalesce(w <= stop_us, true)""",
+    "stream_restore": _with(_LOG, _CAL, _PAST)
+    + f""", lives AS (
+  SELECT q.*, ts_us AS created_us, coalesce(upto - 1, w) AS high_us FROM (
+    SELECT *, lead(ts_us) OVER (PARTITION BY timer_uuid ORDER BY ts_us, off) AS upto
+    FROM lg WHERE topic = 'create' AND kind <> 'MARKER' AND ts_us >= {SPLIT}) q, mark WHERE kind = 'UPSERT'),
+{_calendar('lives', 't.high_us', '0')}
+SELECT domain, timer_uuid, n, fire_us FROM calendar UNION ALL SELECT domain, timer_uuid, n, fire_us FROM old_fires""",
+}
+
+SQL = {**LOG_SQL, **STATE_SQL, **SCHEDULE_SQL, **SHARD_SQL, **STREAM_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickledger.plans import log_queries, oracle, schedule_queries, shard_queries, state_queries
+from tickledger.plans import log_queries, oracle, schedule_queries, shard_queries, state_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         **state_queries.QUERIES,
         **schedule_queries.QUERIES,
         **shard_queries.QUERIES,
+        **stream_queries.QUERIES,
     }
 
 
