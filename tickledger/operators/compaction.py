@@ -35,19 +35,36 @@ def upserts(records: DataFrame) -> DataFrame:
     return records.where(F.col("kind") == codec.UPSERT)
 
 
-def keep_last(df: DataFrame, by: list[str], order: Column, columns: list[str]) -> DataFrame:
+def keep_last(df: DataFrame, by: list[str], order: Column, columns: list[str | Column]) -> DataFrame:
     row = F.max_by(F.struct(*columns), order).alias("_row")
     return df.groupBy(*by).agg(row).select(*by, "_row.*")
 
 
-def keep_first(df: DataFrame, by: list[str], order: Column, columns: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, by: list[str], order: Column, columns: list[str | Column]) -> DataFrame:
     row = F.min_by(F.struct(*columns), order).alias("_row")
     return df.groupBy(*by).agg(row).select(*by, "_row.*")
 
 
-def compact_log(records: DataFrame, topic: str = S.CREATE_TOPIC) -> DataFrame:
+ALL_PARTS = ("task", "schedule", "meta")
+
+
+def _parts(parts: tuple[str, ...]) -> Column:
+    """The create message cut to some of its parts.
+
+    A request body may be a megabyte; an aggregate would carry it through the shuffle even when
+    only the schedule is read afterwards, so callers name what they need.
+    """
+    if parts == ALL_PARTS:
+        return F.col("create")
+    kept = F.struct(*[F.col("create")[part].alias(part) for part in parts])
+    return F.when(F.col("create").isNotNull(), kept).alias("create")
+
+
+def compact_log(
+    records: DataFrame, topic: str = S.CREATE_TOPIC, parts: tuple[str, ...] = ALL_PARTS
+) -> DataFrame:
     """Latest upsert or tombstone of every key of a topic."""
-    value = "create" if topic == S.CREATE_TOPIC else "execute"
+    value = _parts(parts).alias("create") if topic == S.CREATE_TOPIC else F.col("execute")
     rows = _topic(records, topic).where(F.col("kind").isin(codec.UPSERT, codec.DELETE))
     return keep_last(rows, KEY, log_position(), ["partition", "offset", "timestamp", "kind", value])
 
@@ -59,10 +76,10 @@ def valid_creates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~bad).drop("rejected"), rows.where(bad)
 
 
-def live_creates(records: DataFrame, validate: bool = True) -> DataFrame:
+def live_creates(records: DataFrame, validate: bool = True, parts: tuple[str, ...] = ALL_PARTS) -> DataFrame:
     """Timers as the runtime sees them: the last valid create wins, a tombstone removes."""
     rows = valid_creates(records)[0] if validate else records
-    return compact_log(rows).where(F.col("kind") == codec.UPSERT).drop("kind")
+    return compact_log(rows, parts=parts).where(F.col("kind") == codec.UPSERT).drop("kind")
 
 
 def _deletes(records: DataFrame, delete_on: str) -> Column:
@@ -74,7 +91,9 @@ def _deletes(records: DataFrame, delete_on: str) -> Column:
     raise ValueError("delete_on must be 'execute' or 'any'")
 
 
-def create_sessions(records: DataFrame, delete_on: str = "execute", **limits: int) -> DataFrame:
+def create_sessions(
+    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, **limits: int
+) -> DataFrame:
     """Per key, the first create after its last delete, and when that delete was.
 
     A key whose last delete is not followed by a create keeps a row with ``create`` null, so the
@@ -87,7 +106,8 @@ def create_sessions(records: DataFrame, delete_on: str = "execute", **limits: in
         F.max(F.when(is_delete, F.col("_pos"))).alias("_deleted"),
         F.count(F.when(is_create, F.lit(1))).alias("_creates"),
     )
-    creates = relevant.where(is_create).select(*KEY, "_pos", "create", "timestamp", "offset")
+    payload = _parts(parts).alias("create")
+    creates = relevant.where(is_create).select(*KEY, "_pos", payload, "timestamp", "offset")
     placed = skew.lookup(creates, per_key, KEY, "_creates", F.col("offset"), **limits)
     after = placed.where(F.col("_deleted").isNull() | (F.col("_pos") > F.col("_deleted")))
     first = keep_first(after, KEY, F.col("_pos"), ["create", "timestamp", "offset"])
@@ -101,9 +121,11 @@ def create_sessions(records: DataFrame, delete_on: str = "execute", **limits: in
     )
 
 
-def timers_projection(records: DataFrame, delete_on: str = "execute", **limits: int) -> DataFrame:
+def timers_projection(
+    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, **limits: int
+) -> DataFrame:
     """Timers as the document table keeps them: the first create since the last delete."""
-    live = create_sessions(records, delete_on, **limits).where(F.col("create").isNotNull())
+    live = create_sessions(records, delete_on, parts, **limits).where(F.col("create").isNotNull())
     return live.drop("has_delete", "deleted_at")
 
 
@@ -117,11 +139,14 @@ def apply_tombstones(rows: DataFrame, records: DataFrame, delete_on: str = "any"
     return kept.drop("_deleted")
 
 
-def executions(records: DataFrame) -> DataFrame:
-    """Executions inserted once per (domain, timer, broker time); the first delivery stays."""
+def executions(records: DataFrame, columns: tuple[str, ...] = ("partition", "offset", "execute")) -> DataFrame:
+    """Executions inserted once per (domain, timer, broker time); the first delivery stays.
+
+    Leave ``execute`` out of ``columns`` where the result is not read: it need not be shuffled then.
+    """
     rows = upserts(_topic(records, S.EXECUTE_TOPIC)).withColumn("kafka_timestamp", F.col("timestamp"))
     by = [*KEY, "kafka_timestamp"]
-    return keep_first(rows, by, log_position(), ["partition", "offset", "execute"])
+    return keep_first(rows, by, log_position(), list(columns))
 
 
 def append_new(batch: DataFrame, target: DataFrame) -> DataFrame:
@@ -158,7 +183,7 @@ def upsert_latest(target: DataFrame, batch: DataFrame, order: str = "offset") ->
 
 def progress_rebuild(records: DataFrame) -> DataFrame:
     """Progress counted from the executions themselves, next to the recorded progress."""
-    rows = executions(records)
+    rows = executions(records, ("offset",))
     counted = rows.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("counted"), F.max("kafka_timestamp").alias("latest")
     )

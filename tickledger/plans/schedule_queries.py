@@ -110,7 +110,7 @@ def limit_per_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _executions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = compaction.executions(sample.records(spark, sf))
+    rows = compaction.executions(sample.records(spark, sf), ("offset",))
     return rows.select(*KEY, F.unix_micros("kafka_timestamp").alias("exec_us"))
 
 

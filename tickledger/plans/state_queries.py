@@ -22,7 +22,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_creates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = compaction.live_creates(_records(spark, sf))
+    rows = compaction.live_creates(_records(spark, sf), parts=("schedule",))
     return plain(rows.select(*KEY, "offset", "create.schedule.cron", "create.schedule.start_time"))
 
 
@@ -31,12 +31,12 @@ def compact_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def create_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = compaction.create_sessions(_records(spark, sf), delete_on="any")
+    rows = compaction.create_sessions(_records(spark, sf), delete_on="any", parts=("schedule",))
     return plain(rows.select(*KEY, "has_delete", "deleted_at", "created_offset"))
 
 
 def timers_projection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = compaction.timers_projection(_records(spark, sf))
+    rows = compaction.timers_projection(_records(spark, sf), parts=("schedule",))
     return plain(rows.select(*KEY, "created_offset", "created_at", "create.schedule.cron", "create.schedule.max_executions"))
 
 
@@ -59,7 +59,7 @@ def executions_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = compaction.execution_ids(compaction.executions(_records(spark, sf)))
+    rows = compaction.execution_ids(compaction.executions(_records(spark, sf), ("offset",)))
     return plain(rows.select("offset", "index", "doc_id"))
 
 
@@ -117,7 +117,7 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def restored(spark: SparkSession, sf: str, zero_time: bool = False) -> DataFrame:
     records = _records(spark, sf)
-    return restore.restore_state(compaction.live_creates(records), compaction.progress_latest(records), zero_time)
+    return restore.restore_state(compaction.live_creates(records, parts=("schedule",)), compaction.progress_latest(records), zero_time)
 
 
 def restore_state(spark: SparkSession, sf: str) -> DataFrame:

@@ -78,7 +78,7 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Timers of the older half of the log restored with their progress, the newer half live."""
     old = F.unix_micros("timestamp") < SPLIT_US
     past = sample.records(configure(spark), sf).where(old)
-    state = restore.restore_state(compaction.live_creates(past), compaction.progress_latest(past))
+    state = restore.restore_state(compaction.live_creates(past, parts=("schedule",)), compaction.progress_latest(past))
     live = sample.typed(sample.stream_events(spark, sf)).where(~old)
     return _run_fires(spark, fires.fires(live, restored=state), "stream-restore")
 
