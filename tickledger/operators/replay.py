@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickledger import schemas as S
 from tickledger.functions import cron as C
 
+# The fold runs in Python workers that need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = S.KEY_COLUMNS
 SECOND_US = C.SECOND_US
 

@@ -6,11 +6,13 @@ and the next due time in a value state and is woken by an event-time timer.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,8 +21,12 @@ from tickledger import schemas as S
 from tickledger.functions import codec
 from tickledger.functions import cron as C
 
+# The processor runs in Python workers that need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = S.KEY_COLUMNS
-MINUTE_US, SECOND_US = C.MINUTE_US, C.SECOND_US
+MINUTE_US, SECOND_US, MINUTES_PER_DAY = C.MINUTE_US, C.SECOND_US, C.MINUTES_PER_DAY
+DELETE = codec.DELETE
 EPOCH = date(1970, 1, 1)
 
 SCHEDULE_FIELDS = [
@@ -75,7 +81,7 @@ def next_match(masks: dict, after_us: int) -> int | None:
     if not minutes or not hours:
         return None
     minute = after_us // MINUTE_US + 1
-    first_day, from_clock = divmod(minute, C.MINUTES_PER_DAY)
+    first_day, from_clock = divmod(minute, MINUTES_PER_DAY)
     day = EPOCH + timedelta(days=first_day)
     last = date(day.year + 5, 12, 31)
     while day <= last:
@@ -91,7 +97,7 @@ def next_match(masks: dict, after_us: int) -> int | None:
             for h in hours:
                 for m in minutes:
                     if h * 60 + m >= floor:
-                        return (number * C.MINUTES_PER_DAY + h * 60 + m) * MINUTE_US
+                        return (number * MINUTES_PER_DAY + h * 60 + m) * MINUTE_US
         day += timedelta(days=1)
     return None
 
@@ -157,7 +163,7 @@ class TimerProcessor(StatefulProcessor):
             if timer is not None and self.catch_up == "all":
                 before = pd.Timestamp(row["timestamp"]).value // 1000
                 timer = self._fire_until(key, timer, before - 1, out)
-            if row["kind"] == codec.DELETE:
+            if row["kind"] == DELETE:
                 timer = None
                 continue
             timer = {name: _python(row[name]) for name, _ in SCHEDULE_FIELDS}
@@ -197,9 +203,10 @@ class TimerProcessor(StatefulProcessor):
         return pd.DataFrame(rows, columns=[*KEY, "event", "n", "fire_us"])
 
     def _load(self) -> dict | None:
-        if not self.timer.exists():
+        stored = self.timer.get()
+        if stored is None:
             return None
-        return {name: _python(value) for name, value in zip(STATE_NAMES, self.timer.get(), strict=True)}
+        return {name: _python(value) for name, value in zip(STATE_NAMES, stored, strict=True)}
 
     def _save(self, timer: dict | None) -> None:
         if timer is None:
