@@ -7,6 +7,7 @@ and the next due time in a value state and is woken by an event-time timer.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -74,34 +75,52 @@ def initial_state(restored: DataFrame) -> DataFrame:
     )
 
 
+_CLOCKS: dict[tuple[int, int], list[int]] = {}
+
+
+def _clock(minute_mask: int, hour_mask: int) -> list[int]:
+    """Sorted minutes of the day of a schedule; at most 1440, remembered per worker."""
+    found = _CLOCKS.get((minute_mask, hour_mask))
+    if found is None:
+        hours = [h for h in range(24) if hour_mask >> h & 1]
+        minutes = [m for m in range(60) if minute_mask >> m & 1]
+        if len(_CLOCKS) > 10_000:
+            _CLOCKS.clear()
+        found = _CLOCKS[minute_mask, hour_mask] = [h * 60 + m for h in hours for m in minutes]
+    return found
+
+
 def next_match(masks: dict, after_us: int) -> int | None:
     """First matching minute strictly after an instant; same rule as ``cron.with_next_match``."""
-    minutes = [m for m in range(60) if masks["minute_mask"] >> m & 1]
-    hours = [h for h in range(24) if masks["hour_mask"] >> h & 1]
-    if not minutes or not hours:
+    clock = _clock(masks["minute_mask"], masks["hour_mask"])
+    if not clock:
         return None
-    minute = after_us // MINUTE_US + 1
-    first_day, from_clock = divmod(minute, MINUTES_PER_DAY)
-    day = EPOCH + timedelta(days=first_day)
+    number, minute = divmod(after_us // MINUTE_US + 1, MINUTES_PER_DAY)
+    position = bisect_left(clock, minute)
+    if position == len(clock):
+        number, position = number + 1, 0
+    elif not _day_matches(masks, EPOCH + timedelta(days=number)):
+        position = 0
+    day = EPOCH + timedelta(days=number)
     last = date(day.year + 5, 12, 31)
     while day <= last:
         if not masks["month_mask"] >> day.month & 1:
             day = date(day.year + day.month // 12, day.month % 12 + 1, 1)
-            continue
-        dom = bool(masks["dom_mask"] >> day.day & 1)
-        dow = bool(masks["dow_mask"] >> (day.isoweekday() % 7) & 1)
-        both = masks["dom_star"] or masks["dow_star"]
-        if (dom and dow) if both else (dom or dow):
-            number = (day - EPOCH).days
-            floor = from_clock if number == first_day else 0
-            for h in hours:
-                for m in minutes:
-                    if h * 60 + m >= floor:
-                        return (number * MINUTES_PER_DAY + h * 60 + m) * MINUTE_US
-        day += timedelta(days=1)
+            position = 0
+        elif _day_matches(masks, day):
+            return ((day - EPOCH).days * MINUTES_PER_DAY + clock[position]) * MINUTE_US
+        else:
+            day += timedelta(days=1)
     return None
 
 
+def _day_matches(masks: dict, day: date) -> bool:
+    dom = bool(masks["dom_mask"] >> day.day & 1)
+    dow = bool(masks["dow_mask"] >> (day.isoweekday() % 7) & 1)
+    in_month = bool(masks["month_mask"] >> day.month & 1)
+    return in_month and ((dom and dow) if masks["dom_star"] or masks["dow_star"] else (dom or dow))
+
+
 def planned(timer: dict) -> int | None:
     """Next planned instant of a timer, or null when it is finished."""
     if timer["max_executions"] and timer["completed"] >= timer["max_executions"]:
@@ -120,7 +139,7 @@ def planned(timer: dict) -> int | None:
 
 
 def _python(value):
-    if value is None or pd.isna(value):
+    if value is None or value != value:  # NaN
         return None
     if isinstance(value, str):
         return value
@@ -154,12 +173,10 @@ class TimerProcessor(StatefulProcessor):
         self.handle.registerTimer(self._millis(wake))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows) if self.catch_up == "all" else [self._last(rows)]
-        ordered = pd.concat(frames).sort_values(["timestamp", "offset"])
         timer = self._load()
         self._forget_wake_up(timer)
         out: list[tuple] = []
-        for row in ordered.to_dict("records"):
+        for row in self._in_order(rows):
             if timer is not None and self.catch_up == "all":
                 before = pd.Timestamp(row["timestamp"]).value // 1000
                 timer = self._fire_until(key, timer, before - 1, out)
@@ -170,7 +187,8 @@ class TimerProcessor(StatefulProcessor):
             timer.update(completed=0, last_us=None)
             timer = self._keep(key, timer, out)
         self._save(timer)
-        yield self._frame(out)
+        if out:
+            yield pd.DataFrame(out, columns=[*KEY, "event", "n", "fire_us"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -183,25 +201,23 @@ class TimerProcessor(StatefulProcessor):
         elif timer is not None and timer["due_us"] <= now:
             timer = self._fire(key, timer, now, out)
         self._save(timer)
-        yield self._frame(out)
+        if out:
+            yield pd.DataFrame(out, columns=[*KEY, "event", "n", "fire_us"])
 
-    @staticmethod
-    def _last(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        """Only the last command of a key counts; frames are dropped as they are read."""
-        best = None
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> list[dict]:
+        """Commands of one key and batch in log order; coalescing only needs the last one."""
+        commands: list[dict] = []
         for frame in rows:
-            row = frame.sort_values(["timestamp", "offset"]).tail(1)
-            best = row if best is None else pd.concat([best, row]).sort_values(["timestamp", "offset"]).tail(1)
-        return best
+            commands += frame.to_dict("records")
+            commands.sort(key=lambda c: (c["timestamp"], c["offset"]))
+            if self.catch_up == "coalesce":
+                commands = commands[-1:]
+        return commands
 
     @staticmethod
     def _millis(micros: int) -> int:
         return -(-micros // 1000)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*KEY, "event", "n", "fire_us"])
-
     def _load(self) -> dict | None:
         stored = self.timer.get()
         if stored is None:
