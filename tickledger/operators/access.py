@@ -12,6 +12,10 @@ from tickledger.sources.tables import TENANT_TABLES
 
 KEY = S.KEY_COLUMNS
 
+# fixed values: first parts of the request paths that are served
+SIGN_IN, SIGN_IN_KEY, SIGN_IN_DONE = "auth", "apikey", "callback"
+READS = "elastic"
+
 
 def scope_decision(requests: DataFrame) -> DataFrame:
     """Index a tenant's request may read, or why it is turned away (``index`` and ``domain`` given)."""
@@ -38,17 +42,18 @@ def attribute_requests(requests: DataFrame) -> DataFrame:
         "tenant",
     )
     head, sub, leaf = F.col("_p1.head"), F.col("_p2.head"), F.col("_p3.head")
+    signs_in = (head == SIGN_IN) & (sub == SIGN_IN_KEY)
     route = (
-        F.when((head == "auth") & (sub == "apikey") & (leaf == ""), "auth/apikey")
-        .when((head == "auth") & (sub == "apikey") & (leaf == "callback"), "auth/apikey/callback")
-        .when((head == "elastic") & sub.isin(*TENANT_TABLES), F.concat(F.lit("elastic/"), sub))
-        .when(head == "elastic", "elastic/other")
+        F.when(signs_in & (leaf == ""), f"{SIGN_IN}/{SIGN_IN_KEY}")
+        .when(signs_in & (leaf == SIGN_IN_DONE), f"{SIGN_IN}/{SIGN_IN_KEY}/{SIGN_IN_DONE}")
+        .when((head == READS) & sub.isin(*TENANT_TABLES), F.concat(F.lit(f"{READS}/"), sub))
+        .when(head == READS, f"{READS}/other")
         .otherwise("unknown")
     )
-    needs_user = head == "elastic"
+    needs_user = head == READS
     outcome = (
         F.when(needs_user & F.col("tenant").isNull(), "unauthorized")
-        .when(F.col("route") == "elastic/other", "bad_request")
+        .when(F.col("route") == f"{READS}/other", "bad_request")
         .when(F.col("route") == "unknown", "not_found")
         .otherwise("ok")
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickledger import schemas as S
-from tickledger.functions import codec, results
 from tickledger.operators import access, compaction, restore
 from tickledger.plans.log_queries import GENERATION
 from tickledger.plans.shape import plain

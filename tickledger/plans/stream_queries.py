@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickledger import schemas as S
-from tickledger.functions import codec
 from tickledger.operators import compaction, restore
 from tickledger.plans.shape import plain
 from tickledger.plans.state_queries import SPLIT_US
