@@ -152,7 +152,8 @@ def executions(records: DataFrame, columns: tuple[str, ...] = ("partition", "off
 def append_new(batch: DataFrame, target: DataFrame) -> DataFrame:
     """Rows of a batch of executions that the target does not hold yet.
 
-    The target is cut to the time span of the batch first, so the anti join reads recent rows only.
+    An execution is identified by its timer and time, so both sides have unique keys and none is hot;
+    a caller that knows the time span of the batch can cut the target to it without missing any.
     """
     by = [*KEY, "kafka_timestamp"]
     return batch.join(target.select(*by), by, "left_anti")
