@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import decontamination, shuffle_shards
+from tickledger.llm import decontamination, language, shuffle_shards, toxicity
 from tickledger.llm import texts as X
 
 
@@ -40,7 +40,23 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_shuffle_shards, op5_decontamination)}
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents")
+    held_out = X.remainder("doc_id", 4) == 2
+    rows = language.label(documents, language.fit(documents, learn=~held_out))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents")
+    held_out = X.remainder("doc_id", 3) == 1
+    model = toxicity.fit(documents, read(spark, sf, "labels"), learn=~held_out)
+    rows = toxicity.score(documents, model, name="score")
+    predicted = (F.col("score") >= toxicity.TOXIC_FROM).cast("int")
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_shuffle_shards, op3_language, op5_decontamination, op7_toxicity)}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
