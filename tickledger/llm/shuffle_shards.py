@@ -45,9 +45,9 @@ def shards(
     before = W.Window.orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scattered = (
-        rows.join(sizes, "_bucket").repartition(max(parts, min(buckets, 100_000)), "_bucket").sortWithinPartitions("_bucket", "_drawn", key)
-    )
+    # the join keeps the partitions of the scatter, so the texts move once
+    scattered = rows.repartition(max(parts, min(buckets, 100_000)), "_bucket").join(sizes, "_bucket")
+    scattered = scattered.sortWithinPartitions("_bucket", "_drawn", key)
     placed = _fisher_yates(scattered, seed)
     numbered = placed.withColumn("shard", F.expr(f"cast(_rank * {n_shards} div {max(n, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
