@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import decontamination, language, shuffle_shards, toxicity
+from tickledger.llm import bpe, decontamination, exact_search, language, main_text, shuffle_shards, toxicity
 from tickledger.llm import texts as X
 
 
@@ -56,7 +60,37 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shuffle_shards, op3_language, op5_decontamination, op7_toxicity)}
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), tokenizer), tokenizer)
+
+    def digests(batch):
+        ids = batch.column(1)
+        flat, places = ids.values.to_numpy().astype("<u4"), ids.offsets.to_pylist()
+        sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(places, places[1:], strict=False)]
+        return [pa.array(sums, pa.string())]
+
+    rows = X.append(rows.select("doc_id", "ids", "decoded"), "ids_sha256 string", digests)
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    rows = main_text.extract(read(spark, sf, "pages"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_shuffle_shards, op3_language, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
+    )
+}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
@@ -82,5 +116,15 @@ named AS (
 SELECT c.doc_id, CAST(len(c.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM cut c LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op10_exact_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """,
 }
