@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, decontamination, exact_search, language, main_text, shuffle_shards, toxicity
+from tickledger.llm import bpe, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, toxicity
 from tickledger.llm import texts as X
 
 
@@ -31,6 +31,12 @@ def op1_shuffle_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = near_duplicates.groups(read(spark, sf, "documents"), words=2)
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     rows = decontamination.find(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     n_hit = F.expr("aggregate(hits, 0L, (n, x) -> n + (x.end - x.begin))")
@@ -88,7 +94,7 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op3_language, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
+        op1_shuffle_shards, op3_language, op4_near_duplicates, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
     )
 }
 

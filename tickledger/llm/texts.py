@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+from tickledger.session import shared_path
+
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 2000
 BASE = 0x9E3779B97F4A7C15
 BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,11 +38,11 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def slices(starts: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most ``limit`` bytes; a longer row is a run of its own."""
+def slices(starts: np.ndarray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``rows`` rows and ``limit`` bytes; a longer row is a run of its own."""
     i, n = 0, len(starts) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + limit, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(starts, starts[i] + limit, "right")) - 1))
         yield i, j
         i = j
 
@@ -127,3 +129,10 @@ def by_slice(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     data, starts = joined(column)
     for i, j in slices(starts):
         yield i, j, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again, so that no lost executor repeats its lineage."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
