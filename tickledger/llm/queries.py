@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, toxicity
+from tickledger.llm import bpe, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, suffix_dedup, toxicity
 from tickledger.llm import texts as X
 
 
@@ -50,6 +50,17 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = suffix_dedup.dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.octet_length(shuffle_shards.text_bytes("text")).cast("bigint").alias("n_bytes"),
+        F.expr("aggregate(removed, 0L, (n, x) -> n + (x.end - x.begin))").alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     documents = read(spark, sf, "documents")
     held_out = X.remainder("doc_id", 4) == 2
@@ -94,7 +105,7 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op3_language, op4_near_duplicates, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
+        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
     )
 }
 
