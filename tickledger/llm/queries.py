@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, suffix_dedup, toxicity
+from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, suffix_dedup, toxicity
 from tickledger.llm import texts as X
 
 
@@ -68,6 +68,16 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = X.remainder("doc_id", 5) == 1
+    rows = context_mixing.score(read(spark, sf, "documents").select("doc_id", "text"), learn=~held_out)
+    n_bytes = F.octet_length(shuffle_shards.text_bytes("text"))
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        (F.col("bits") / F.greatest(n_bytes, F.lit(1))).alias("bits_per_byte"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = read(spark, sf, "documents")
     held_out = X.remainder("doc_id", 3) == 1
@@ -105,7 +115,7 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
+        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
     )
 }
 
