@@ -334,3 +334,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     marks = marks.select("_chunk", "place", "around", later.alias("mask")).where("mask <> 0")
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("removed array<struct<begin:int,end:int>>, kept binary").fields])
     return rows.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(_cut(at, content, names), schema)
+
+
+def whole_characters(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the text ``name`` of the bytes in ``column``, without bytes that are no UTF-8; null gives empty."""
+    at = df.columns.index(column)
+
+    def made(batch):
+        return [pa.array([(b.as_py() or b"").decode("utf-8", "ignore") for b in batch.column(at)], pa.string())]
+
+    return X.append(df, f"{name} string", made)
