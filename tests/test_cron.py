@@ -144,3 +144,14 @@ def test_the_state_helper_equals_the_columns(spark):
 def test_edges(spark, cron, after, expected):
     df = C.parse(spark.createDataFrame([(cron, after)], "cron string, after long"))
     assert C.with_next_match(df, "after", "found").select(F.col("found")).first().found == expected
+
+
+def test_long_durations_are_an_error_and_stop_nothing(spark):
+    texts = {
+        "@every 9999999999999h": None, "@every 999999999h999999999h999999999h": None, "@every 2562048h": None, "@every 2562047h": 9223369200,
+        "@every 9223372036854775807ns": 9223372036, "@every 9223372036854775808ns": None, "@every " + "9" * 60 + "s": None,
+        "@every 1.5h": 5400, "@every -9999999999999h": None, "@every 0.000000000000000000000000000001h": 1,
+    }
+    rows = C.parse(spark.createDataFrame([(t,) for t in texts], "cron string")).collect()
+    assert {r.cron: r.every_s for r in rows} == texts
+    assert all((r.cron_error == "bad duration") == (r.every_s is None) for r in rows)

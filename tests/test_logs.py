@@ -144,3 +144,23 @@ def test_tenants_see_their_own_folder_only(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [isnotnull(domain" in plan
     with pytest.raises(ValueError):
         tables.scoped(stored, "progress", "u3")
+
+
+def test_only_whole_documents_are_records(spark):
+    good, key = b'{"schedule":{"cron":"@daily"}}', b'{"domain":"d","timer_uuid":"t"}'
+    values = {good: "UPSERT", good + b" \n": "UPSERT", good + b" trailing": "BAD_VALUE", good + good: "BAD_VALUE", good[:-1]: "BAD_VALUE", b"": "BAD_VALUE", None: "DELETE",
+              good + b"," + good: "BAD_VALUE", b"{}": "UPSERT"}
+    rows = [("create", 0, i, None, key, v, None) for i, v in enumerate(values)] + [("create", 0, 99, None, key + b"x", good, None)]
+    got = {r.offset: r.kind for r in codec.decode_records(spark.createDataFrame(rows, S.ENVELOPE)).collect()}
+    assert got == {**dict(enumerate(values.values())), 99: "BAD_KEY"}
+
+
+def test_bracket_hosts(spark):
+    from tickledger.functions import rules
+
+    urls = {
+        "http://[::1]/": None, "http://[::1]:80/": None, "http://[::1/": "bad bracket host", "http://[::1]:x/": "bad bracket host", "http://u@[::1]x/": "bad bracket host",
+        "http://a%41.com/": "bad host escape", "http://a:b/": "bad port", "http://a.com/%41": None,
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.e for r in df.select("url", rules.url_error(F.col("url")).alias("e")).collect()} == urls

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import datetime as dt
 
 import pytest
@@ -159,3 +160,12 @@ def test_replay_equals_a_fold(spark, seed):
             last, n, base = t, n + 1, None
             expected.append((n, t))
         assert sorted(got.get(f"t{i:03}", [])) == expected, rows[i]
+
+
+@pytest.mark.parametrize("cron", ["@every 24h", "0 0 * * *", "* * * * *"])
+def test_largest_limit_is_no_limit(spark, cron):
+    rows = spark.createDataFrame(
+        [("d", "a", cron, 2**31 - 1), ("d", "b", cron, 0)], "domain string, timer_uuid string, cron string, max_executions int"
+    ).withColumn("start_time", F.timestamp_micros(F.lit(0))).withColumn("stop_time", F.lit(None).cast("timestamp"))
+    got = calendar.fire_calendar(rows, 0, 2 * calendar.DAY_US).groupBy("timer_uuid").count().collect()
+    assert len(got) == 2 and len({r["count"] for r in got}) == 1

@@ -23,6 +23,12 @@ def decode(raw: Column, schema: T.StructType) -> Column:
     return F.from_json(raw.cast("string"), S.with_corrupt(schema), TIME_FORMAT)
 
 
+def is_document(raw: Column) -> Column:
+    """Whether the bytes are one whole document: text behind it, a second one or none at all is not."""
+    listed = F.from_json(F.concat(F.lit("["), raw.cast("string"), F.lit("]")), "array<string>")
+    return F.coalesce(F.size(listed) == 1, F.lit(False))
+
+
 def encode(message: Column) -> Column:
     """Struct to bytes, unset fields left out."""
     return F.to_json(message, TIME_FORMAT).cast("binary")
@@ -96,11 +102,12 @@ def decode_records(log: DataFrame) -> DataFrame:
         F.col(f"_key.{S.CORRUPT}").isNull()
         & F.col("_key.domain").isNotNull()
         & F.col("_key.timer_uuid").isNotNull()
+        & is_document(F.col("key"))
     )
     value_bad = F.coalesce(
         F.col(f"_create.{S.CORRUPT}").isNotNull() | F.col(f"_execute.{S.CORRUPT}").isNotNull(),
         F.lit(False),
-    )
+    ) | ~is_document(F.col("value"))
     kind = (
         F.when(~(is_create | is_execute), UNKNOWN_TOPIC)
         .when(F.col("key").isNull(), MARKER)

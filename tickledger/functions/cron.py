@@ -124,16 +124,19 @@ def _field_mask(text: str, low: int, high: int, names: dict) -> str:
 
 
 def _every_seconds(text: str) -> str:
-    """Whole seconds of a repeat duration, at least one; null when it is not a duration."""
+    """Whole seconds of a repeat duration, at least one; null when it is not a duration or too long a one."""
     body = f"substring({text}, {len(EVERY) + 1})"
     parts = [f"regexp_extract_all({body}, '{_AMOUNT}{_UNIT}', {group})" for group in (1, 2)]
-    nanos = (
-        f"aggregate(zip_with({parts[0]}, {parts[1]}, (n, u) -> bigint(round(double(n) * element_at({_map(UNIT_NANOS)}, u)))), "
-        "0L, (acc, x) -> acc + x)"
+    unit = f"element_at({_map(UNIT_NANOS)}, u)"
+    # whole nanoseconds in decimals; null as soon as an amount or the sum is no 64-bit number
+    amount = (
+        f"CASE WHEN double(n) * double({unit}) < 9.3e18D "
+        f"THEN try_cast(try_cast(n AS decimal(28, 9)) * CAST({unit} AS decimal(14, 0)) AS bigint) END"
     )
+    nanos = f"aggregate(zip_with({parts[0]}, {parts[1]}, (n, u) -> {amount}), 0L, (acc, x) -> try_add(acc, x))"
     return (
         f"CASE WHEN {body} RLIKE '^[-+]?(0|({_AMOUNT}{_UNIT})+)$' THEN "
-        f"CASE WHEN startswith({body}, '-') THEN 1L ELSE greatest({nanos} div 1000000000L, 1L) END END"
+        f"CASE WHEN {nanos} IS NULL THEN NULL WHEN startswith({body}, '-') THEN 1L ELSE greatest({nanos} div 1000000000L, 1L) END END"
     )
 
 

@@ -31,11 +31,14 @@ def url_host(url: Column) -> Column:
 
 def url_error(url: Column) -> Column:
     """Why a url does not parse, or null."""
+    host = url_host(url)
     bad = (
         F.when(url.rlike(r"[\x00-\x1f\x7f]"), "control character")
         .when(url.rlike(r"^:"), "missing protocol scheme")
         .when(url.rlike(r"^[^?#]*%(?![0-9A-Fa-f]{2})"), "bad escape")
         .when(url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*[ <>\"]"), "bad host character")
+        .when(host.rlike(r"\[") & ~host.rlike(r"^\[[^\[\]]*\](:[0-9]*)?$"), "bad bracket host")
+        .when(host.rlike(r"^[^\[]*%[0-7]"), "bad host escape")
         .when(url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#\[]*:[^/?#:@]*[^0-9/?#:@][^/?#:@]*(?:[/?#]|$)"), "bad port")
     )
     return bad

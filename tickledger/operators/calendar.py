@@ -33,7 +33,7 @@ def fire_calendar(timers: DataFrame, from_us: int | Column, until_us: int | Colu
     high = F.lit(until_us) if isinstance(until_us, int) else until_us
     columns = [c for c in timers.columns if c not in ("low_us", "high_us")]
     start = F.unix_micros("start_time")
-    limit = F.coalesce(F.col("max_executions"), F.lit(0))
+    limit = F.coalesce(F.col("max_executions"), F.lit(0)).cast("bigint")
     ready = (
         C.parse(timers)
         .withColumn("_low", low)
@@ -62,11 +62,12 @@ def fire_calendar(timers: DataFrame, from_us: int | Column, until_us: int | Colu
     )
     ready = ready.withColumn("_per_day", _bits(hours) * _bits(minutes)).withColumn("_skipped", skipped)
     matching = F.expr(f"filter(sequence(_first_day, _last_day), d -> {C.day_matches_sql('d')})")
-    needed = F.floor((limit - 1 + F.col("_skipped")) / F.col("_per_day")).cast("int") + 1
+    days_needed = F.floor((limit - 1 + F.col("_skipped")) / F.col("_per_day"))
+    needed = F.least(days_needed, F.lit(2**31 - 2)).cast("int") + 1
     matching = F.when(limit > 0, F.slice(matching, F.lit(1), needed)).otherwise(matching)
-    last_every = F.when(limit > 0, F.least(F.col("_end"), F.col("_first") + (limit - 1) * F.col("_step"))).otherwise(
-        F.col("_end")
-    )
+    # the limit is compared as a number of steps: as an instant it might not fit
+    steps = F.expr("(_end - _first) div _step")
+    last_every = F.when(limit > 0, F.col("_first") + F.least(limit - 1, steps) * F.col("_step")).otherwise(F.col("_end"))
     every_days = F.sequence(F.col("_first_day"), _day(last_every))
     per_day = ready.select(
         *columns,
