@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import zlib
 
 import pytest
 
@@ -112,13 +113,15 @@ def as_records(log):
 
 
 def run_fires(spark, log, path, files, **options):
-    write_in_files(spark, as_records(log), RECORD, f"{path}/log", files)
+    for part in files if isinstance(files, list) else [None]:
+        rows = as_records(log)
+        write_in_files(spark, [rows[i] for i in part] if part else rows, RECORD, f"{path}/log", 1 if part else files)
     schema = spark.read.parquet(f"{path}/log").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
-    events = fires.fires(stream, **options)
+    events = fires.fires(stream, options.pop("delay", "0 seconds"), **options)
     writer = events.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp")
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    fires.run_checked(query)
     out = spark.read.schema(fires.OUTPUT_SCHEMA).parquet(f"{path}/out").collect()
     watermarks = [p["eventTime"].get("watermark") for p in query.recentProgress]
     got = {}
@@ -127,9 +130,9 @@ def run_fires(spark, log, path, files, **options):
     return {k: sorted(v, key=lambda e: (e[2] or 1 << 62, e[1])) for k, v in got.items()}, watermarks
 
 
-def expected_fires(log, restored=()):
-    """Every planned fire of every life of every key, up to the last time of the log."""
-    end = log[-1][2] // 1000 * 1000
+def expected_fires(log, restored=(), delay=0):
+    """Every planned fire of every life of every key, up to the last time of the log less the delay."""
+    end = (log[-1][2] - delay) // 1000 * 1000
     lives = [(key, schedule, 0, None, -1) for key, schedule, *_ in ()]
     for key, schedule, done, last in restored:
         lives.append((key, schedule, done, last, -1))
@@ -159,6 +162,39 @@ def test_all_fires_do_not_depend_on_the_batches(spark, tmp_path, files):
     assert got == expected_fires(log)
 
 
+def lagging_files(log):
+    """Four files in which half of the keys arrive one file later than the others, as partitions may."""
+    n = len(log) - 1  # the closing command comes last
+    late = [i for i in range(n) if zlib.crc32(log[i][1].encode()) % 2]
+    soon = [i for i in range(n) if i not in set(late)]
+    third = lambda rows, k: rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
+    return [third(soon, 0), third(soon, 1) + third(late, 0), third(soon, 2) + third(late, 1), third(late, 2) + [n]]
+
+
+def test_partitions_may_run_apart_by_the_delay(spark, tmp_path):
+    log = command_log(5)
+    log[-1] = (codec.DELETE, "closing", log[-1][2] + 100 * HOUR, None)
+    got, _ = run_fires(spark, log, str(tmp_path), lagging_files(log), delay="100 hours")
+    assert got == expected_fires(log, delay=100 * HOUR)
+
+
+def test_lost_commands_stop_the_stream(spark, tmp_path):
+    log = command_log(5)
+    with pytest.raises(RuntimeError, match="late commands"):
+        run_fires(spark, log, str(tmp_path), lagging_files(log))
+
+
+def test_invalid_create_leaves_the_timer_alone(spark, tmp_path):
+    log = [
+        (codec.UPSERT, "a", T0, ("@every 1h", T0, None, 3)),
+        (codec.UPSERT, "a", T0 + HOUR + MINUTE, ("not a cron", T0, None, 0)),
+        (codec.UPSERT, "b", T0 + 2 * HOUR, ("@every 99999999999h", T0, None, 0)),
+        (codec.DELETE, "x", T0 + 9 * HOUR, None),
+    ]
+    got, _ = run_fires(spark, log, str(tmp_path), 2)
+    assert got == expected_fires([log[0], log[-1]])
+
+
 def test_restored_timers_keep_their_progress(spark, tmp_path):
     log = command_log(9, n=12)
     restored = [

@@ -14,6 +14,7 @@ from tickledger.sources import sample
 from tickledger.streaming import fires, projections
 
 KEY = S.KEY_COLUMNS
+DELAY = "0 seconds"  # the sample is one file in time order
 
 
 def _log(spark: SparkSession, sf: str, damaged: bool = False, redelivered: bool = False) -> DataFrame:
@@ -58,19 +59,19 @@ def _run_fires(spark: SparkSession, events: DataFrame, label: str) -> DataFrame:
     base = shared_path(spark, label)
     writer = events.writeStream.format("parquet").option("path", f"{base}/events")
     query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    fires.run_checked(query)
     out = spark.read.schema(fires.OUTPUT_SCHEMA).parquet(f"{base}/events")
     return out.where(F.col("event") == "FIRE").select(*KEY, "n", "fire_us")
 
 
 def stream_fires(spark: SparkSession, sf: str) -> DataFrame:
     records = sample.typed(sample.stream_events(configure(spark), sf))
-    return _run_fires(spark, fires.fires(records), "stream-fires")
+    return _run_fires(spark, fires.fires(records, DELAY), "stream-fires")
 
 
 def late_fires(spark: SparkSession, sf: str) -> DataFrame:
     records = sample.typed(sample.stream_events(configure(spark), sf))
-    return _run_fires(spark, fires.fires(records, "coalesce"), "late-fires")
+    return _run_fires(spark, fires.fires(records, "0 seconds", "coalesce"), "late-fires")
 
 
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +80,7 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     past = sample.records(configure(spark), sf).where(old)
     state = restore.restore_state(compaction.live_creates(past, parts=("schedule",)), compaction.progress_latest(past))
     live = sample.typed(sample.stream_events(spark, sf)).where(~old)
-    return _run_fires(spark, fires.fires(live, restored=state), "stream-restore")
+    return _run_fires(spark, fires.fires(live, DELAY, restored=state), "stream-restore")
 
 
 QUERIES = {

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tickledger import schemas as S
 from tickledger.functions import codec
 from tickledger.functions import cron as C
+from tickledger.operators import compaction
 
 # The processor runs in Python workers that need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,8 +58,12 @@ def _with_schedule(df: DataFrame) -> DataFrame:
 
 
 def commands(records: DataFrame) -> DataFrame:
-    """Create and delete records of a stream as input rows of the timers."""
-    rows = records.where((F.col("topic") == S.CREATE_TOPIC) & F.col("kind").isin(codec.UPSERT, codec.DELETE))
+    """Valid create and delete records of a stream as input rows of the timers.
+
+    A create that breaks a rule is no command: it leaves a running timer as it is.
+    ``compaction.valid_creates`` has such rows for the quarantine.
+    """
+    rows = compaction.valid_creates(records)[0].where(F.col("kind").isin(codec.UPSERT, codec.DELETE))
     flat = rows.select("timestamp", "offset", "kind", *KEY, "create.schedule.*")
     names = [name for name, _ in SCHEDULE_FIELDS]
     return _with_schedule(flat).select("timestamp", "offset", "kind", *KEY, *names)
@@ -84,7 +89,7 @@ def _clock(minute_mask: int, hour_mask: int) -> list[int]:
     if found is None:
         hours = [h for h in range(24) if hour_mask >> h & 1]
         minutes = [m for m in range(60) if minute_mask >> m & 1]
-        if len(_CLOCKS) > 10_000:
+        if len(_CLOCKS) > 1_000:
             _CLOCKS.clear()
         found = _CLOCKS[minute_mask, hour_mask] = [h * 60 + m for h in hours for m in minutes]
     return found
@@ -262,10 +267,14 @@ class TimerProcessor(StatefulProcessor):
 
 
 def fires(
-    records: DataFrame, catch_up: str = "all", delay: str = "0 seconds", restored: DataFrame | None = None
+    records: DataFrame, delay: str, catch_up: str = "all", restored: DataFrame | None = None
 ) -> DataFrame:
     """FIRE and FINISH events of the timers that a stream of records creates and deletes.
 
+    ``delay`` is how far the partitions of the log may run apart in time; a command that comes later
+    still would be dropped by the engine, so run the stream with ``run_checked``, which ends it
+    with an error instead. Start it again from a restored table then.
+
     ``restored`` starts the timers of an earlier replay with their progress; the batch job that
     computes it ends before the stream starts, which is the gate between replay and live.
     """
@@ -274,3 +283,26 @@ def fires(
     return keyed.transformWithStateInPandas(
         TimerProcessor(catch_up), OUTPUT_SCHEMA, "append", "EventTime", initialState=state
     )
+
+
+def dropped_rows(progress) -> int:
+    """Rows that the watermark dropped in a batch."""
+    return sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+
+
+def run_checked(query) -> None:
+    """Wait for a query of ``fires`` to end; a batch that lost commands stops it with an error.
+
+    The progress of the last batches is looked at after the run and once a second during it.
+    """
+    seen = -1
+    while True:
+        ended = query.awaitTermination(1)
+        for progress in query.recentProgress:
+            if progress.batchId > seen:
+                seen = progress.batchId
+                if lost := dropped_rows(progress):
+                    query.stop()
+                    raise RuntimeError(f"batch {seen} lost {lost} late commands: restore the timers and use a longer delay")
+        if ended:
+            return

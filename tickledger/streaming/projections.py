@@ -121,9 +121,11 @@ def quarantine_handler(good_path: str, bad_path: str) -> Callable[[DataFrame, in
     def handle(batch: DataFrame, batch_id: int) -> None:
         # decoded once for both writes; lost blocks are decoded again
         records = codec.decode_records(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        good, bad = codec.split_quarantine(records)
-        write_batch(good.select("topic", "partition", "offset", "kind", *KEY), good_path, batch_id)
-        write_batch(bad.select("topic", "partition", "offset", "reason", "key", "value"), bad_path, batch_id)
-        records.unpersist()
+        try:
+            good, bad = codec.split_quarantine(records)
+            write_batch(good.select("topic", "partition", "offset", "kind", *KEY), good_path, batch_id)
+            write_batch(bad.select("topic", "partition", "offset", "reason", "key", "value"), bad_path, batch_id)
+        finally:
+            records.unpersist()
 
     return handle
