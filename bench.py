@@ -26,7 +26,6 @@ HEADLINE = [
     "planned_vs_actual",
     "executions_append",
     "running_progress",
-    "replay_fires",
     "ring_lookup",
     "shard_load",
     "classify_records",

@@ -53,3 +53,9 @@ def test_partition_of_is_the_crc_of_the_uuid_bytes(spark):
     df = spark.createDataFrame([(i,) for i in ids], "u string")
     got = {r.u: r.p for r in df.select("u", keys.partition_of(F.col("u"), 97).alias("p")).collect()}
     assert got == {i: zlib.crc32(uuid.UUID(i).bytes) % 97 for i in ids}
+
+
+def test_empty_shards_are_part_of_the_load(spark):
+    owners = spark.createDataFrame([("a", 0), ("b", 1), ("b", 2)], "member string, partition int")
+    got = {r.member: (r["keys"], r.rows, r.skew) for r in shards.shard_load(spark.createDataFrame([], "domain string, timer_uuid string"), owners, 3).collect()}
+    assert got == {"a": (0, 0, None), "b": (0, 0, None)}

@@ -69,6 +69,19 @@ def compact_log(
     return keep_last(rows, KEY, log_position(), ["partition", "offset", "timestamp", "kind", value])
 
 
+def compact_keys(records: DataFrame) -> DataFrame:
+    """Offset and kind of the latest record of every key of each topic, without any payload.
+
+    A key lives in one partition of a topic, so the offset alone orders its records. Offset and kind
+    share one long: the aggregate hashes in the map tasks, without sorting the log first.
+    """
+    rows = records.where(F.col("kind").isin(codec.UPSERT, codec.DELETE))
+    packed = F.shiftleft(F.col("offset"), 1) + (F.col("kind") == codec.UPSERT).cast("bigint")
+    last = rows.groupBy("topic", *KEY).agg(F.max(packed).alias("_last"))
+    kind = F.when(F.col("_last") % 2 == 1, codec.UPSERT).otherwise(codec.DELETE)
+    return last.select("topic", *KEY, F.shiftright(F.col("_last"), 1).alias("offset"), kind.alias("kind"))
+
+
 def valid_creates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(create commands and tombstones that count, rejected creates with the reason)."""
     rows = with_create_error(_topic(records, S.CREATE_TOPIC), "create", "rejected")

@@ -102,7 +102,7 @@ def assignment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def shard_load(rows: DataFrame, owners: DataFrame, partitions: int) -> DataFrame:
-    """Keys and rows of every shard, and its rows relative to the mean.
+    """Keys and rows of every member that owns a partition, and its rows relative to the mean of these.
 
     Rows are first counted per key inside the map tasks, which also makes the keys distinct.
     """
@@ -112,8 +112,10 @@ def shard_load(rows: DataFrame, owners: DataFrame, partitions: int) -> DataFrame
         .groupBy("member")
         .agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows"))
     )
-    mean = F.avg("rows").over(Window.partitionBy(F.lit(1)))  # at most one row per partition
-    return load.withColumn("skew", F.col("rows") / mean)
+    members = owners.select("member").distinct()  # at most one row per partition
+    load = members.join(load, "member", "left").fillna(0, ["keys", "rows"])
+    mean = F.avg("rows").over(Window.partitionBy(F.lit(1)))
+    return load.withColumn("skew", F.try_divide(F.col("rows"), mean))
 
 
 def moved_keys(rows: DataFrame, old: DataFrame, new: DataFrame, partitions: int) -> DataFrame:

@@ -75,7 +75,14 @@ def publish_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_inspect(spark: SparkSession, sf: str) -> DataFrame:
     rows = logs.inspect(sample.envelope(configure(spark), sf))
-    return plain(rows.select("topic", "partition", "offset", "kind", "domain", "timer_uuid"))
+    value = F.col("value")
+    return plain(
+        rows.select(
+            "topic", "partition", "offset", "kind", "domain", "timer_uuid",
+            F.get_json_object(value, "$.schedule.cron").alias("cron"),
+            F.get_json_object(value, "$.progress.completed_executions").cast("bigint").alias("completed"),
+        )
+    )
 
 
 def log_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,9 +126,12 @@ def validate_create(spark: SparkSession, sf: str) -> DataFrame:
     url = (
         F.when(n % 5 == 0, relative)
         .when(n % 13 == 0, F.lit("http://exa mple.com/"))
+        .when(n % 17 == 0, F.lit("http://[::1]:x/"))
+        .when(n % 19 == 0, F.lit("http://[::1]:80/"))
+        .when(n % 23 == 0, F.lit("http://a%41b.example.com/"))
         .otherwise(F.col("url"))
     )
-    crons = [*sample.CRONS, "61 * * * *", "* * * *", "@sometimes", "@every soon"]
+    crons = [*sample.CRONS, "61 * * * *", "* * * *", "@sometimes", "@every 2562048h"]
     http = F.struct(
         url.alias("url"),
         F.pmod(n, F.lit(3)).cast("int").alias("method"),

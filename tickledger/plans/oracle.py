@@ -212,7 +212,9 @@ LOG_SQL = {
          count(*) AS n, min(CASE WHEN kind = 'UPSERT' THEN start_us END) AS first_start_us
          FROM plog WHERE topic = 'create' AND kind <> 'MARKER' GROUP BY ALL""",
     "log_inspect": _with(_LOG, _PARTS)
-    + """SELECT topic, part AS partition, off AS "offset", kind, domain, timer_uuid FROM plog""",
+    + """SELECT topic, part AS partition, off AS "offset", kind, domain, timer_uuid,
+         CASE WHEN kind = 'UPSERT' AND topic = 'create' THEN cron END AS cron,
+         CASE WHEN kind = 'UPSERT' AND topic = 'execute' THEN completed END AS completed FROM plog""",
     "log_counts": _with(_LOG, _PARTS) + "SELECT topic, part AS partition, kind, count(*) AS n FROM plog GROUP BY ALL",
     "union_logs": _with(_LOG, _PARTS) + 'SELECT topic, part AS partition, off AS "offset" FROM plog',
     "drop_markers": _log("""SELECT topic, off AS "offset" FROM lg WHERE kind <> 'MARKER'"""),
@@ -228,6 +230,8 @@ LOG_SQL = {
          WHEN page_id % 11 = 0 THEN 'invalid task: unknown task'
          WHEN page_id % 3 = 2 THEN 'invalid task: unknown method'
          WHEN page_id % 13 = 0 AND page_id % 5 <> 0 THEN 'invalid task: parsing url: bad host character'
+         WHEN page_id % 17 = 0 AND page_id % 5 <> 0 THEN 'invalid task: parsing url: bad bracket host'
+         WHEN page_id % 23 = 0 AND page_id % 5 <> 0 AND page_id % 19 <> 0 THEN 'invalid task: parsing url: bad host escape'
          WHEN page_id % 5 = 0 THEN 'invalid task: relative url not allowed'
          WHEN strlen(html) > 15000 THEN 'invalid task: request body too large'
          WHEN page_id % 10 = 6 THEN 'invalid schedule: invalid cron: bad minute field'
@@ -311,8 +315,8 @@ STATE_SQL = {
     "live_creates": _with(_LOG, _LIVE)
     + 'SELECT domain, timer_uuid, off AS "offset", cron, start_us AS start_time FROM live',
     "compact_log": _log(
-        """SELECT domain, timer_uuid, max(off) AS "offset", arg_max(kind, off) AS kind FROM lg
-           WHERE topic = 'create' AND kind <> 'MARKER' GROUP BY ALL"""
+        """SELECT topic, domain, timer_uuid, max(off) AS "offset", arg_max(kind, off) AS kind FROM lg
+           WHERE kind <> 'MARKER' GROUP BY ALL"""
     ),
     "create_sessions": _with(_LOG, _ANY) + "SELECT domain, timer_uuid, has_delete, deleted_at, created_offset FROM sessions",
     "timers_projection": _with(_LOG, _ON_EXECUTE)
@@ -348,7 +352,7 @@ STATE_SQL = {
     coalesce(max(ts_us) FILTER (WHERE ts_us >= {SPLIT}), arg_max(coalesce(last_us, -1), off) FILTER (WHERE ts_us < {SPLIT})) AS last_raw
   FROM execs GROUP BY ALL) q""",
     "timer_history": _with(_LOG, _EXECS)
-    + f"""SELECT domain, timer_uuid, ts_us AS kafka_timestamp, off AS "offset", {_OUTCOME} AS outcome FROM execs""",
+    + f"""SELECT domain, timer_uuid, ts_us AS kafka_timestamp, off AS "offset", {_OUTCOME} AS outcome FROM execs WHERE domain = 'u7'""",
     "outcome_counts": _with(_LOG, _EXECS)
     + f"""SELECT domain, timer_uuid, {_OUTCOME} AS outcome, count(*) AS executions, min(ts_us) AS first_at, max(ts_us) AS last_at FROM execs GROUP BY ALL""",
     "restore_state": _with(_LOG, _REST)
@@ -365,13 +369,13 @@ SCHEDULE_SQL = {
     CASE WHEN event_type NOT IN ('click','view') THEN k % 9 END AS dow, CASE WHEN event_type NOT IN ('click','view') THEN user_id % 5 END AS step,
     CASE WHEN event_type NOT IN ('click','view') THEN user_id % 40 END AS dom, k FROM ev),
 judged AS (
-  SELECT *, CASE WHEN is_every THEN '@every ' || k || 's' WHEN is_bad THEN '@each' || k
+  SELECT *, CASE WHEN is_every AND k >= 90 THEN '@every 99999999' || k || 'h' WHEN is_every THEN '@every ' || k || 's' WHEN is_bad THEN '@each' || k
       ELSE k || ' */' || step || ' ' || dom || ' * ' || dow END AS cron,
-    CASE WHEN is_every THEN NULL WHEN is_bad THEN 'unknown descriptor' WHEN k > 59 THEN 'bad minute field'
+    CASE WHEN is_every THEN CASE WHEN k >= 90 THEN 'bad duration' END WHEN is_bad THEN 'unknown descriptor' WHEN k > 59 THEN 'bad minute field'
       WHEN step = 0 THEN 'bad hour field' WHEN dom NOT BETWEEN 1 AND 31 THEN 'bad dom field' WHEN dow > 6 THEN 'bad dow field' END AS cron_error
   FROM texts)
 SELECT cron, CASE WHEN cron_error IS NOT NULL THEN 'error' WHEN is_every THEN 'every' ELSE 'fields' END AS cron_kind,
-  CASE WHEN is_every THEN greatest(k, 1) END AS every_s,
+  CASE WHEN is_every AND k < 90 THEN greatest(k, 1) END AS every_s,
   CASE WHEN cron_error IS NULL AND NOT is_every THEN k::VARCHAR END AS minutes,
   CASE WHEN cron_error IS NULL AND NOT is_every THEN array_to_string(list_filter(range(24), lambda x: x % step = 0), ',') END AS hours,
   CASE WHEN cron_error IS NULL AND NOT is_every THEN dom::VARCHAR END AS doms,
@@ -384,8 +388,9 @@ SELECT cron, CASE WHEN cron_error IS NOT NULL THEN 'error' WHEN is_every THEN 'e
     "next_n_due": (_with(_LOG, _FIRES) + "SELECT domain, timer_uuid, fire_us FROM fires WHERE fire_us IS NOT NULL ORDER BY fire_us, domain, timer_uuid LIMIT 100").replace(
         str(NOW), str(START + 20 * DAY)
     ),
-    "termination_status": _with(_LOG, _FIRES)
-    + "SELECT domain, timer_uuid, status, 2::BIGINT AS tombstones FROM fires WHERE fire_us IS NULL",
+    "termination_status": _with(_LOG, _PARTS, _FIRES)
+    + """SELECT topic, p.crc % 8 AS partition, domain, timer_uuid, true AS is_tombstone
+         FROM fires JOIN parts p ON p.h = replace(timer_uuid, '-', ''), (VALUES ('create'), ('execute')) t(topic) WHERE fire_us IS NULL""",
     "exhausted": _with(_LOG, _REST)
     + "SELECT domain, timer_uuid, max_executions <> 0 AND completed >= max_executions AS exhausted FROM rest",
     "past_stop": _with(_LOG, _PLANNED)
@@ -444,8 +449,9 @@ SELECT d.*, coalesce(c.keys, 0) AS keys FROM d LEFT JOIN c USING (partition)""",
     + """SELECT partition, domain, timer_uuid, o.member AS old_member, n.member AS new_member
          FROM keyed JOIN old_owner o USING (partition) JOIN new_owner n USING (partition) WHERE o.member <> n.member""",
     "shard_load": _with(_KEYS)
-    + """, l AS (SELECT member, count(*) AS keys, sum(n_rows)::BIGINT AS rows FROM keyed JOIN old_owner USING (partition) GROUP BY member)
-SELECT member, keys, rows, rows / (SELECT avg(rows) FROM l) AS skew FROM l""",
+    + """, l AS (SELECT member, count(*) AS keys, sum(n_rows)::BIGINT AS rows FROM keyed JOIN old_owner USING (partition) GROUP BY member), m AS (SELECT DISTINCT member FROM old_owner),
+f AS (SELECT member, coalesce(keys, 0) AS keys, coalesce(rows, 0) AS rows FROM m LEFT JOIN l USING (member))
+SELECT member, keys, rows, rows / (SELECT avg(rows) FROM f) AS skew FROM f""",
 }
 
 _MARK = "mark AS (SELECT max(ts_us) // 1000 * 1000 AS w FROM lg WHERE topic = 'create' AND kind <> 'MARKER')"

@@ -23,7 +23,8 @@ def parse_schedules(spark: SparkSession, sf: str) -> DataFrame:
     rows = sample.with_k(sample.events(configure(spark), sf))
     k, user = F.col("k").cast("string"), F.col("user_id")
     text = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit("@every "), k, F.lit("s")))
+        F.when((F.col("event_type") == "click") & (F.col("k") >= 90), F.concat(F.lit("@every "), F.lit("99999999"), k, F.lit("h")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("@every "), k, F.lit("s")))
         .when(F.col("event_type") == "view", F.concat(F.lit("@each"), k))
         .otherwise(
             F.concat(
@@ -70,10 +71,8 @@ def termination_status(spark: SparkSession, sf: str) -> DataFrame:
     done = schedule.finished(restored(spark, sf), NOW_US)
     tombs = logs.finish_tombstones(done, sample.PARTITIONS)
     key = F.from_json(F.col("key").cast("string"), S.KEY)
-    sent = tombs.groupBy(key["domain"].alias("domain"), key["timer_uuid"].alias("timer_uuid")).agg(
-        F.count(F.lit(1)).alias("tombstones")
-    )
-    return plain(done.join(sent, KEY).select(*KEY, "status", "tombstones"))
+    rows = tombs.select("topic", "partition", key["domain"].alias("domain"), key["timer_uuid"].alias("timer_uuid"), "value")
+    return plain(rows.select("topic", "partition", *KEY, F.col("value").isNull().alias("is_tombstone")))
 
 
 def exhausted(spark: SparkSession, sf: str) -> DataFrame:

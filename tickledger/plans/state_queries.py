@@ -13,6 +13,7 @@ from tickledger.session import configure, shared_path
 from tickledger.sources import logs, sample, tables
 
 KEY = S.KEY_COLUMNS
+TENANT = "u7"
 SPLIT_US = 1_705_363_200_000_000  # 2024-01-16: rows before it are the older batch
 
 
@@ -26,7 +27,7 @@ def live_creates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compact_log(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(compaction.compact_log(_records(spark, sf)).select(*KEY, "offset", "kind"))
+    return plain(compaction.compact_keys(_records(spark, sf)))
 
 
 def create_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +108,7 @@ def advance_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def timer_history(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(access.timer_history(compaction.executions(_records(spark, sf))))
+    return plain(access.timer_history(compaction.executions(_records(spark, sf)), TENANT))
 
 
 def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:

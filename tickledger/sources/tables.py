@@ -26,7 +26,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def scoped(tables: dict[str, DataFrame], table: str, domain: str) -> DataFrame:
     """A tenant's own rows of one of the readable tables; pruned to one folder by the scan."""
     if table not in TENANT_TABLES:
-        raise ValueError(f"index must be one of {TENANT_TABLES[1]} or {TENANT_TABLES[0]}")
+        raise ValueError(f"no readable table {table!r}: choose from {sorted(TENANT_TABLES)}")
     return tables[table].where(F.col("domain") == domain)
 
 
