@@ -82,11 +82,16 @@ def fit(
 def _fit(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     if not 0 < y.sum() < len(y):  # the sampled keys have no text
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    count = lambda of: 1 + np.bincount(index[(y == of)[row]], minlength=BUCKETS)
-    toxic, clean = count(1), count(0)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    seen = np.ones((2, BUCKETS))
+    for k in range(len(y)):
+        seen[y[k], index[ends[k] : ends[k + 1]]] += 1  # the n-grams of a text are distinct
+    clean, toxic = seen
     ratio = np.log(toxic / (y.sum() + 2)) - np.log(clean / (len(y) - y.sum() + 2))
     ratio[np.abs(ratio) < CERTAIN * np.sqrt(1 / toxic + 1 / clean)] = 0
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    used = ratio[index] != 0  # few n-grams are left
+    row, index = row[used], index[used]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes weigh the same
     value = ratio.astype(np.float32)[index]
     theta, bias = np.zeros(BUCKETS), 0.0
