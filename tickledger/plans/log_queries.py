@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickledger import schemas as S
 from tickledger.functions import codec, keys, paths, results, rules
-from tickledger.operators import access
+from tickledger.operators import access, commands
 from tickledger.plans.shape import plain
 from tickledger.session import configure, shared_path
 from tickledger.sources import logs, sample
@@ -227,6 +227,30 @@ def stamp_meta(spark: SparkSession, sf: str) -> DataFrame:
     return plain(stamped.select("offset", "c.meta.create_time", keys.is_uuid(F.col("id")).alias("id_ok")))
 
 
+def accept_commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Creates, some without a start or with a broken text, and deletes, some with a broken id."""
+    rows = sample.records(configure(spark), sf).where((F.col("topic") == S.CREATE_TOPIC) & (F.col("kind") != codec.MARKER))
+    plan = F.col("create.schedule")
+    cron = F.when(F.col("k") % 11 == 0, "@sometimes").otherwise(plan["cron"])
+    start = F.when(F.col("k") % 7 != 0, plan["start_time"])
+    create = F.col("create").withField("schedule", plan.withField("cron", cron).withField("start_time", start))
+    is_delete = F.col("kind") == codec.DELETE
+    asked = rows.select(
+        "offset", "domain", is_delete.alias("is_delete"),
+        F.when(is_delete & (F.col("k") % 13 == 0), "nobody").otherwise(F.col("timer_uuid")).alias("timer_uuid"),
+        F.when(~is_delete, create).alias("create"),
+    )
+    judged = commands.judge(asked, NOW)
+    good = F.col("reason").isNull()
+    return plain(
+        judged.select(
+            "offset", "domain", "is_delete", "reason",
+            F.when(good, keys.partition_of(F.col("timer_uuid"), sample.PARTITIONS)).alias("partition"),
+            F.when(good, F.col("create.schedule.start_time")).alias("start_time"),
+        )
+    )
+
+
 def headers_to_map(spark: SparkSession, sf: str) -> DataFrame:
     rows = sample.envelope(configure(spark), sf).select("offset", codec.headers_to_map(F.col("headers")).alias("m"))
     return plain(
@@ -334,7 +358,7 @@ QUERIES = {
         src_command_log, src_execution_log, route_topics, replay_bounded, generation_fence, publish_commands,
         log_inspect, log_counts, union_logs, drop_markers, classify_markers, classify_records,
         quarantine_malformed, validate_create, tenant_scope, valid_uuid, decode_key, decode_create,
-        decode_execute, encode_records, default_start, stamp_meta, headers_to_map, split_header_values,
+        decode_execute, encode_records, default_start, stamp_meta, accept_commands, headers_to_map, split_header_values,
         partition_of, parse_result, result_outcome, cap_body, error_json, shift_path, attribute_requests,
         method_name,
     )

@@ -274,6 +274,12 @@ LOG_SQL = {
     "stamp_meta": _log(
         f"""SELECT off AS "offset", {NOW}::BIGINT AS create_time, true AS id_ok FROM lg WHERE topic = 'create' AND kind = 'UPSERT'"""
     ),
+    "accept_commands": _with(_LOG, _PARTS)
+    + f"""SELECT off AS "offset", domain, kind = 'DELETE' AS is_delete, reason, CASE WHEN reason IS NULL THEN part END AS partition,
+           CASE WHEN reason IS NULL AND kind = 'UPSERT' THEN CASE WHEN k % 7 = 0 THEN {NOW} ELSE start_us END END AS start_time
+           FROM (SELECT *, CASE WHEN kind = 'DELETE' THEN CASE WHEN k % 13 = 0 THEN 'invalid timer id' END
+                   WHEN k % 11 = 0 THEN 'invalid schedule: invalid cron: unknown descriptor' END AS reason
+                 FROM plog WHERE topic = 'create' AND kind <> 'MARKER') q""",
     "headers_to_map": _log(
         """SELECT off AS "offset", CASE WHEN kind = 'MARKER' THEN (k % 3)::VARCHAR END AS generation,
            CASE WHEN kind <> 'MARKER' THEN k::VARCHAR END AS trace FROM lg"""
@@ -353,6 +359,8 @@ STATE_SQL = {
   FROM execs GROUP BY ALL) q""",
     "timer_history": _with(_LOG, _EXECS)
     + f"""SELECT domain, timer_uuid, ts_us AS kafka_timestamp, off AS "offset", {_OUTCOME} AS outcome FROM execs WHERE domain = 'u7'""",
+    "tenant_read": _with(_LOG, _EXECS)
+    + """SELECT domain, timer_uuid, ts_us AS kafka_timestamp, off AS "offset" FROM execs WHERE domain = 'u7'""",
     "outcome_counts": _with(_LOG, _EXECS)
     + f"""SELECT domain, timer_uuid, {_OUTCOME} AS outcome, count(*) AS executions, min(ts_us) AS first_at, max(ts_us) AS last_at FROM execs GROUP BY ALL""",
     "restore_state": _with(_LOG, _REST)
@@ -391,6 +399,12 @@ SELECT cron, CASE WHEN cron_error IS NOT NULL THEN 'error' WHEN is_every THEN 'e
     "termination_status": _with(_LOG, _PARTS, _FIRES)
     + """SELECT topic, p.crc % 8 AS partition, domain, timer_uuid, true AS is_tombstone
          FROM fires JOIN parts p ON p.h = replace(timer_uuid, '-', ''), (VALUES ('create'), ('execute')) t(topic) WHERE fire_us IS NULL""",
+    "fire_records": _with(_LOG, _PARTS, _FIRES, _calendar())
+    + """SELECT topic, p.crc % 8 AS partition, domain, timer_uuid, kind, completed_executions, last_execution FROM (
+  SELECT 'execute' AS topic, domain, timer_uuid, 'UPSERT' AS kind, n AS completed_executions, fire_us AS last_execution FROM calendar
+  UNION ALL
+  SELECT topic, domain, timer_uuid, 'DELETE', NULL, NULL FROM fires, (VALUES ('create'), ('execute')) t(topic) WHERE fire_us IS NULL) q
+JOIN parts p ON p.h = replace(timer_uuid, '-', '')""",
     "exhausted": _with(_LOG, _REST)
     + "SELECT domain, timer_uuid, max_executions <> 0 AND completed >= max_executions AS exhausted FROM rest",
     "past_stop": _with(_LOG, _PLANNED)

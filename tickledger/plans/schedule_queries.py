@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickledger import schemas as S
 from tickledger.functions import cron as C
+from tickledger.functions.codec import decode_records
 from tickledger.operators import calendar, compaction, replay, schedule
 from tickledger.plans.log_queries import NOW_US
 from tickledger.plans.shape import plain
@@ -75,6 +76,18 @@ def termination_status(spark: SparkSession, sf: str) -> DataFrame:
     return plain(rows.select("topic", "partition", *KEY, F.col("value").isNull().alias("is_tombstone")))
 
 
+def fire_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The calendar's fires and the finished timers as log records, decoded again."""
+    fired = _calendar(spark, sf).select(*KEY, F.lit("FIRE").alias("event"), "n", "fire_us")
+    done = schedule.finished(restored(spark, sf), NOW_US).select(
+        *KEY, F.lit("FINISH").alias("event"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("fire_us")
+    )
+    log = logs.fire_records(fired.union(done), sample.PARTITIONS)
+    placed = log.select("*", F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
+    rows = decode_records(placed)
+    return plain(rows.select("topic", "partition", *KEY, "kind", "execute.progress.completed_executions", "execute.progress.last_execution"))
+
+
 def exhausted(spark: SparkSession, sf: str) -> DataFrame:
     return plain(restored(spark, sf).select(*KEY, schedule.exhausted().alias("exhausted")))
 
@@ -135,7 +148,7 @@ def replay_fires(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_schedules, next_fire, due_timers, next_n_due, termination_status, exhausted, past_stop, missed_fire,
+        parse_schedules, next_fire, due_timers, next_n_due, termination_status, fire_records, exhausted, past_stop, missed_fire,
         fire_calendar, rank_fires, limit_per_key, planned_vs_actual, executions_in_interval, replay_fires,
     )
 }

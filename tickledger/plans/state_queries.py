@@ -111,6 +111,14 @@ def timer_history(spark: SparkSession, sf: str) -> DataFrame:
     return plain(access.timer_history(compaction.executions(_records(spark, sf)), TENANT))
 
 
+def tenant_read(spark: SparkSession, sf: str) -> DataFrame:
+    """One tenant's executions from the table that is laid out by domain."""
+    path = shared_path(spark, "executions")
+    tables.write_by_domain(compaction.executions(_records(spark, sf), ("partition", "offset")), path)
+    back = tables.read_table(spark, path, "domain string, timer_uuid string, kafka_timestamp timestamp, offset bigint")
+    return plain(tables.scoped({"executions": back}, "executions", TENANT).select(*KEY, "kafka_timestamp", "offset"))
+
+
 def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     return plain(access.outcome_counts(compaction.executions(_records(spark, sf))))
 
@@ -134,6 +142,6 @@ QUERIES = {
     for f in (
         live_creates, compact_log, create_sessions, timers_projection, apply_tombstones, executions_append,
         doc_ids, upsert_latest, domain_layout, progress_latest, progress_by_partition, progress_rebuild,
-        running_progress, advance_progress, timer_history, outcome_counts, restore_state, normalize_progress,
+        running_progress, advance_progress, timer_history, tenant_read, outcome_counts, restore_state, normalize_progress,
     )
 }

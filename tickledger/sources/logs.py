@@ -124,3 +124,23 @@ def finish_tombstones(finished: DataFrame, partitions: int) -> DataFrame:
         F.lit(None).cast("binary").alias("value"),
         F.array().cast(S.HEADERS).alias("headers"),
     )
+
+
+def fire_records(events: DataFrame, partitions: int) -> DataFrame:
+    """What fires and finishes write to the logs.
+
+    ``events`` has domain, timer_uuid, event, n and fire_us (see ``streaming.fires``). A fire becomes
+    an execution with the progress and no result yet, a finish the two tombstones of its timer.
+    """
+    progress = F.struct(
+        F.col("n").cast("int").alias("completed_executions"), F.timestamp_micros("fire_us").alias("last_execution")
+    )
+    execute = F.struct(progress.alias("progress"), F.lit(None).cast("binary").alias("result")).cast(S.EXECUTE)
+    fired = events.where(F.col("event") == "FIRE").select(
+        F.lit(S.EXECUTE_TOPIC).alias("topic"),
+        keys.partition_of(F.col("timer_uuid"), partitions).alias("partition"),
+        codec.encode(F.struct("domain", "timer_uuid")).alias("key"),
+        codec.encode(execute).alias("value"),
+        F.array().cast(S.HEADERS).alias("headers"),
+    )
+    return fired.unionByName(finish_tombstones(events.where(F.col("event") == "FINISH"), partitions))
