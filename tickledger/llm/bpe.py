@@ -65,7 +65,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Pieces already encoded: a number for each, and its ids end to end with the others'."""
         self.known: dict[str, int] = {s: i for i, s in enumerate(self.special)}
-        self.ids = np.array(list(self.special.values()), np.int64)
+        self.ids = np.array(list(self.special.values()), np.int32)
         self.ends = np.arange(len(self.special) + 1)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ class Vocabulary:
         self.known.update((p, base + i) for i, p in enumerate(pieces))
         sizes = np.array([len(d) for d in done])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, *done])
+        self.ids = np.concatenate([self.ids, *done]).astype(np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the texts' new pieces are encoded together."""
@@ -242,27 +242,30 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         for i, j in X.slices(X.joined(every)[1], 1 << 20):
             rows += v.encode(every[i:j].to_pylist())
         places = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        flat = np.concatenate([np.zeros(0, np.int64), *rows])
+        flat = np.concatenate([np.zeros(0, np.int32), *rows])
         return [pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flat, pa.int32()))]
 
     return X.append(df, "ids array<int>", made)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the text of an id array; a null array gives the empty text, unknown ids give nothing.
-
-    Bytes that are no UTF-8 become U+FFFD. A column with the name of the result is replaced.
-    """
+def decoder(df: DataFrame, path: str, ids: str = "ids"):
+    """The function of an Arrow batch of ``df`` behind ``decode``, for callers that need more of the batch."""
     column = next(i for i, c in enumerate(df.columns) if c.lower() == ids.lower())
     sent = _file(df, path)
 
     def made(batch):
         v = _vocabulary(sent.value)
         rows = batch.column(column)
-        flat, places = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
         valid = rows.is_valid().to_numpy(zero_copy_only=False)
-        return [pa.array([
-            v.decode(flat[places[i] : places[i + 1]].astype(np.int64)) if valid[i] else "" for i in range(len(rows))
-        ], pa.string())]
+        values = [rows[i].values.to_numpy().astype(np.int64) if valid[i] else np.zeros(0, np.int64) for i in range(len(rows))]
+        return [pa.array([v.decode(x) for x in values], pa.string())]
+
+    return made
 
-    return X.append(df, f"{name} string", made)
+
+def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """``df`` with the text of an id array; a null array gives the empty text, unknown ids give nothing.
+
+    Bytes that are no UTF-8 become U+FFFD. A column with the name of the result is replaced.
+    """
+    return X.append(df, f"{name} string", decoder(df, path, ids))

@@ -89,15 +89,14 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    rows = bpe.decode(bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), tokenizer), tokenizer)
+    rows = bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), tokenizer).select("doc_id", "ids")
+    decoded = bpe.decoder(rows, tokenizer)
 
     def digests(batch):
-        ids = batch.column(1)
-        flat, places = ids.values.to_numpy().astype("<u4"), ids.offsets.to_pylist()
-        sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(places, places[1:], strict=False)]
-        return [pa.array(sums, pa.string())]
+        sums = [hashlib.sha256(ids.values.to_numpy().astype("<u4").tobytes()).hexdigest() for ids in batch.column(1)]
+        return [*decoded(batch), pa.array(sums, pa.string())]
 
-    rows = X.append(rows.select("doc_id", "ids", "decoded"), "ids_sha256 string", digests)
+    rows = X.append(rows, "decoded string, ids_sha256 string", digests)
     return rows.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tickledger.session import shared_path
 
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 2000
+PART_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 BYTE_VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -108,7 +109,7 @@ def remainder(key: str, n: int) -> Column:
 def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``function`` makes of each Arrow batch.
 
-    A column of ``df`` with the name of a new one is replaced.
+    A column of ``df`` with the name of a new one is replaced. Batches are cut to about ``PART_BYTES``.
     """
     new = T._parse_datatype_string(ddl)
     taken = {name.lower() for name in new.names}
@@ -118,8 +119,10 @@ def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa
 
     def run(batches):
         for batch in batches:
-            made = function(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + made, names)
+            step = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = pa.RecordBatch.from_arrays([c.slice(at, step) for c in batch.columns], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + function(part), names)
 
     return df.mapInArrow(run, schema)
 
