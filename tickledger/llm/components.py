@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = X.stored(large.where("u <> v").distinct(), "large-star")
+        large = large.where("u <> v").distinct()
         # every smaller neighbour and the node itself to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

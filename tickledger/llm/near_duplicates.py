@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickledger.llm import texts as X
@@ -21,7 +21,7 @@ BINS = BANDS * ROWS
 IN_WORD = np.ones(256, bool)
 IN_WORD[0x20] = IN_WORD[0x09:0x0E] = False  # fixed: the bytes between words
 ORDERS = np.argsort(np.random.default_rng(8).random((BINS, BINS)), axis=1).astype(np.int16)
-ROUNDS = 12
+ROUNDS = 2
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,54 +110,49 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     have no shingles and are linked with nothing, null keys likewise (their component is null).
     Rows with equal sets are one class, so copies are never paired; rows that share a key count as
     one document. Sets are compared by 64-bit hashes of their shingles. A pair at the threshold is
-    missed with a probability of about 1e-5. After the first round of stars, buckets that still hold
-    several components get other centres, until a round confirms nothing new.
+    missed with a probability of about 1e-5. After the first stars, around the smallest key, every
+    bucket that still holds several components gets one more star around another member, a
+    ``ROUNDS``-th of the bands at a time.
     """
     sets = X.stored(sketches(df, key, text, words), "sketches")
     classes = sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "x", "y").agg(
         F.min("id").alias("rep"), F.first("bands").alias("bands")
     )
     lone = classes.select("n", "rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = lone.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high"))
-    buckets = buckets.where("members > 1 AND low < high").select("band", "hash")
-    members = X.stored(lone.join(buckets, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n"), "buckets")
+    buckets = lone.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    buckets = buckets.where("low < high").select("band", "hash")
+    members = X.stored(
+        lone.join(buckets, ["band", "hash"]).select("band", F.xxhash64("band", "hash").alias("bucket"), "rep", "n"), "buckets"
+    )
     ids = members.select(F.col("rep").alias("id")).distinct()
     kept = df.join(ids, df[key] == ids["id"], "left_semi")
     grams = X.stored(full_sets(kept, key, text, words).dropDuplicates(["id"]), "sets")
-    links, labels, asked = None, None, None
+    links = X.stored(_confirmed(_star(members, F.col("rep")), grams, percent), "links")
+    labels = components(links)
     for number in range(ROUNDS):
-        pairs = _star(members, labels, number)
-        pairs = pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti")
-        new = X.stored(_confirmed(pairs, grams, percent), "links")
-        asked = X.stored(pairs if asked is None else asked.union(pairs), "asked")
-        links = new.where("linked").select("a", "b") if links is None else links.union(new.where("linked").select("a", "b"))
-        if new.isEmpty() or number and new.where("linked").isEmpty():
-            break
-        labels = components(links)
+        own = members.where(F.col("band") % ROUNDS == number).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        own = own.withColumn("component", F.coalesce("component", "rep"))
+        new = X.stored(_confirmed(_star(own, F.xxhash64(F.lit(number), "rep")), grams, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
     return _labelled(sets, classes, labels)
 
 
-def _star(members: DataFrame, labels: DataFrame | None, number: int) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's first and last member in an order of this round."""
-    if labels is not None:
-        own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        own = own.withColumn("component", F.coalesce("component", "rep"))
-        mixed = own.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"))
-        members = own.join(mixed.where("c < d"), "bucket").drop("c", "d")
-    else:
-        members = members.withColumn("component", F.col("rep"))
-    drawn = F.col("rep") if number == 0 else F.xxhash64(F.lit(number), "rep")
-    rows = members.withColumn("drawn", drawn)
-    ends = rows.groupBy("bucket").agg(F.min("drawn").alias("low"), F.max("drawn").alias("high"))
-    centre = rows.select("bucket", F.col("drawn").alias("low"), F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("component").alias("other"))
-    first = ends.join(centre, ["bucket", "low"]).select("bucket", "centre", "m", "other")
-    last = ends.select("bucket", F.col("high").alias("low")).join(centre, ["bucket", "low"]).select("bucket", "centre", "m", "other")
-    pairs = rows.join(first.union(last), "bucket").where("rep <> centre AND component <> other")
+def _star(members: DataFrame, order: Column) -> DataFrame:
+    """Pairs of each member of a bucket with the bucket's first member in an order; none inside a component."""
+    rows = members.withColumn("drawn", order)
+    rows = rows if "component" in rows.columns else rows.withColumn("component", F.col("rep"))
+    centre = rows.groupBy("bucket").agg(
+        F.min("component").alias("c"), F.max("component").alias("d"),
+        *(F.min_by(x, "drawn").alias(y) for x, y in (("rep", "centre"), ("n", "m"), ("component", "other"))),
+    )
+    pairs = rows.join(centre.where("c < d"), "bucket").where("component <> other")
     return pairs.select(
         F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
         F.when(F.col("rep") < F.col("centre"), F.col("n")).otherwise(F.col("m")).alias("na"),
         F.when(F.col("rep") < F.col("centre"), F.col("m")).otherwise(F.col("n")).alias("nb"),
-    ).distinct().select("a", "b", "na", "nb")
+    ).distinct()
 
 
 def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -166,13 +161,12 @@ def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     right = grams.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = pairs.where(close).join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).alias("linked"))
+    return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select("a", "b")
 
 
-def _labelled(sets: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    rep = classes.select("n", "x", "y", "rep")
-    if labels is not None:
-        rep = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+def _labelled(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    rep = classes.select("n", "x", "y", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rep = rep.withColumn("rep", F.coalesce("component", "rep"))
     rep = rep.select("n", "x", "y", F.col("rep").alias("_component"))
     rows = sets.drop("bands").join(rep, ["n", "x", "y"], "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
