@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tickledger.llm import texts as X
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 25
 WIDTH = LENGTH - GRAM + 1  # grams of a window, and the most windows of an anchor
 CHUNK_BYTES = 4 << 20
 RANGE_PRINTS = 1 << 20
@@ -59,7 +59,7 @@ def segments(data: np.ndarray, starts: np.ndarray):
 
 
 class Chunk:
-    """Segments of all rows of a chunk, in an order that depends on the rows' keys and texts alone."""
+    """Bytes of the rows of a chunk, and the segments of those that have a key."""
 
     def __init__(self, table: pa.Table, key: int, text: int):
         table = table.combine_chunks()
@@ -70,23 +70,16 @@ class Chunk:
         self.known = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
         parts = []
-        hashes = [np.zeros(0, np.uint64)]
         for i, j in X.slices(starts):
             own, places = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
             begin, end, row, lead, anchor, sums = segments(own, places)
-            hashes.append(X.span_hashes(sums, places[:-1], places[1:]))
             around = X.span_hashes(sums, begin, end + LENGTH - 1)
             parts.append((begin + starts[i], end + starts[i], row + i, lead, anchor, around))
         self.data, self.starts, self.table = data, starts, table
-        text_hash = np.concatenate(hashes)
-        self.order = np.lexsort((text_hash, self.ids, self.known))
-        place = np.empty(len(self.order), np.int64)
-        place[self.order] = np.arange(len(self.order))
         empty = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
         joined = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else empty
         use = self.known[joined[2]]
         self.begin, self.end, self.row, self.lead, self.anchor, self.around = (c[use] for c in joined)
-        self.place = place
 
     def prints(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Range and short fingerprint of each distinct anchor, in order, and whether two rows here have it."""
@@ -124,8 +117,15 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"_chunk": table.column("_chunk"), "_range": table.column("_range"), "shared": pa.array(masks, pa.binary())})
 
 
-def _surroundings(key: int, text: int, ranges: int):
+def _surroundings(key: int, text: int, ranges: int, content: bool):
+    """Surroundings of the anchors that another document has too, each once per chunk.
+
+    With ``content`` their bytes, with the smallest and largest key of the chunk; else only their hashes.
+    """
+
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        columns, around = [none] * (4 if content else 2), pa.array([], pa.binary())
         if table.num_rows:
             chunk = Chunk(table, key, text)
             anchor, of, several = chunk.prints(ranges)
@@ -133,22 +133,26 @@ def _surroundings(key: int, text: int, ranges: int):
             for r, mask in zip(replies.column("_range").to_pylist(), replies.column("shared").to_pylist(), strict=True):
                 size = cut[r + 1] - cut[r]
                 several[cut[r] : cut[r + 1]] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=size).astype(bool)
-            wanted = np.sort(anchor[several])
-            hit = np.isin(chunk.anchor, wanted)
-            _, first = np.unique(X.mix(chunk.around[hit] + chunk.row[hit].astype(np.uint64) * np.uint64(X.BASE)), return_index=True)
-            at = np.flatnonzero(hit)[np.sort(first)]
-            begin, end = chunk.begin[at], chunk.end[at] + LENGTH - 1
-            size = end - begin
-            flat = chunk.data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
-            places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            around = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
-            number = table.column("_chunk")[0].as_py()
-            row = chunk.row[at]
-            columns = [np.full(len(at), number), chunk.place[row], chunk.ids[row], chunk.anchor[at].view(np.int64), chunk.lead[at], chunk.around[at].view(np.int64)]
-        else:
-            columns, around = [np.zeros(0, np.int64)] * 6, pa.array([], pa.binary())
-        names = ["_chunk", "place", "id", "anchor", "lead", "around"]
-        return pa.table([*(pa.array(c, pa.int64()) for c in columns), around], [*names, "bytes"])
+            hit = np.flatnonzero(np.isin(chunk.anchor, anchor[several]))
+            ids = chunk.ids[chunk.row[hit]]
+            order = np.lexsort((ids, chunk.around[hit]))
+            at, ids = hit[order], ids[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), np.diff(chunk.around[at].view(np.int64)) != 0]))
+            last = np.append(first[1:], len(at)) - 1 if len(at) else first
+            low, high, at = ids[first], ids[last], at[first]
+            if content:
+                begin, end = chunk.begin[at], chunk.end[at] + LENGTH - 1
+                size = end - begin
+                flat = chunk.data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+                places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                around = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
+                columns = [chunk.anchor[at].view(np.int64), chunk.lead[at], low, high]
+            else:
+                number = table.column("_chunk")[0].as_py()
+                columns = [np.full(len(at), number), chunk.around[at].view(np.int64)]
+        if content:
+            return pa.table([*(pa.array(c, pa.int64()) for c in columns), around], ["anchor", "lead", "low", "high", "bytes"])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["_chunk", "around"])
 
     return run
 
@@ -240,13 +244,20 @@ def _sorted_masks(batches):
         table = pa.Table.from_batches(rows).combine_chunks()
         if not table.num_rows:
             return None
-        column = table.column("bytes").chunk(0)
-        data, starts = X.joined(column)
-        anchor, first = table.column("anchor").to_numpy(), table.column("first").to_numpy()
-        masks = first_documents(data, starts, table.column("lead").to_numpy(), anchor, first)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), table.column("around").combine_chunks(), pa.array(first), pa.array(masks)], ["anchor", "around", "first", "mask"]
-        )
+        data, starts = X.joined(table.column("bytes").chunk(0))
+        around = X.span_hashes(X.prefix_sums(X.BYTE_VALUES[data]), starts[:-1], starts[1:]).view(np.int64)
+        # equal surroundings of several chunks are one
+        order = np.argsort(around, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(around[order]) != 0]))
+        first = np.minimum.reduceat(table.column("low").to_numpy()[order], edge)
+        last = np.maximum.reduceat(table.column("high").to_numpy()[order], edge)
+        at = order[edge]
+        around, size = around[at], np.diff(starts)[at]
+        data = data[np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        masks = first_documents(data, starts, table.column("lead").to_numpy()[at], table.column("anchor").to_numpy()[at], first)
+        use = (masks != 0) | (last > first)  # others change nothing
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (around, first, masks)], ["around", "first", "mask"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -270,14 +281,15 @@ def _cut(key: int, text: int, names: list[str]):
         table = chunk.table
         edge = np.zeros(len(chunk.data) + 1, np.int32)
         if marks.num_rows:
-            mixed = lambda around, place: X.mix(around + place.astype(np.uint64) * np.uint64(X.BASE))
-            sign = mixed(marks.column("around").to_numpy().view(np.uint64), marks.column("place").to_numpy())
+            sign = marks.column("around").to_numpy().view(np.uint64)
             order = np.argsort(sign)
             sign, mask = sign[order], marks.column("mask").to_numpy()[order]
-            own = mixed(chunk.around, chunk.place[chunk.row])
-            at = np.minimum(np.searchsorted(sign, own), len(sign) - 1)
-            hit = sign[at] == own
-            begin, size, mask = chunk.begin[hit], (chunk.end - chunk.begin)[hit], mask[at[hit]]
+            first = marks.column("first").to_numpy()[order]
+            at = np.minimum(np.searchsorted(sign, chunk.around), len(sign) - 1)
+            hit = sign[at] == chunk.around
+            at = at[hit]
+            begin, size = chunk.begin[hit], (chunk.end - chunk.begin)[hit]
+            mask = np.where(chunk.ids[chunk.row[hit]] > first[at], EVERY, mask[at])
             window = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             taken = np.repeat(mask, size) >> window & 1 == 1
             window = (np.repeat(begin, size) + window)[taken]
@@ -308,7 +320,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Rows that share a key do not touch each other. Columns named like the results are replaced. An
     empty table gives no rows. Chunks hold about ``CHUNK_BYTES`` of whole rows, the sort about
     ``SORT_SUFFIXES`` suffixes and always whole anchors: of a passage that very many documents share,
-    the anchors at its two ends have one surrounding per document, all others one altogether.
+    the anchors at its two ends have one surrounding per document, all others at most one per chunk.
     """
     df = df.drop("removed", "kept")
     names = df.columns
@@ -322,16 +334,15 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     prints = rows.groupBy("_chunk").applyInArrow(_fingerprints(at, content, ranges), "_range int, _chunk bigint, prints binary")
     replies = prints.groupBy("_range").applyInArrow(_repeated, "_chunk bigint, _range int, shared binary")
-    found = rows.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(
-        _surroundings(at, content, ranges), "_chunk bigint, place bigint, id bigint, anchor bigint, lead bigint, around bigint, bytes binary"
+    both = rows.groupBy("_chunk").cogroup(replies.groupBy("_chunk"))
+    found = both.applyInArrow(
+        _surroundings(at, content, ranges, True), "anchor bigint, lead bigint, low bigint, high bigint, bytes binary"
     )
-    firsts = found.groupBy("anchor", "lead", "around", "bytes").agg(F.min("id").alias("first"))
-    masks = firsts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _sorted_masks, "anchor bigint, around bigint, first bigint, mask bigint"
+    masks = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
+        _sorted_masks, "around bigint, first bigint, mask bigint"
     )
-    later = F.when(F.col("id") > F.col("first"), F.lit(EVERY)).otherwise(F.col("mask"))
-    marks = found.select("_chunk", "place", "id", "anchor", "around").join(masks, ["anchor", "around"])
-    marks = marks.select("_chunk", "place", "around", later.alias("mask")).where("mask <> 0")
+    asked = both.applyInArrow(_surroundings(at, content, ranges, False), "_chunk bigint, around bigint")
+    marks = asked.join(masks, "around").select("_chunk", "around", "first", "mask")
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("removed array<struct<begin:int,end:int>>, kept binary").fields])
     return rows.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(_cut(at, content, names), schema)
 
