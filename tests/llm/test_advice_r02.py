@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from tickledger.llm import near_duplicates
+from tickledger.llm import exact_search, near_duplicates
 
 
 def test_links_hidden_among_texts_just_under_the_threshold(spark):
@@ -32,3 +36,23 @@ def test_shared_shingles_against_sets():
     sets = [np.unique(rng.integers(0, 40 if k % 2 else 4000, 60)) for k in range(90)]
     plain = [[len(set(a) & set(b)) for b in sets[30:]] for a in sets[:30]]
     assert near_duplicates.shared_shingles(sets[:30], sets[30:]).tolist() == plain
+
+
+def test_search_keeps_vectors_with_large_components(spark):
+    """Scaled components beyond 2**27 take part, also where a long does not hold the score."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(60)]
+    rows[20] = 20, [3e7, 1.0, -2.5, 0.0, 1.0, 4.0]
+    rows[31] = 31, [-4e7, 2.0, 0.5, 1.5, 0.0, 1.0]
+    rows[32] = 32, [5e7, 2.25, 0.5, 1.5, 0.0, 1.0]
+    rows[33], rows[34] = (33, [1e30, 0.0, 0.0, 0.0, 0.0, 1.0]), (34, [2e30, 0.0, 0.0, 0.0, 0.0, 1.0])
+    rows[40] = 40, [-1e307, 0.0, 0.0, 0.0, 0.0, 1.0]
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    expected = {}
+    for q in range(0, 60, 20):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:15]
+        expected |= {(q, r): (i, min(max(scores[i], -(2**63)), 2**63 - 1)) for r, i in enumerate(best, 1)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=15, shard_rows=25, large=True).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected

@@ -108,7 +108,7 @@ def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+    return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, large=True)
 
 
 QUERIES = {
