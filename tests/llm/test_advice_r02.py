@@ -6,9 +6,10 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tickledger.llm import exact_search, near_duplicates
+from tickledger.llm import exact_search, main_text, near_duplicates
 
 
 def test_links_hidden_among_texts_just_under_the_threshold(spark):
@@ -56,3 +57,31 @@ def test_search_keeps_vectors_with_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=15, shard_rows=25, large=True).collect()
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected
+
+
+LONG = " ".join(["The council met on Monday to talk about the new bridge over the river and its cost."] * 4)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='has-sidebar'><article><p>{}</p></article></div></body>",
+        "<body><div id='with-banner'><main><p>{}</p></main></div></body>",
+        "<body><article><p><svg viewBox='0 0 1 1'/>{}</p></article><svg><text>icon</text></svg></body>",
+        "<body><article><p><math />{}</p></article></body>",
+        "<html><head><meta charset='utf-8'><title>t</title><article><p>{}</p></article></html>",
+    ],
+)
+def test_main_text_keeps_whole_articles(page):
+    assert main_text.main_text(page.format(LONG)) == LONG
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article><p>{}</p><div class='comments'><article><p>Nice one, thanks for this, I read it all with joy.</p></article></div></article></body>",
+        "<body><article><p>{}</p></article><aside><article><p>Nice one, thanks for this, I read it all with joy.</p></article></aside></body>",
+    ],
+)
+def test_main_text_still_drops_articles_beside(page):
+    assert main_text.main_text(page.format(LONG)) == LONG

@@ -23,7 +23,7 @@ BLOCK_TAGS = frozenset(
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup "
     "option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-UNREAD = "script|style|noscript|template|textarea|iframe|object|svg|math|title|head|select"
+UNREAD = "script|style|noscript|template|textarea|iframe|object|svg|math|title|select"
 BESIDE_TAGS = frozenset("nav footer aside form button menu dialog select option fieldset legend search".split())
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
@@ -35,7 +35,8 @@ BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search for
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNREAD})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<({UNREAD})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -93,27 +94,29 @@ def is_content(node, features: tuple) -> bool:
     return node >= 0.5
 
 
-def beside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part beside the article: by its tag, role, class or id."""
+def beside(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether an element is a part beside the article: by its "tag", which covers roles, or its "words", class or id."""
     if tag in BESIDE_TAGS or tag == "header" and not in_article:
-        return True
+        return "tag"
     if "=" not in attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return ""
+    words = ""
     for name, *values in NAMED.findall(attributes):
         value = "".join(values)
         if name.lower() == "role":
             if BESIDE_ROLES.intersection(value.lower().split()):
-                return True
+                return "tag"
         elif any(p.lower() in BESIDE_WORDS for p in PART.findall(value)):
-            return True
-    return False
+            words = "words"
+    return words
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
     """(text, words, link density, beside, in article, heading) of each block that has text."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether beside, in an article, a heading from here on
-    state = (False, False, False)
+    # tag, and how beside, whether in an article, a heading from here on
+    stack: list[tuple[str, str, bool, bool]] = []
+    state = ("", False, False)
     text: list[str] = []
     linked: list[str] = []
     link = False
@@ -123,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             words = html.unescape("".join(text)).split()
             if words:
                 n_linked = len(html.unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), *state))
+                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), state[0] != "", *state[1:]))
             text.clear()
             linked.clear()
 
@@ -159,11 +162,14 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             else:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option", *HEADINGS) and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                     stack.pop()
-                state = stack[-1][1:] if stack else (False, False, False)
+                state = stack[-1][1:] if stack else ("", False, False)
                 if tag not in VOID:
                     article = state[1] or tag in ("article", "main")
-                    stack.append((tag, state[0] or beside(tag, m[4], state[1]), article, tag in HEADINGS))
-            state = stack[-1][1:] if stack else (False, False, False)
+                    # a wrapper named has-sidebar around the article is not the sidebar
+                    outer = "" if article and not state[1] and state[0] == "words" else state[0]
+                    own = beside(tag, m[4], state[1])
+                    stack.append((tag, "tag" if "tag" in (outer, own) else outer or own, article, tag in HEADINGS))
+            state = stack[-1][1:] if stack else ("", False, False)
     add(page[at:])
     flush()
     return out
