@@ -4,5 +4,8 @@ import sys
 
 from pyspark import cloudpickle
 
+import tickledger.session
+
 # The functions run in Python workers that need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(tickledger.session)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, shuffle_shards, suffix_dedup, toxicity
+from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, prefix_trie, shuffle_shards, suffix_dedup, toxicity
 from tickledger.llm import texts as X
 
 
@@ -111,10 +111,18 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
     return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, large=True)
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations that share the first turns of every hundredth one, as a trie."""
+    conv = F.col("conv_id")
+    turns = prefix_trie.ordered(read(spark, sf, "conversations"))
+    rebuilt, every = prefix_trie.with_heads(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, longest=5)
+    return prefix_trie.trie(rebuilt, every).drop("node", "parent")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search,
+        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search, op13_prefix_trie,
     )
 }
 
@@ -152,5 +160,30 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY p) AS s FROM t GROUP BY c),
+cut AS (
+  SELECT c, s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT))),
+    lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h FROM own),
+rebuilt AS (SELECT a.c, list_concat(coalesce(list_slice(d.s, 1, a.h), []), list_slice(a.s, a.h + 1, len(a.s))) AS s FROM cut a LEFT JOIN own d ON d.c = a.c - a.c % 100),
+member AS (SELECT c, s, d, list_slice(s, 1, d) AS n FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT n, d, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN list_slice(n, 1, d - 1) END AS up,
+    CASE WHEN d > 0 THEN (count(*) - 1) * length(n[d].x) ELSE 0 END AS saves,
+    sha256(coalesce(string_agg(CASE WHEN len(s) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM member GROUP BY n, d),
+kids AS (SELECT up, count(*) AS k FROM node WHERE d > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids ON kids.up = node.n),
+below AS (
+  SELECT list_slice(n, 1, i) AS n, sum(saves) AS saved, count(*) FILTER (WHERE k = 0) AS leaves
+  FROM (SELECT n, saves, k, unnest(range(0, d + 1)) AS i FROM full_node) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below b ON b.n = f.n LEFT JOIN node u ON u.n = f.up
 """,
 }
