@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, prefix_trie, shuffle_shards, suffix_dedup, toxicity
+from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, prefix_trie, shuffle_shards, substring_dedup, suffix_dedup, toxicity
 from tickledger.llm import texts as X
 
 
@@ -111,6 +111,12 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
     return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, large=True)
 
 
+def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = substring_dedup.dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    n_removed = F.expr("aggregate(removed, 0L, (n, x) -> n + (x.end - x.begin))")
+    return rows.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations that share the first turns of every hundredth one, as a trie."""
     conv = F.col("conv_id")
@@ -122,7 +128,7 @@ def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search, op13_prefix_trie,
+        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search, op12_substring_dedup, op13_prefix_trie,
     )
 }
 
@@ -160,6 +166,16 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+""",
+    "op12_substring_dedup": r"""
+WITH cut AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM cut)),
+later AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM windows) WHERE first < coalesce(doc_id, 9223372036854775807)),
+gone AS (SELECT DISTINCT r, i + k AS i FROM (SELECT r, i, unnest(range(0, 50)) AS k FROM later)),
+listed AS (SELECT r, list(i) AS g, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM cut LEFT JOIN listed USING (r)
 """,
     "op13_prefix_trie": """
 WITH t AS (
