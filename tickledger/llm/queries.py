@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, prefix_trie, shuffle_shards, substring_dedup, suffix_dedup, toxicity
+from tickledger.llm import bpe, context_mixing, decontamination, exact_search, language, main_text, near_duplicates, prefix_trie, shuffle_shards, substring_dedup, suffix_dedup, token_alignment, toxicity
 from tickledger.llm import texts as X
 
 
@@ -111,6 +111,15 @@ def op10_exact_search(spark: SparkSession, sf: str) -> DataFrame:
     return exact_search.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, large=True)
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    tokenizers = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = X.stored(token_alignment.digest(token_alignment.align(documents, *tokenizers).drop("text")), "aligned")
+    counts = X.stored(token_alignment.pair_counts(aligned), "pair-counts")
+    rows = token_alignment.score(aligned, counts)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = substring_dedup.dedup(read(spark, sf, "documents").select("doc_id", "text"))
     n_removed = F.expr("aggregate(removed, 0L, (n, x) -> n + (x.end - x.begin))")
@@ -128,7 +137,7 @@ def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search, op12_substring_dedup, op13_prefix_trie,
+        op1_shuffle_shards, op2_suffix_dedup, op3_language, op4_near_duplicates, op5_decontamination, op6_context_mixing, op7_toxicity, op8_bpe, op9_main_text, op10_exact_search, op11_token_alignment, op12_substring_dedup, op13_prefix_trie,
     )
 }
 

@@ -106,6 +106,14 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``function`` makes of each Arrow batch.
 
