@@ -38,12 +38,12 @@ def in_projection_order(rows):
     return sorted(rows, key=lambda r: (r[3], r[0], r[2]))
 
 
-LIMITS = [{}, {"hot_rows": 20, "hot_keys": 2}, {"hot_rows": 1, "hot_keys": 100}]
+BLOCKS_US = [1, 7_000_000, 3_600_000_000]
 
 
-@pytest.mark.parametrize("seed, limits", [(s, LIMITS[s % 3]) for s in range(6)])
+@pytest.mark.parametrize("seed, block_us", [(s, BLOCKS_US[s % 3]) for s in range(6)])
 @pytest.mark.parametrize("delete_on", ["execute", "any"])
-def test_projection_equals_sequential_writes(spark, seed, limits, delete_on):
+def test_projection_equals_sequential_writes(spark, seed, block_us, delete_on):
     rows = random_log(seed, n=150 + 100 * (seed % 3))
     table = {}
     for topic, _p, offset, _t, kind, _d, key, _c, _e in in_projection_order(rows):
@@ -51,11 +51,33 @@ def test_projection_equals_sequential_writes(spark, seed, limits, delete_on):
             table.pop(key, None)
         elif topic == "create" and kind == codec.UPSERT:
             table.setdefault(key, offset)  # insert only
-    got = compaction.timers_projection(spark.createDataFrame(rows, RECORD), delete_on, **limits).collect()
+    got = compaction.timers_projection(spark.createDataFrame(rows, RECORD), delete_on, block_us=block_us).collect()
     assert {r.timer_uuid: r.created_offset for r in got} == table
     assert all(r.create.schedule.max_executions == r.created_offset for r in got)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_read_the_log_once_and_sort_no_payload(spark, sf_dir):
+    records = sample.records(spark, sf_dir)
+    sessions = plan(compaction.create_sessions(records, parts=("schedule",)))
+    assert sessions.count("FileScan") == 1 and "Broadcast" not in sessions and "Aggregate" not in sessions
+    tombs = plan(compaction.apply_tombstones(compaction.upserts(records), records))
+    assert tombs.count("FileScan") == 2 and "SortAggregate" not in tombs and "ObjectHash" not in tombs
+    live = plan(compaction.live_creates(records))
+    assert live.count("FileScan") == 2 and "SortAggregate" not in live
+
+
+def test_session_fields_of_deleted_and_recreated_timers(spark):
+    create = ((("http://h/", 0, None, None, True),), ("@daily", T0, None, 0), None)
+    row = lambda i, kind, key: ("create", 0, i, T0 + dt.timedelta(hours=i), kind, "d", key, create if kind == codec.UPSERT else None, None)
+    log = [row(0, codec.UPSERT, "a"), row(1, codec.DELETE, "a"), row(5, codec.UPSERT, "a"), row(9, codec.UPSERT, "a"), row(2, codec.UPSERT, "b"), row(3, codec.DELETE, "b"), row(4, codec.UPSERT, "c")]
+    got = {r.timer_uuid: (r.has_delete, r.deleted_at and r.deleted_at.hour, r.created_offset, r.create is None) for r in compaction.create_sessions(spark.createDataFrame(log + log, RECORD), "any").collect()}
+    assert got == {"a": (True, 1, 5, False), "b": (True, 3, None, True), "c": (False, None, 4, False)}
+
+
 def test_live_creates_equal_a_map(spark):
     rows = random_log(3)
     live = {}
@@ -86,12 +108,11 @@ def test_an_invalid_create_does_not_replace_a_valid_one(spark):
     assert [(r.offset, r.rejected) for r in rejected] == [(2, "invalid schedule: invalid cron: expected 5 fields")]
 
 
-@pytest.mark.parametrize("limits", LIMITS)
-def test_tombstones_remove_earlier_rows_only(spark, limits):
+def test_tombstones_remove_earlier_rows_only(spark):
     rows = random_log(5)
     records = spark.createDataFrame(rows, RECORD)
     ups = compaction.upserts(records)
-    got = {r.offset for r in compaction.apply_tombstones(ups, records, **limits).collect()}
+    got = {r.offset for r in compaction.apply_tombstones(ups, records).collect()}
     last = {}
     for row in in_projection_order(rows):
         if row[4] == codec.DELETE:
@@ -116,13 +137,23 @@ def test_running_progress_does_not_depend_on_the_blocks(spark, block_rows):
     assert {k: (n, p and p.replace(tzinfo=None)) for k, (n, p) in got.items()} == expected
 
 
-def test_lookup_keeps_every_row(spark):
-    big = spark.range(3000).select((F.col("id") % 10 * (F.col("id") % 3 == 0).cast("int")).alias("key"), F.col("id").alias("offset"))
-    per_key = big.groupBy("key").agg(F.count(F.lit(1)).alias("w")).where("key <> 6").withColumn("v", F.col("key") + 100)
-    out = skew.lookup(big, per_key, ["key"], "w", F.col("offset"), hot_rows=500, hot_keys=1)
-    assert out.count() == 3000
-    assert out.where("key = 6").where("v is not null").count() == 0
-    assert out.where("key <> 6").where("v <> key + 100 or v is null").count() == 0
+def test_a_hot_key_is_split_in_the_join(spark):
+    big = spark.range(0, 400_000, 1, 16).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("key"), F.xxhash64("id").alias("offset"))
+    per_key = big.groupBy("key").agg(F.count(F.lit(1)).alias("v")).where("key <> 20")
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = skew.split_join(big, per_key, ["key"])
+        assert out.count() == 400_000 and out.columns == ["key", "offset", "v"]
+        assert {r.v for r in out.where("key = 20").collect()} == {None}
+        assert out.where("key = 0 and v <> 360000 + 1").count() == 0
+        spread = out.groupBy("key", F.spark_partition_id()).agg(F.bit_xor("offset")).where("key = 0")
+        assert len(spread.collect()) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_compaction_is_idempotent_and_replay_safe(spark, sf_dir):

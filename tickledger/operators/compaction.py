@@ -6,7 +6,7 @@ combine inside each map task, so a hot key reaches the shuffle as one row per ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickledger import schemas as S
@@ -15,6 +15,9 @@ from tickledger.functions.rules import with_create_error
 from tickledger.operators import skew
 
 KEY = S.KEY_COLUMNS
+POSITION = ["timestamp", "topic", "offset"]
+# Creates and deletes of a key meet in blocks of this much log time before they meet as a whole.
+BLOCK_US = 3_600_000_000
 
 
 def log_position() -> Column:
@@ -27,6 +30,15 @@ def global_position() -> Column:
     return F.struct("timestamp", "topic", "offset")
 
 
+def packed_position() -> Column:
+    """``global_position`` as one number of fixed width, which a hash aggregate can hold.
+
+    The names of the two topics are in the order of their place: create, then execute.
+    """
+    place = F.unix_micros("timestamp") * 2 + (F.col("topic") == S.EXECUTE_TOPIC).cast("bigint")
+    return place.cast("decimal(18,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("offset").cast("decimal(19,0)")
+
+
 def _topic(records: DataFrame, topic: str) -> DataFrame:
     return records.where(F.col("topic") == topic)
 
@@ -90,9 +102,19 @@ def valid_creates(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def live_creates(records: DataFrame, validate: bool = True, parts: tuple[str, ...] = ALL_PARTS) -> DataFrame:
-    """Timers as the runtime sees them: the last valid create wins, a tombstone removes."""
+    """Timers as the runtime sees them: the last valid create wins, a tombstone removes.
+
+    The last record of a key is found from its packed offset alone, which the map tasks combine in
+    a hash aggregate. The payload follows late: creates join the winners on their place in the log,
+    so nothing that is decoded is sorted or held by an aggregate.
+    """
     rows = valid_creates(records)[0] if validate else records
-    return compact_log(rows, parts=parts).where(F.col("kind") == codec.UPSERT).drop("kind")
+    winners = compact_keys(_topic(rows, S.CREATE_TOPIC)).where(F.col("kind") == codec.UPSERT).select(*KEY, "offset")
+    creates = upserts(_topic(rows, S.CREATE_TOPIC)).select(*KEY, "partition", "offset", "timestamp", _parts(parts).alias("create"))
+    found = creates.join(winners, [*KEY, "offset"], "left_semi")
+    # a record that was delivered twice is still one timer; copies are neighbours after the join
+    copy = F.row_number().over(Window.partitionBy(*KEY, "offset").orderBy("partition"))
+    return found.withColumn("_copy", copy).where("_copy = 1").select(*KEY, "partition", "offset", "timestamp", "create")
 
 
 def _deletes(records: DataFrame, delete_on: str) -> Column:
@@ -104,52 +126,69 @@ def _deletes(records: DataFrame, delete_on: str) -> Column:
     raise ValueError("delete_on must be 'execute' or 'any'")
 
 
+def survivors(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group the last delete and the first create after it; everything else is settled by these two.
+
+    ``rows`` are creates and deletes with ``is_delete`` and a position (timestamp, topic, offset).
+    One pass from the latest row to the earliest with a running flag: nothing is held back. The
+    choice is associative, so it may be made in blocks first and over what they left afterwards.
+    """
+    back = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in POSITION])
+    deleted_later = F.max("is_delete").over(back.rowsBetween(Window.unboundedPreceding, -1))
+    delete_before = F.lead("is_delete").over(back)
+    marked = rows.withColumn("_dead", F.coalesce(deleted_later, F.lit(False))).withColumn("_first", F.coalesce(delete_before, F.lit(True)))
+    return marked.where(~F.col("_dead") & (F.col("is_delete") | F.col("_first"))).drop("_dead", "_first")
+
+
 def create_sessions(
-    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, **limits: int
+    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, block_us: int = BLOCK_US
 ) -> DataFrame:
     """Per key, the first create after its last delete, and when that delete was.
 
     A key whose last delete is not followed by a create keeps a row with ``create`` null, so the
-    result can also be merged into an older state of the table.
+    result can also be merged into an older state of the table. The log is read once; a key meets
+    in blocks of ``block_us`` first, so a task holds no more than one block of a hot key, and what
+    the blocks leave, two rows each at most, meets by key.
     """
     is_create = (F.col("topic") == S.CREATE_TOPIC) & (F.col("kind") == codec.UPSERT)
     is_delete = _deletes(records, delete_on)
-    relevant = records.where(is_create | is_delete).withColumn("_pos", global_position())
-    per_key = relevant.groupBy(*KEY).agg(
-        F.max(F.when(is_delete, F.col("_pos"))).alias("_deleted"),
-        F.count(F.when(is_create, F.lit(1))).alias("_creates"),
+    rows = records.where(is_create | is_delete).select(
+        *KEY, *POSITION, is_delete.alias("is_delete"), F.when(is_create, _parts(parts)).alias("create"),
+        F.floor(F.unix_micros("timestamp") / block_us).alias("_block"),
     )
-    payload = _parts(parts).alias("create")
-    creates = relevant.where(is_create).select(*KEY, "_pos", payload, "timestamp", "offset")
-    placed = skew.lookup(creates, per_key, KEY, "_creates", F.col("offset"), **limits)
-    after = placed.where(F.col("_deleted").isNull() | (F.col("_pos") > F.col("_deleted")))
-    first = keep_first(after, KEY, F.col("_pos"), ["create", "timestamp", "offset"])
-    return per_key.join(first, KEY, "left").select(
+    last = survivors(survivors(rows, [*KEY, "_block"]).drop("_block"), KEY)
+    back = Window.partitionBy(*KEY).orderBy(*[F.col(c).desc() for c in POSITION])
+    # a create comes first, the delete before it second; a delete without a create is alone
+    number, deleted_at = F.row_number().over(back), F.lead("timestamp").over(back)
+    placed = last.select("*", number.alias("_number"), deleted_at.alias("_deleted_at")).where("_number = 1")
+    created = ~F.col("is_delete")
+    return placed.select(
         *KEY,
-        F.col("_deleted").isNotNull().alias("has_delete"),
-        F.col("_deleted.timestamp").alias("deleted_at"),
-        F.col("timestamp").alias("created_at"),
-        F.col("offset").alias("created_offset"),
+        (F.col("is_delete") | F.col("_deleted_at").isNotNull()).alias("has_delete"),
+        F.when(created, F.col("_deleted_at")).otherwise(F.col("timestamp")).alias("deleted_at"),
+        F.when(created, F.col("timestamp")).alias("created_at"),
+        F.when(created, F.col("offset")).alias("created_offset"),
         "create",
     )
 
 
 def timers_projection(
-    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, **limits: int
+    records: DataFrame, delete_on: str = "execute", parts: tuple[str, ...] = ALL_PARTS, block_us: int = BLOCK_US
 ) -> DataFrame:
     """Timers as the document table keeps them: the first create since the last delete."""
-    live = create_sessions(records, delete_on, parts, **limits).where(F.col("create").isNotNull())
+    live = create_sessions(records, delete_on, parts, block_us).where(F.col("create").isNotNull())
     return live.drop("has_delete", "deleted_at")
 
 
-def apply_tombstones(rows: DataFrame, records: DataFrame, delete_on: str = "any", **limits: int) -> DataFrame:
-    """Rows (with KEY, timestamp, topic, offset) that no later tombstone of their key removes."""
-    tombs = records.where(_deletes(records, delete_on)).groupBy(*KEY).agg(F.max(global_position()).alias("_deleted"))
-    weights = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
-    per_key = weights.join(tombs, KEY)
-    placed = skew.lookup(rows, per_key, KEY, "_rows", F.col("offset"), **limits)
-    kept = placed.where(F.col("_deleted").isNull() | (global_position() >= F.col("_deleted")))
-    return kept.drop("_deleted")
+def apply_tombstones(rows: DataFrame, records: DataFrame, delete_on: str = "any") -> DataFrame:
+    """Rows (with KEY, timestamp, topic, offset) that no later tombstone of their key removes.
+
+    The last tombstone of each key is a hash aggregate of numbers: the map tasks combine it. Rows
+    meet it in one join by key, whose rows of a hot key can be split over many tasks.
+    """
+    tombs = records.where(_deletes(records, delete_on)).groupBy(*KEY).agg(F.max(packed_position()).alias("_deleted"))
+    kept = F.col("_deleted").isNull() | (packed_position() >= F.col("_deleted"))
+    return skew.split_join(rows, tombs, KEY).where(kept).drop("_deleted")
 
 
 def executions(records: DataFrame, columns: tuple[str, ...] = ("partition", "offset", "execute")) -> DataFrame:

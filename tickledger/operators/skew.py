@@ -5,45 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with fewer rows than this is never treated as hot.
-HOT_ROWS = 1_000_000
-# At most this many hot keys are broadcast; every other key then holds under 1/HOT_KEYS of the rows.
-HOT_KEYS = 1_000
-# Number of slices a hot key is spread over.
-SLICES = 997
 # Rows of one (partition, offset range) block; offsets are unique in a partition, so this is a bound.
 BLOCK_ROWS = 1_000_000
 
 
-def lookup(
-    big: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    weight: str,
-    spread: Column,
-    hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
-    """Left join ``big`` to a table with one row per key, without a hot task.
+def split_join(big: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``big`` joined to a table with one row per key, so that the rows of a hot key can be split.
 
-    ``weight`` is a column of ``per_key`` with the row count of the key in ``big``. The heaviest
-    keys, at most ``hot_keys`` of them, are looked up in a broadcast; their rows then travel
-    through the shuffle in ``SLICES`` slices chosen by ``spread``, which match nothing there.
+    Adaptive execution splits a large partition of a join only if both sides come straight out of
+    an exchange made for that join; a side that was just aggregated by the key does not. Packing the
+    keys makes the small side be dealt once more, and the big side stays splittable.
     """
-    values = [c for c in per_key.columns if c not in keys and c != weight]
-    packed = per_key.select(*keys, F.struct(*values).alias("_value"), F.col(weight).alias("_weight"))
-    hot = (
-        packed.where(F.col("_weight") >= hot_rows)
-        .orderBy(F.col("_weight").desc(), *keys)
-        .limit(hot_keys)
-        .select(*keys, F.col("_value").alias("_hot_value"), F.lit(True).alias("_hot"))
-    )
-    slice_of = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(SLICES))).otherwise(F.lit(0))
-    marked = big.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_of.cast("bigint"))
-    cold = packed.select(*keys, "_value", F.lit(0).cast("bigint").alias("_slice"))
-    joined = marked.join(cold, [*keys, "_slice"], "left")
-    value = F.coalesce(F.col("_hot_value"), F.col("_value"))
-    return joined.select(*[F.col(c) for c in big.columns], *[value[v].alias(v) for v in values])
+    packed = F.struct(*[F.col(k) for k in keys]).alias("_packed")
+    values = [c for c in per_key.columns if c not in keys]
+    return big.select("*", packed).join(per_key.select(packed, *values), "_packed", how).drop("_packed")
 
 
 def running_by_key(
