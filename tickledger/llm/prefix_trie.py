@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickledger.llm import texts as X
+from tickledger.operators.skew import split_join
 
 WIDTH = 4
 # Running values are made inside chunks of this many rows of a conversation and carried over.
@@ -189,7 +190,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     own = rows.groupBy("conv_id").agg(F.sum("saves").alias("saves"), F.count(F.when(F.col("n_children") == 0, 1)).alias("leaves"))
     own = own.where("saves > 0 or leaves > 0")
-    sums = _prefixes(made.join(own, "conv_id"), "sum(saves) AS saved, sum(leaves) AS n_leaves").select("node_a", "node_b", "saved", "n_leaves")
+    sums = _prefixes(split_join(made, own, ["conv_id"], "inner"), "sum(saves) AS saved, sum(leaves) AS n_leaves").select("node_a", "node_b", "saved", "n_leaves")
     total = own.agg(F.sum("saves").alias("saved"), F.sum("leaves").alias("n_leaves")).where("n_leaves > 0")
     sums = sums.unionByName(total.select(*nothing[2:4], "saved", "n_leaves"))
 

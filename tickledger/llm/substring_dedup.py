@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickledger.llm import texts as X
+from tickledger.operators.skew import split_join
 
 LENGTH, GRAM = 50, 20
 IN_WORD = np.ones(256, bool)
@@ -195,16 +196,16 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     anchors = seeds.groupBy("anchor").agg(*ends).where("min_context < max_context or min_doc < max_doc")
     anchors = anchors.select("anchor", (F.col("min_context") < F.col("max_context")).alias("several"), F.col("min_doc").alias("first"))
     # one context: the first document of the anchor is that of the context
-    met = X.stored(seeds.join(anchors, "anchor").where("several or doc > first"), "seeds")
+    met = X.stored(split_join(seeds, anchors, ["anchor"], "inner").where("several or doc > first"), "seeds")
     sure = met.where("not several").select("row_key", F.col("context").alias("mark"))
     open_seeds = met.where("several").select("context", "doc", "row_key")
     firsts = open_seeds.groupBy("context").agg(F.min("doc").alias("first"))
-    judged = X.stored(open_seeds.join(firsts, "context").select("row_key", F.col("context").alias("mark"), (F.col("doc") > F.col("first")).alias("later")), "contexts")
+    judged = X.stored(split_join(open_seeds, firsts, ["context"], "inner").select("row_key", F.col("context").alias("mark"), (F.col("doc") > F.col("first")).alias("later")), "contexts")
 
     wanted = judged.where("not later").groupBy("row_key").agg(F.collect_set("mark").alias("wanted"))
     windows = docs.join(wanted, "row_key").mapInArrow(_windows(length, gram), "mark bigint, doc bigint, row_key bigint")
     earliest = windows.groupBy("mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    found = windows.join(earliest, "mark").where("doc > first").select("row_key", "mark")
+    found = split_join(windows, earliest, ["mark"], "inner").where("doc > first").select("row_key", "mark")
     marks = sure.unionByName(judged.where("later").select("row_key", "mark")).unionByName(found)
     marks = marks.groupBy("row_key").agg(F.collect_set("mark").alias("marks"))
 
