@@ -248,3 +248,80 @@ def test_coalesced_fires_happen_once_per_watermark(spark, tmp_path):
                 break
         expected[key] = events
     assert got == expected
+
+
+class Handle:
+    """A processor's state outside of a stream."""
+
+    def __init__(self, value=None):
+        self.value, self.timers = value, set()
+
+    def getValueState(self, _name, _schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, millis):
+        self.timers.add(millis)
+
+    def deleteTimer(self, millis):
+        self.timers.discard(millis)
+
+
+def state(cron, **fields):
+    timer = dict.fromkeys(fires.STATE_NAMES) | {"cron_kind": "fields", "start_us": T0, "max_executions": 0, "completed": 0}
+    if cron.startswith("@every"):
+        timer |= {"cron_kind": "every", "every_s": int(cron.split()[1][:-1])}
+    else:
+        low = [0, 0, 1, 1, 0]
+        sizes = [60, 24, 32, 13, 7]
+        for mask, text, start, end in zip(["minute_mask", "hour_mask", "dom_mask", "month_mask", "dow_mask"], cron.split(), low, sizes, strict=True):
+            timer[mask] = sum(1 << v for v in (range(start, end) if text == "*" else map(int, text.split(","))))
+        timer |= {"dom_star": cron.split()[2] == "*", "dow_star": cron.split()[4] == "*"}
+    timer |= fields
+    timer["due_us"] = fires.planned(timer)
+    return timer
+
+
+@pytest.mark.parametrize("cron", ["@every 7s", "@every 86400s", "0,30 6,18 * * *", "5 * 29 2 *", "0 0 1,15 * 1", "* * * * *"])
+def test_arrays_of_instants_equal_single_steps(cron):
+    timer = state(cron)
+    until = T0 + 40 * 24 * HOUR if cron[0] != "5" else T0 + 2000 * 24 * HOUR
+    one, want = dict(timer), []
+    while one["due_us"] is not None and one["due_us"] <= until and len(want) < 5000:
+        want.append(one["due_us"])
+        one |= {"last_us": one["due_us"], "completed": one["completed"] + 1}
+        one["due_us"] = fires.planned(one)
+    for most in (1, 3, 4999):
+        assert fires.instants(timer, until, most).tolist() == want[:most]
+
+
+@pytest.mark.parametrize("limit, stop, total, finished", [(0, None, 31_536_001, False), (20_000_001, None, 20_000_001, True), (0, T0 + 24 * HOUR, 86_401, True)])
+def test_a_year_of_seconds_comes_in_small_frames(limit, stop, total, finished):
+    processor = fires.TimerProcessor()
+    timer = state("@every 1s", max_executions=limit, stop_us=stop)
+    handle = Handle(tuple(timer[name] for name in fires.STATE_NAMES))
+    processor.init(handle)
+    now = type("Times", (), {"getCurrentWatermarkInMs": lambda self: (T0 + 365 * 24 * HOUR) // 1000})()
+    seen, events = 0, set()
+    for frame in processor.handleExpiredTimer(("d", "k"), now, None):
+        assert len(frame) <= fires.PART_ROWS
+        fired = frame[frame["event"] == "FIRE"]
+        assert not len(fired) or (fired["n"].iloc[0], fired["fire_us"].iloc[0]) == (seen + 1, T0 + seen * 1_000_000)
+        seen += len(fired)
+        events |= set(frame["event"])
+    assert seen == total and ("FINISH" in events) == finished and (handle.value is None) == finished
+
+
+def test_seconds_missed_for_two_days_in_a_stream(spark, tmp_path):
+    log = [(codec.UPSERT, "a", T0, ("@every 1s", T0, None, 0)), (codec.DELETE, "x", T0 + 48 * HOUR, None)]
+    got, _ = run_fires(spark, log, str(tmp_path), 2)
+    assert [n for _, n, _ in got["a"]] == list(range(1, 172_802))
+    assert [at for *_, at in got["a"]] == [T0 + i * 1_000_000 for i in range(172_801)]

@@ -28,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = S.KEY_COLUMNS
 MINUTE_US, SECOND_US, MINUTES_PER_DAY = C.MINUTE_US, C.SECOND_US, C.MINUTES_PER_DAY
+DAY_US = MINUTES_PER_DAY * MINUTE_US
 DELETE = codec.DELETE
 EPOCH = date(1970, 1, 1)
 
@@ -44,6 +45,11 @@ SCHEDULE_FIELDS = [
 STATE_FIELDS = [*SCHEDULE_FIELDS, ("completed", "long"), ("last_us", "long"), ("due_us", "long")]
 STATE_NAMES = [name for name, _ in STATE_FIELDS]
 STATE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATE_FIELDS)
+# Rows of one frame of events, and of one slice of commands.
+PART_ROWS = 10_000
+NO_TIME = -(1 << 63)
+# Name, numbers and times of some events of one timer.
+Event = tuple[str, np.ndarray, np.ndarray]
 OUTPUT_SCHEMA = "domain string, timer_uuid string, event string, n long, fire_us long"
 
 
@@ -151,12 +157,32 @@ def _python(value):
     return bool(value) if isinstance(value, (bool, np.bool_)) else int(value)
 
 
+def instants(timer: dict, until: int, most: int) -> np.ndarray:
+    """Planned instants of a timer from its due time to ``until``, at most ``most`` of them."""
+    at, found, size = timer["due_us"], [], 0
+    if timer["cron_kind"] == "every":
+        step = timer["every_s"] * SECOND_US
+        return at + step * np.arange(min(most, (until - at) // step + 1), dtype=np.int64)
+    clock = np.array(_clock(timer["minute_mask"], timer["hour_mask"]), np.int64) * MINUTE_US
+    while at is not None and at <= until and size < most:
+        midnight = at - at % DAY_US
+        rest = midnight + clock[np.searchsorted(clock, at - midnight) :]
+        found.append(rest[rest <= until])
+        size += len(found[-1])
+        at = next_match(timer, int(rest[-1]))
+    return np.concatenate([np.zeros(0, np.int64), *found])[:most]
+
+
 class TimerProcessor(StatefulProcessor):
     """Fires timers when the watermark passes their due time.
 
     ``all`` fires every planned instant in turn, and before a command takes effect those that were
     due until then; the result does not depend on how the log was cut into batches. ``coalesce``
     fires once, at the watermark, however many instants were missed.
+
+    Events are made as arrays and handed on in frames of at most ``PART_ROWS`` rows, so a timer that
+    missed years of seconds needs no more memory than any other. The commands of one key and batch
+    are sorted once; the source's batch size bounds them.
     """
 
     def __init__(self, catch_up: str = "all"):
@@ -178,46 +204,70 @@ class TimerProcessor(StatefulProcessor):
         self.handle.registerTimer(self._millis(wake))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        return self._frames(key, self._obey(rows))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return self._frames(key, self._wake(timerValues.getCurrentWatermarkInMs() * 1000))
+
+    def _obey(self, rows: Iterator[pd.DataFrame]) -> Iterator[Event]:
         timer = self._load()
         self._forget_wake_up(timer)
-        out: list[tuple] = []
         for row in self._in_order(rows):
             if timer is not None and self.catch_up == "all":
                 before = pd.Timestamp(row["timestamp"]).value // 1000
-                timer = self._fire_until(key, timer, before - 1, out)
+                timer = yield from self._fire_until(timer, before - 1)
             if row["kind"] == DELETE:
                 timer = None
                 continue
             timer = {name: _python(row[name]) for name, _ in SCHEDULE_FIELDS}
             timer.update(completed=0, last_us=None)
-            timer = self._keep(key, timer, out)
+            timer = yield from self._keep(timer)
         self._save(timer)
-        if out:
-            yield pd.DataFrame(out, columns=[*KEY, "event", "n", "fire_us"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
+    def _wake(self, now: int) -> Iterator[Event]:
         timer = self._load()
-        out: list[tuple] = []
         if timer is not None and timer["due_us"] is None:
-            timer = self._keep(key, timer, out)
+            timer = yield from self._keep(timer)
         elif timer is not None and self.catch_up == "all":
-            timer = self._fire_until(key, timer, now, out)
+            timer = yield from self._fire_until(timer, now)
         elif timer is not None and timer["due_us"] <= now:
-            timer = self._fire(key, timer, now, out)
+            timer = yield from self._fire_late(timer, now)
         self._save(timer)
-        if out:
-            yield pd.DataFrame(out, columns=[*KEY, "event", "n", "fire_us"])
 
-    def _in_order(self, rows: Iterator[pd.DataFrame]) -> list[dict]:
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
         """Commands of one key and batch in log order; coalescing only needs the last one."""
-        commands: list[dict] = []
-        for frame in rows:
-            commands += frame.to_dict("records")
-            commands.sort(key=lambda c: (c["timestamp"], c["offset"]))
-            if self.catch_up == "coalesce":
-                commands = commands[-1:]
-        return commands
+        order = ["timestamp", "offset"]
+        if self.catch_up == "coalesce":
+            last = pd.DataFrame()
+            for frame in rows:
+                last = pd.concat([last, frame]).sort_values(order).tail(1)
+            yield from last.to_dict("records")
+            return
+        frames = list(rows)
+        commands = (frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)).sort_values(order)
+        for at in range(0, len(commands), PART_ROWS):
+            yield from commands.iloc[at : at + PART_ROWS].to_dict("records")
+
+    @staticmethod
+    def _frames(key, events: Iterator[Event]) -> Iterator[pd.DataFrame]:
+        """Frames of at most ``PART_ROWS`` events."""
+        held: list[Event] = []
+        size = 0
+
+        def frame() -> pd.DataFrame:
+            names = np.repeat([name for name, _, _ in held], [len(n) for _, n, _ in held])
+            n, at = (np.concatenate([e[i] for e in held]) for i in (1, 2))
+            fire_us = pd.arrays.IntegerArray(at, at == NO_TIME)
+            return pd.DataFrame({"domain": key[0], "timer_uuid": key[1], "event": names, "n": n, "fire_us": fire_us})
+
+        for event in events:
+            if size + len(event[1]) > PART_ROWS:
+                yield frame()
+                held, size = [], 0
+            held.append(event)
+            size += len(event[1])
+        if held:
+            yield frame()
 
     @staticmethod
     def _millis(micros: int) -> int:
@@ -243,26 +293,36 @@ class TimerProcessor(StatefulProcessor):
     def _schedule(self, timer: dict) -> None:
         timer["due_us"] = planned(timer)
 
-    def _keep(self, key, timer: dict, out: list) -> dict | None:
+    def _keep(self, timer: dict):
         """The timer with its next due time, or nothing after reporting that it is finished."""
         self._schedule(timer)
         if timer["due_us"] is None:
-            out.append((key[0], key[1], "FINISH", timer["completed"], None))
+            yield from self._finish(timer)
             return None
         return timer
 
-    def _fire(self, key, timer: dict, at: int, out: list) -> dict | None:
-        if timer["stop_us"] is None or at <= timer["stop_us"]:
-            timer["completed"] += 1
-            timer["last_us"] = at
-            out.append((key[0], key[1], "FIRE", timer["completed"], at))
-            return self._keep(key, timer, out)
-        out.append((key[0], key[1], "FINISH", timer["completed"], None))
-        return None
+    @staticmethod
+    def _finish(timer: dict) -> Iterator[Event]:
+        yield "FINISH", np.array([timer["completed"]]), np.array([NO_TIME])
+
+    def _fire_late(self, timer: dict, now: int):
+        """One fire at ``now`` for all that were missed, or the end of a timer that may not fire any more."""
+        if timer["stop_us"] is not None and now > timer["stop_us"]:
+            yield from self._finish(timer)
+            return None
+        timer.update(completed=timer["completed"] + 1, last_us=now)
+        yield "FIRE", np.array([timer["completed"]]), np.array([now])
+        return (yield from self._keep(timer))
 
-    def _fire_until(self, key, timer: dict | None, until: int, out: list) -> dict | None:
+    def _fire_until(self, timer: dict | None, until: int):
+        """All fires that are due, some thousands at a time."""
         while timer is not None and timer["due_us"] is not None and timer["due_us"] <= until:
-            timer = self._fire(key, timer, timer["due_us"], out)
+            last = until if timer["stop_us"] is None else min(until, timer["stop_us"])
+            left = timer["max_executions"] - timer["completed"] if timer["max_executions"] else PART_ROWS
+            at = instants(timer, last, min(left, PART_ROWS))
+            yield "FIRE", timer["completed"] + 1 + np.arange(len(at)), at
+            timer.update(completed=timer["completed"] + len(at), last_us=int(at[-1]))
+            timer = yield from self._keep(timer)
         return timer
 
 
