@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ COMMON_PAIRS = 500_000
 SLICE_BYTES = 1 << 19
 HELD_PAIRS = 1 << 21
 DECIMALS = 1 << 17
+UNIT = re.compile(r"(?<=\S)(?= )")
+KEPT_CHARS = 1 << 22
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -91,10 +94,48 @@ class Pair:
         ]
         self.tokens = [(np.frombuffer(b"".join(t), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in t])])) for t in (a_bytes, b_bytes)]
 
+        # no token of B has a space behind other characters, and none of A's pieces has: both may be cut there
+        inner = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.cut = (lambda t: [" " + t]) if inner else (lambda t: UNIT.split(" " + t))
+        self.forget()
+
+    def forget(self) -> None:
+        """Units encoded so far: a number for each, and their ids of either side end to end."""
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.ids = [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
+
+    def learn(self, units: list[str]) -> None:
+        """Encode units: laid end to end where a side's tokens end with every unit, else one by one."""
+        plain = [u for u in units if not u[-1].isspace()]
+        units = plain + [u for u in units if u[-1].isspace()]
+        ends = np.cumsum([len(u.encode()) for u in plain])
+        one = (lambda t: self.a.encode(t, add_special_tokens=False).ids, lambda t: self.b.encode(t[1:]))  # B adds the space itself
+        base = len(self.known)
+        self.known.update((u, base + i) for i, u in enumerate(units))
+        self.chars += sum(map(len, units))
+        for side, encode in enumerate(one):
+            ids = np.array(encode("".join(plain)) if plain else [], np.int64)
+            starts = self.tokens[side][1]
+            at = np.cumsum(starts[ids + 1] - starts[ids])
+            sizes = np.diff(np.searchsorted(at, ends) + 1, prepend=0)
+            done = len(plain)
+            if done and not (len(at) and at[-1] == ends[-1] and np.isin(ends, at).all()):
+                ids, sizes, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+            rows = [encode(u) for u in units[done:]]
+            flat, before = self.ids[side]
+            flat = np.concatenate([flat, ids, np.array([x for r in rows for x in r], np.int64)])
+            self.ids[side] = flat, np.concatenate([before, before[-1] + np.cumsum(np.concatenate([sizes, np.array([len(r) for r in rows], np.int64)]))])
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        return [np.array(x.ids, np.int64) for x in a], [np.array(x, np.int64) for x in b]
+        """Ids of space and text of each side; an empty text has none. Each distinct unit is encoded once."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        if self.chars > KEPT_CHARS:
+            self.forget()
+        if new := list(set().union(*cut).difference(self.known)):
+            self.learn(new)
+        numbers = [np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) for units in cut]
+        return tuple([bpe.gather(flat, ends[n], ends[n + 1]) for n in numbers] for flat, ends in self.ids)
 
 
 def laid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
