@@ -110,7 +110,9 @@ class Pair:
         plain = [u for u in units if not u[-1].isspace()]
         units = plain + [u for u in units if u[-1].isspace()]
         ends = np.cumsum([len(u.encode()) for u in plain])
-        one = (lambda t: self.a.encode(t, add_special_tokens=False).ids, lambda t: self.b.encode(t[1:]))  # B adds the space itself
+        # B adds the space itself, but to no empty text
+        behind = lambda t: self.b.encode("a" + t)[len(self.b.encode("a")) :]
+        one = (lambda t: self.a.encode(t, add_special_tokens=False).ids, lambda t: self.b.encode(t[1:]) if t[1:] else behind(t))
         base = len(self.known)
         self.known.update((u, base + i) for i, u in enumerate(units))
         self.chars += sum(map(len, units))
