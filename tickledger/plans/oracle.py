@@ -488,37 +488,82 @@ next_command AS (SELECT timer_uuid, min(ts_us) AS upto FROM lg WHERE ts_us >= {S
 old_lives AS (
   SELECT l.domain, l.timer_uuid, l.cron, l.start_us, l.stop_us, l.max_executions, coalesce(p.done, 0) AS done,
          CASE WHEN p.last_run >= 0 THEN p.last_run END AS run_us, coalesce(c.upto - 1, w) AS high_us
-  FROM past_live l LEFT JOIN past_prog p USING (timer_uuid) LEFT JOIN next_command c USING (timer_uuid), mark),
-old_raw AS (
-  SELECT o.*, cal.m_us AS fire_us FROM old_lives o JOIN cal ON o.cron = cal.cron AND cal.m_us > coalesce(run_us, start_us - 1)
-  WHERE cal.m_us <= least(high_us, coalesce(stop_us, high_us))
+  FROM past_live l LEFT JOIN past_prog p USING (timer_uuid) LEFT JOIN next_command c USING (timer_uuid), mark)"""
+
+
+def _events(lives: str, name: str) -> str:
+    """Fires and ends of lives: (domain, timer_uuid, life, cron, start_us, stop_us, max_executions, done, run_us, high_us)."""
+    base = "coalesce(run_us // 1000000 * 1000000 + 5400000000, start_us)"
+    return f"""
+{name}_inst AS (
+  SELECT t.*, cal.m_us AS fire_us FROM {lives} t JOIN cal ON t.cron = cal.cron AND cal.m_us > coalesce(t.run_us, t.start_us - 1)
+  UNION ALL
+  SELECT t.*, {base} + i * 5400000000 AS fire_us FROM {lives} t, range(1000) r(i) WHERE t.cron = '@every 90m'),
+{name}_placed AS (
+  SELECT *, done + row_number() OVER (PARTITION BY timer_uuid, life ORDER BY fire_us) AS n, fire_us <= least(high_us, coalesce(stop_us, high_us)) AS in_time FROM {name}_inst),
+{name}_ends AS (
+  SELECT domain, timer_uuid, life, done, max_executions AS most, stop_us, done + count(*) FILTER (WHERE in_time) AS n, min(fire_us) FILTER (WHERE NOT in_time) AS later
+  FROM {name}_placed GROUP BY domain, timer_uuid, life, done, max_executions, stop_us),
+{name} AS (
+  SELECT domain, timer_uuid, 'FIRE' AS event, n, fire_us FROM {name}_placed WHERE in_time AND (max_executions = 0 OR n <= max_executions)
   UNION ALL
-  SELECT o.*, coalesce(run_us // 1000000 * 1000000 + 5400000000, start_us) + i * 5400000000 AS fire_us FROM old_lives o, range(1000) r(i)
-  WHERE o.cron = '@every 90m' AND coalesce(run_us // 1000000 * 1000000 + 5400000000, start_us) + i * 5400000000 <= least(high_us, coalesce(stop_us, high_us))),
-old_fires AS (
-  SELECT domain, timer_uuid, n, fire_us FROM (
-    SELECT *, done + row_number() OVER (PARTITION BY timer_uuid ORDER BY fire_us) AS n FROM old_raw) q
-  WHERE max_executions = 0 OR n <= max_executions)"""
-_STREAM_FIRES = f"{_LIVES}, {_CAL}, {_calendar('lives', 't.high_us', '0')}"
+  SELECT domain, timer_uuid, 'FINISH', CASE WHEN most = 0 THEN n ELSE least(n, greatest(most, done)) END, NULL
+  FROM {name}_ends WHERE (most > 0 AND n >= most) OR coalesce(later > stop_us, false))"""
+
+
+def _late(files: int) -> str:
+    """Timers that fire once per watermark: commands of one file, then the watermark of the files before, file by file."""
+    fields = "domain, timer_uuid, cron, start_us, stop_us, max_executions"
+    over = "(max_executions > 0 AND done >= max_executions) OR due IS NULL OR coalesce(due > stop_us, false)"
+
+    def due(table: str) -> str:
+        return f"""SELECT a.*, CASE WHEN a.cron = '@every 90m' THEN coalesce(a.last_us // 1000000 * 1000000 + 5400000000, a.start_us) ELSE cal.m_us END AS due
+  FROM {table} a ASOF LEFT JOIN cal ON a.cron = cal.cron AND coalesce(a.last_us, a.start_us - 1) < cal.m_us"""
+
+    steps = [f"""
+cmd AS (SELECT lg.*, (ts_us - low) * {files} // (high - low + 1) AS f FROM lg, (SELECT min(ts_us) AS low, max(ts_us) AS high FROM lg) q WHERE topic = 'create' AND kind <> 'MARKER'),
+marks AS (SELECT f, max(max(ts_us)) OVER (ORDER BY f) // 1000 * 1000 AS w FROM cmd GROUP BY f),
+kept0 AS (SELECT {fields}, 0::BIGINT AS done, NULL::BIGINT AS last_us FROM cmd WHERE false)"""]
+    for i in range(1, files + 2):
+        w = f"coalesce((SELECT w FROM marks WHERE f = {i - 2}), -1)"
+        steps.append(f"""
+in{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY timer_uuid ORDER BY ts_us DESC, off DESC) AS rn FROM cmd WHERE f = {i - 1}) q WHERE rn = 1),
+set{i} AS (
+  SELECT * FROM kept{i - 1} WHERE timer_uuid NOT IN (SELECT timer_uuid FROM in{i})
+  UNION ALL SELECT {fields}, 0, NULL FROM in{i} WHERE kind = 'UPSERT'),
+due{i} AS ({due(f'set{i}')}),
+held{i} AS (SELECT *, {over} AS over, {w} AS w, coalesce({w} > stop_us, false) AS stopped FROM due{i}),
+next{i} AS (SELECT {fields}, done + 1 AS done, w AS last_us FROM held{i} WHERE NOT over AND due <= w AND NOT stopped),
+again{i} AS (SELECT *, {over} AS over FROM ({due(f'next{i}')}) q),
+said{i} AS (
+  SELECT domain, timer_uuid, 'FINISH' AS event, done AS n, NULL::BIGINT AS fire_us FROM held{i} WHERE over OR (due <= w AND stopped)
+  UNION ALL SELECT domain, timer_uuid, 'FIRE', done, last_us FROM next{i}
+  UNION ALL SELECT domain, timer_uuid, 'FINISH', done, NULL FROM again{i} WHERE over),
+kept{i} AS (
+  SELECT {fields}, done, last_us FROM held{i} WHERE NOT over AND due > w
+  UNION ALL SELECT {fields}, done, last_us FROM again{i} WHERE NOT over)""")
+    return ",".join(steps)
+
+
+_LATE_FILES = 4
+_NEW = "SELECT domain, timer_uuid, off AS life, cron, start_us, stop_us, max_executions, 0::BIGINT AS done, NULL::BIGINT AS run_us, high_us FROM lives"
 
 STREAM_SQL = {
     "stream_timers": STATE_SQL["timers_projection"],
     "stream_dedup_executions": STATE_SQL["executions_append"],
     "stream_progress": STATE_SQL["progress_latest"],
     "stream_quarantine": LOG_SQL["quarantine_malformed"],
-    "stream_fires": _with(_LOG, _STREAM_FIRES) + "SELECT domain, timer_uuid, n, fire_us FROM calendar",
-    "late_fires": _with(_LOG, _LIVE, _MARK, _CAL)
-    + """SELECT domain, timer_uuid, 1::BIGINT AS n, w AS fire_us FROM (
-  SELECT live.*, w, CASE WHEN live.cron = '@every 90m' THEN start_us ELSE cal.m_us END AS planned_us
-  FROM (SELECT * FROM live, mark) live ASOF LEFT JOIN cal ON live.cron = cal.cron AND live.start_us - 1 < cal.m_us) q
-WHERE planned_us <= w AND coalesce(w <= stop_us, true)""",
+    "stream_fires": _with(_LOG, _LIVES, _CAL, f"new AS ({_NEW})", _events("new", "said")) + "SELECT * FROM said",
+    "late_fires": _with(_LOG, _CAL, _late(_LATE_FILES))
+    + " UNION ALL ".join(f"SELECT domain, timer_uuid, event, n, fire_us FROM said{i}" for i in range(1, _LATE_FILES + 2)),
     "stream_restore": _with(_LOG, _CAL, _PAST)
     + f""", lives AS (
   SELECT q.*, ts_us AS created_us, coalesce(upto - 1, w) AS high_us FROM (
     SELECT *, lead(ts_us) OVER (PARTITION BY timer_uuid ORDER BY ts_us, off) AS upto
     FROM lg WHERE topic = 'create' AND kind <> 'MARKER' AND ts_us >= {SPLIT}) q, mark WHERE kind = 'UPSERT'),
-{_calendar('lives', 't.high_us', '0')}
-SELECT domain, timer_uuid, n, fire_us FROM calendar UNION ALL SELECT domain, timer_uuid, n, fire_us FROM old_fires""",
+new AS ({_NEW} UNION ALL SELECT domain, timer_uuid, -1, cron, start_us, stop_us, max_executions, done, run_us, high_us FROM old_lives),
+{_events('new', 'said')}
+SELECT * FROM said""",
 }
 
 SQL = {**LOG_SQL, **STATE_SQL, **SCHEDULE_SQL, **SHARD_SQL, **STREAM_SQL}

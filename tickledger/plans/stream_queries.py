@@ -14,7 +14,7 @@ from tickledger.sources import sample
 from tickledger.streaming import fires, projections
 
 KEY = S.KEY_COLUMNS
-DELAY = "0 seconds"  # the sample is one file in time order
+FILES = 4  # the log arrives in so many slices of time; odd partitions are one file behind
 
 
 def _log(spark: SparkSession, sf: str, damaged: bool = False, redelivered: bool = False) -> DataFrame:
@@ -55,32 +55,34 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return plain(bad.select("topic", "offset", "reason"))
 
 
-def _run_fires(spark: SparkSession, events: DataFrame, label: str) -> DataFrame:
+def _run_fires(spark: SparkSession, records: DataFrame, label: str, lag: bool = True, **options) -> DataFrame:
+    """Events of the timers of some records, which arrive in ``FILES`` files and, with ``lag``, out of order."""
     base = shared_path(spark, label)
+    delay = sample.write_in_files(records, f"{base}/log", FILES, lag, closing=True)
+    events = fires.fires(sample.stream_files(spark, f"{base}/log", records.schema), delay, **options)
     writer = events.writeStream.format("parquet").option("path", f"{base}/events")
     query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     fires.run_checked(query)
     out = spark.read.schema(fires.OUTPUT_SCHEMA).parquet(f"{base}/events")
-    return out.where(F.col("event") == "FIRE").select(*KEY, "n", "fire_us")
+    return out.select(*KEY, "event", "n", "fire_us")
 
 
 def stream_fires(spark: SparkSession, sf: str) -> DataFrame:
-    records = sample.typed(sample.stream_events(configure(spark), sf))
-    return _run_fires(spark, fires.fires(records, DELAY), "stream-fires")
+    return _run_fires(spark, sample.records(configure(spark), sf), "stream-fires")
 
 
 def late_fires(spark: SparkSession, sf: str) -> DataFrame:
-    records = sample.typed(sample.stream_events(configure(spark), sf))
-    return _run_fires(spark, fires.fires(records, "0 seconds", "coalesce"), "late-fires")
+    """One fire per timer and watermark for all that was missed: files in order, a watermark after each."""
+    return _run_fires(spark, sample.records(configure(spark), sf), "late-fires", lag=False, catch_up="coalesce")
 
 
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Timers of the older half of the log restored with their progress, the newer half live."""
     old = F.unix_micros("timestamp") < SPLIT_US
-    past = sample.records(configure(spark), sf).where(old)
+    records = sample.records(configure(spark), sf)
+    past = records.where(old)
     state = restore.restore_state(compaction.live_creates(past, parts=("schedule",)), compaction.progress_latest(past))
-    live = sample.typed(sample.stream_events(spark, sf)).where(~old)
-    return _run_fires(spark, fires.fires(live, DELAY, restored=state), "stream-restore")
+    return _run_fires(spark, records.where(~old), "stream-restore", restored=state)
 
 
 QUERIES = {

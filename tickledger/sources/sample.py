@@ -152,3 +152,29 @@ def with_redelivery(rows: DataFrame) -> DataFrame:
     """At-least-once delivery: every seventh record arrives twice."""
     again = rows.where(F.pmod(F.col("offset"), F.lit(7)) == 0)
     return rows.unionByName(again)
+
+
+def write_in_files(rows: DataFrame, path: str, files: int, lag: bool = True, closing: bool = False) -> str:
+    """Records as ``files`` slices of log time, one after the other; with ``lag`` odd partitions are one file behind.
+
+    Returns the delay by which partitions then run apart at most. ``closing`` adds the tombstone of
+    an unknown timer, that delay after the last command, so that event time reaches the end of the log.
+    """
+    us = F.unix_micros("timestamp")
+    command = (F.col("topic") == S.CREATE_TOPIC) & (F.col("kind") != codec.MARKER)
+    low, high, last = rows.agg(F.min(us), F.max(us), F.max(F.when(command, us))).first()
+    delay_ms = ((high - low) // files // 1000 + 1000) if lag else 0
+    number = F.floor((us - low) * files / (high - low + 1)) + (F.pmod("partition", F.lit(2)) if lag else 0)
+    for i in range(files + lag):
+        part = rows.where(number == i)
+        if closing and i == files + lag - 1:
+            end = rows.sparkSession.range(1).select(F.timestamp_micros(F.lit(last + delay_ms * 1000)).alias("timestamp"))
+            end = end.select("timestamp", F.lit(S.CREATE_TOPIC).alias("topic"), F.lit(0).alias("partition"), F.lit(-1).cast("long").alias("offset"), F.lit(codec.DELETE).alias("kind"), F.lit("").alias("domain"), F.lit("closing").alias("timer_uuid"))
+            part = part.unionByName(end, allowMissingColumns=True)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return f"{delay_ms} milliseconds"
+
+
+def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Such files as a stream, one file per batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
