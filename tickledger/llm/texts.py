@@ -6,6 +6,8 @@ gives the hash of any span in one step: the power of its place is divided out.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,6 +116,18 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` returns, kept by this Python process for its next tasks; one value per name.
+
+    Functions reach the workers by value and would start anew in each task, so what is dear to load
+    is put where the process keeps its modules.
+    """
+    held = sys.modules.setdefault("worker memory", types.ModuleType("worker memory")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``function`` makes of each Arrow batch.
 

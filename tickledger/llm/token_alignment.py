@@ -31,7 +31,7 @@ SLICE_BYTES = 1 << 19
 HELD_PAIRS = 1 << 21
 DECIMALS = 1 << 17
 UNIT = re.compile(r"(?<=\S)(?= )")
-KEPT_CHARS = 1 << 22
+KEPT_CHARS = 1 << 21
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -228,19 +228,18 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     """
     column = next(i for i, c in enumerate(df.columns) if c.lower() == text.lower())
     sent = _files(df, a_path, b_path)
-    tools = {}
+    name = f"tokens of {a_path} and {b_path}"
 
     def made(batch):
-        if not tools:
-            tools["pair"], tools["digits"] = Pair(*sent.value), decimals()
+        pair, digits = X.kept_in_worker(name, lambda: (Pair(*sent.value), decimals()))
         parts = []
         for i, j in X.slices(X.joined(batch.column(column))[1], SLICE_BYTES):
-            found = Aligned(batch.column(column)[i:j].to_pylist(), tools["pair"])
+            found = Aligned(batch.column(column)[i:j].to_pylist(), pair)
             n, ends = j - i, np.searchsorted(np.cumsum(found.last_a), np.arange(1, found.last_a.sum() + 1))
             row, a, b, links = found.pairs()
             counts = [np.diff(found.a_at), np.diff(found.b_at), np.bincount(found.per_row(ends), minlength=n), np.bincount(row, links, minlength=n).astype(np.int64)]
             parts.append([
-                *(pa.array(c, pa.int64()) for c in counts), pa.array([x.decode() for x in found.lines(tools["digits"])], pa.string()),
+                *(pa.array(c, pa.int64()) for c in counts), pa.array([x.decode() for x in found.lines(digits)], pa.string()),
                 _lists(a, row, n, pa.int32()), _lists(b, row, n, pa.int32()), _lists(links, row, n, pa.int32()),
             ])
         return [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
