@@ -178,3 +178,22 @@ def test_upsert_and_advance(spark):
     assert got == {"a": 3, "b": 5, "c": 1}
     stale = {r.timer_uuid: r.completed_executions for r in compaction.upsert_latest(batch, target).collect()}
     assert stale == got
+
+
+def test_new_executions_meet_few_rows_of_the_target(spark, sf_dir, tmp_path):
+    records = sample.records(spark, sf_dir)
+    path = str(tmp_path / "target")
+    every = compaction.executions(records)
+    every.write.parquet(path)
+    target = spark.read.parquet(path)
+    by = [*KEY, "kafka_timestamp"]
+    batch = every.where(F.pmod("offset", F.lit(50)) == 0)
+    ids = batch.count()
+    through = compaction.possibly_in(target, batch, by)
+    assert through.join(batch, by, "left_semi").count() == ids and through.count() < ids + 0.02 * target.count()
+    fresh = batch.withColumn("kafka_timestamp", F.col("kafka_timestamp") + F.expr("interval 1 second"))
+    assert compaction.append_new(batch.unionByName(fresh), target).exceptAll(fresh).count() == 0
+    assert compaction.append_new(batch.unionByName(fresh), target).count() == fresh.join(target, by, "left_anti").count()
+    assert compaction.append_new(batch.limit(0), target).count() == 0
+    text = plan(every)
+    assert "Aggregate" not in text and text.count("FileScan") == 1

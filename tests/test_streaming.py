@@ -44,19 +44,60 @@ def test_timers_and_progress_equal_the_batch_tables(spark, rows, tmp_path):
     records = spark.createDataFrame(rows, RECORD)
     for delete_on in ("execute", "any"):
         base = str(tmp_path / delete_on)
-        projections.run(stream, projections.timers_handler(f"{base}/changes", delete_on), f"{base}/cp")
-        changes = projections.read_changes(spark, f"{base}/changes", projections.TIMER_CHANGES)
+        projections.run(stream, projections.timers_handler(base, delete_on), f"{base}/cp")
+        changes = projections.read_table(spark, base, projections.TIMER_CHANGES)
         assert changes.select("batch_id").distinct().count() == 4
         got = {r.timer_uuid: r.created_offset for r in projections.current_timers(changes).collect()}
         expected = compaction.timers_projection(records, delete_on).collect()
         assert got == {r.timer_uuid: r.created_offset for r in expected}
     base = str(tmp_path / "progress")
-    projections.run(stream, projections.progress_handler(f"{base}/changes"), f"{base}/cp")
-    changes = projections.read_changes(spark, f"{base}/changes", projections.PROGRESS_CHANGES)
+    projections.run(stream, projections.progress_handler(base), f"{base}/cp")
+    changes = projections.read_table(spark, base, projections.PROGRESS_CHANGES)
     got = {r.timer_uuid: r.offset for r in projections.current_progress(changes).collect()}
     assert got == {r.timer_uuid: r.offset for r in compaction.progress_latest(records).collect()}
 
 
+@pytest.mark.parametrize("table", ["timers", "progress"])
+def test_folded_tables_open_as_many_files_at_any_age(spark, rows, tmp_path, table):
+    stream, log = str(tmp_path / "table"), str(tmp_path / "log")
+    typed = spark.createDataFrame(rows, RECORD).withColumn("generation", F.lit("0")).withColumn("k", F.lit(0))
+    sample.to_envelope(typed).coalesce(1).write.parquet(log)
+    every = 2
+    if table == "timers":
+        handler, schema, current = projections.timers_handler(stream, "any", every), projections.TIMER_CHANGES, projections.current_timers
+        twin, column = (lambda r: compaction.timers_projection(r, "any")), "created_offset"
+    else:
+        handler, schema, current = projections.progress_handler(stream, every), projections.PROGRESS_CHANGES, projections.current_progress
+        twin, column = compaction.progress_latest, "offset"
+    opened, records = [], spark.createDataFrame(rows, RECORD)
+    for i in range(7):
+        part = (F.col("offset") >= i * 18) & (F.col("offset") < (i + 1) * 18)
+        handler(logs.read_log(spark, log).where(part), i)
+        if i == 3:
+            handler(logs.read_log(spark, log).where(part), i)  # a batch may run again, also right after its fold
+        changes = projections.read_table(spark, stream, schema)
+        opened.append(changes.select("batch_id").distinct().count())
+        got = {r.timer_uuid: r[column] for r in current(changes).collect()}
+        assert got == {r.timer_uuid: r[column] for r in twin(records.where(F.col("offset") < (i + 1) * 18)).collect()}
+    assert max(opened) <= every
+    assert len(projections.entries(spark, f"{stream}/changes", "batch_id")) <= 2 * every
+    assert projections.entries(spark, f"{stream}/base", "upto") == [3, 5]
+
+
+def test_executions_of_other_days_are_not_opened(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    handler = projections.executions_handler(spark, path)
+    day = lambda n: [("execute", 0, n * 10 + i, at(T0 + n * 24 * HOUR + i * MINUTE), codec.UPSERT, "d", "k", None, ((i, at(T0)), b"{}")) for i in range(4)]
+    batches = [day(0), day(1), day(0)[:2] + day(2), day(5), day(1)[:1] + day(5)]
+    for i, batch in enumerate(batches):
+        typed = spark.createDataFrame(batch, RECORD).withColumn("generation", F.lit("0")).withColumn("k", F.lit(0))
+        handler(sample.to_envelope(typed), i)
+    got = projections.read_changes(spark, path, projections.EXECUTION_ROWS)
+    assert sorted(r.offset for r in got.collect()) == [n * 10 + i for n in (0, 1, 2, 5) for i in range(4)]
+    some = projections.read_days(spark, path, [dt.date(2024, 1, 1), dt.date(2024, 1, 3), dt.date(2030, 1, 1)])
+    assert {f.split("day=")[1][:10] for f in some.inputFiles()} == {"2024-01-01", "2024-01-03"} and some.count() == 8
+
+
 def test_executions_are_inserted_once(spark, rows, tmp_path):
     records = spark.createDataFrame(rows, RECORD)
     doubled = sorted(rows + rows[::3], key=lambda r: r[2]) + rows[::5]  # near and late redeliveries

@@ -18,6 +18,8 @@ KEY = S.KEY_COLUMNS
 POSITION = ["timestamp", "topic", "offset"]
 # Creates and deletes of a key meet in blocks of this much log time before they meet as a whole.
 BLOCK_US = 3_600_000_000
+# Bits of the bitmap that is sent to all tasks before a join to a large target: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 def log_position() -> Column:
@@ -198,17 +200,40 @@ def executions(records: DataFrame, columns: tuple[str, ...] = ("partition", "off
     """
     rows = upserts(_topic(records, S.EXECUTE_TOPIC)).withColumn("kafka_timestamp", F.col("timestamp"))
     by = [*KEY, "kafka_timestamp"]
-    return keep_first(rows, by, log_position(), list(columns))
+    # repeats are rare, so combining in the map tasks would only sort the payload there for nothing
+    before = F.lag(F.lit(True)).over(Window.partitionBy(*by).orderBy("partition", "offset"))
+    return rows.select(*by, *columns, before.alias("_before")).where("_before is null").drop("_before")
 
 
-def append_new(batch: DataFrame, target: DataFrame) -> DataFrame:
+def possibly_in(rows: DataFrame, ids: DataFrame, by: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``by`` is not in ``ids``; every row that is in it stays.
+
+    The ids set bits of a bitmap by their hash. It is cut into pages of 4 kB and has ``bits`` bits at
+    most, whatever the number of ids, so it may be sent to every task.
+    """
+    place = F.pmod(F.xxhash64(*by), F.lit(bits))
+    page, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    pages = ids.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = rows.select("*", page.alias("_page"), bit.alias("_bit")).join(F.broadcast(pages), "_page")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    is_set = F.call_function("getbit", byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1
+    return marked.where(is_set).select(*rows.columns)
+
+
+def append_new(batch: DataFrame, target: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of a batch of executions that the target does not hold yet.
 
-    An execution is identified by its timer and time, so both sides have unique keys and none is hot;
-    a caller that knows the time span of the batch can cut the target to it without missing any.
+    An execution is identified by its timer and time, so both sides have unique keys and none is hot.
+    Of the target only the ids are read, only in the time span of the batch, and only those that a
+    bitmap of the batch's ids lets through reach the join. The batch is read three times: keep it or
+    write it first if it is dear to make.
     """
     by = [*KEY, "kafka_timestamp"]
-    return batch.join(target.select(*by), by, "left_anti")
+    span = batch.agg(F.min("kafka_timestamp").alias("low"), F.max("kafka_timestamp").alias("high")).first()
+    if span.low is None:
+        return batch
+    old = target.where(F.col("kafka_timestamp").between(F.lit(span.low), F.lit(span.high))).select(*by)
+    return batch.join(possibly_in(old, batch.select(*by), by, bits), by, "left_anti")
 
 
 def execution_ids(rows: DataFrame) -> DataFrame:

@@ -15,20 +15,23 @@ from tickledger.streaming import fires, projections
 
 KEY = S.KEY_COLUMNS
 FILES = 4  # the log arrives in so many slices of time; odd partitions are one file behind
+FOLD_EVERY = 2
 
 
 def _log(spark: SparkSession, sf: str, damaged: bool = False, redelivered: bool = False) -> DataFrame:
-    rows = sample.typed(sample.stream_events(configure(spark), sf))
+    """The log as a stream of ``FILES`` slices, out of order between partitions."""
+    rows = sample.records(configure(spark), sf)
     if redelivered:
         rows = sample.with_redelivery(rows)
-    return sample.to_envelope(rows, damaged)
+    path = shared_path(spark, "log")
+    sample.write_in_files(rows, path, FILES)
+    return sample.to_envelope(sample.stream_files(spark, path, rows.schema), damaged)
 
 
 def stream_timers(spark: SparkSession, sf: str) -> DataFrame:
     base = shared_path(spark, "stream-timers")
-    projections.run(_log(spark, sf), projections.timers_handler(f"{base}/changes"), f"{base}/checkpoint")
-    changes = projections.read_changes(spark, f"{base}/changes", projections.TIMER_CHANGES)
-    rows = projections.current_timers(changes)
+    projections.run(_log(spark, sf), projections.timers_handler(base, every=FOLD_EVERY), f"{base}/checkpoint")
+    rows = projections.current_timers(projections.read_table(spark, base, projections.TIMER_CHANGES))
     return plain(rows.select(*KEY, "created_offset", "created_at", "create.schedule.cron", "create.schedule.max_executions"))
 
 
@@ -42,8 +45,8 @@ def stream_dedup_executions(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     base = shared_path(spark, "stream-progress")
-    projections.run(_log(spark, sf), projections.progress_handler(f"{base}/changes"), f"{base}/checkpoint")
-    changes = projections.read_changes(spark, f"{base}/changes", projections.PROGRESS_CHANGES)
+    projections.run(_log(spark, sf), projections.progress_handler(base, every=FOLD_EVERY), f"{base}/checkpoint")
+    changes = projections.read_table(spark, base, projections.PROGRESS_CHANGES)
     return plain(projections.current_progress(changes).drop("partition"))
 
 
