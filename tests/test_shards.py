@@ -57,5 +57,8 @@ def test_partition_of_is_the_crc_of_the_uuid_bytes(spark):
 
 def test_empty_shards_are_part_of_the_load(spark):
     owners = spark.createDataFrame([("a", 0), ("b", 1), ("b", 2)], "member string, partition int")
-    got = {r.member: (r["keys"], r.rows, r.skew) for r in shards.shard_load(spark.createDataFrame([], "domain string, timer_uuid string"), owners, 3).collect()}
-    assert got == {"a": (0, 0, None), "b": (0, 0, None)}
+    members = spark.createDataFrame([("a",), ("b",), ("idle",)], "member string")
+    load = lambda rows: {r.member: (r["keys"], r.rows, r.skew) for r in shards.shard_load(spark.createDataFrame(rows, "domain string, timer_uuid string"), members, owners, 3).collect()}
+    assert load([]) == {"a": (0, 0, None), "b": (0, 0, None), "idle": (0, 0, None)}
+    some = load([("d", f"00000000-0000-0000-0000-00000000000{i % 5}") for i in range(30)])
+    assert some["idle"] == (0, 0, 0.0) and sum(n for n, *_ in some.values()) == 5 and sum(n for _, n, _ in some.values()) == 30

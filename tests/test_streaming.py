@@ -13,7 +13,7 @@ from tickledger import schemas as S
 from tickledger.functions import codec
 from tickledger.operators import compaction
 from tickledger.sources import logs, sample
-from tickledger.streaming import fires, projections
+from tickledger.streaming import fence, fires, projections
 
 KEY = S.KEY_COLUMNS
 
@@ -366,3 +366,27 @@ def test_seconds_missed_for_two_days_in_a_stream(spark, tmp_path):
     got, _ = run_fires(spark, log, str(tmp_path), 2)
     assert [n for _, n, _ in got["a"]] == list(range(1, 172_802))
     assert [at for *_, at in got["a"]] == [T0 + i * 1_000_000 for i in range(172_801)]
+
+
+def test_partitions_wait_for_their_own_marker(spark, tmp_path):
+    create = lambda i: (((f"http://h/{i}", 0, None, None, True),), ("@daily", at(T0), None, i), None)
+    marks = {(0, 40): "7", (0, 90): "7", (1, 5): "7", (2, 50): "6"}  # partition 2 sees a foreign one, 3 none
+    rows = []
+    for i in range(120):
+        for p in range(4):
+            mark = marks.get((p, i))
+            kind = codec.MARKER if mark else codec.UPSERT
+            rows.append(("create", p, i, at(T0 + i * MINUTE), kind, None if mark else "d", None if mark else f"k{i}", None if mark else create(i), None, mark or "0"))
+    typed = spark.createDataFrame(rows, RECORD + ", generation string").withColumn("k", F.lit(0))
+    log = sorted((tuple(r) for r in sample.to_envelope(typed).collect()), key=lambda r: (r[2] + 30 * (r[1] % 2), r[1]))
+    write_in_files(spark, log, S.ENVELOPE, str(tmp_path / "log"), 5)
+    stream = logs.stream_log(spark, str(tmp_path / "log"), files_per_batch=1)
+    writer = fence.released(stream, "7").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) >= 4
+    got = spark.read.schema(fence.OUTPUT_SCHEMA).parquet(str(tmp_path / "out"))
+    batch = logs.with_phase(spark.createDataFrame(log, S.ENVELOPE), "7", first=True).where("phase <> 'waiting'")
+    columns = ["partition", "offset", "fence", "phase", "key", "value"]
+    assert got.count() == 240
+    assert got.select(*columns).exceptAll(batch.select(*columns)).count() == 0

@@ -101,10 +101,11 @@ def assignment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return left.join(right, on, "full").select(*on, status.alias("status"))
 
 
-def shard_load(rows: DataFrame, owners: DataFrame, partitions: int) -> DataFrame:
-    """Keys and rows of every member that owns a partition, and its rows relative to the mean of these.
+def shard_load(rows: DataFrame, members: DataFrame, owners: DataFrame, partitions: int) -> DataFrame:
+    """Keys and rows of every member, and its rows relative to the mean of all.
 
-    Rows are first counted per key inside the map tasks, which also makes the keys distinct.
+    Members that own no partition, or only empty ones, are there with zeros. Rows are first counted
+    per key inside the map tasks, which also makes the keys distinct.
     """
     per_key = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"))
     load = (
@@ -112,8 +113,7 @@ def shard_load(rows: DataFrame, owners: DataFrame, partitions: int) -> DataFrame
         .groupBy("member")
         .agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows"))
     )
-    members = owners.select("member").distinct()  # at most one row per partition
-    load = members.join(load, "member", "left").fillna(0, ["keys", "rows"])
+    load = members.select("member").distinct().join(load, "member", "left").fillna(0, ["keys", "rows"])
     mean = F.avg("rows").over(Window.partitionBy(F.lit(1)))
     return load.withColumn("skew", F.try_divide(F.col("rows"), mean))
 

@@ -463,7 +463,7 @@ SELECT d.*, coalesce(c.keys, 0) AS keys FROM d LEFT JOIN c USING (partition)""",
     + """SELECT partition, domain, timer_uuid, o.member AS old_member, n.member AS new_member
          FROM keyed JOIN old_owner o USING (partition) JOIN new_owner n USING (partition) WHERE o.member <> n.member""",
     "shard_load": _with(_KEYS)
-    + """, l AS (SELECT member, count(*) AS keys, sum(n_rows)::BIGINT AS rows FROM keyed JOIN old_owner USING (partition) GROUP BY member), m AS (SELECT DISTINCT member FROM old_owner),
+    + """, l AS (SELECT member, count(*) AS keys, sum(n_rows)::BIGINT AS rows FROM keyed JOIN old_owner USING (partition) GROUP BY member), m AS (SELECT DISTINCT member FROM members),
 f AS (SELECT member, coalesce(keys, 0) AS keys, coalesce(rows, 0) AS rows FROM m LEFT JOIN l USING (member))
 SELECT member, keys, rows, rows / (SELECT avg(rows) FROM f) AS skew FROM f""",
 }
@@ -564,6 +564,9 @@ STREAM_SQL = {
 new AS ({_NEW} UNION ALL SELECT domain, timer_uuid, -1, cron, start_us, stop_us, max_executions, done, run_us, high_us FROM old_lives),
 {_events('new', 'said')}
 SELECT * FROM said""",
+    "stream_fence": _with(_LOG, _PARTS, _FENCE.replace("max(off)", "min(off)"))
+    + """SELECT part AS partition, off AS "offset", fence, CASE WHEN off <= fence THEN 'snapshot' ELSE 'live' END AS phase, kind = 'MARKER' AS is_marker
+         FROM plog JOIN fence USING (part) WHERE topic = 'create'""",
 }
 
 SQL = {**LOG_SQL, **STATE_SQL, **SCHEDULE_SQL, **SHARD_SQL, **STREAM_SQL}

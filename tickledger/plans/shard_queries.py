@@ -86,7 +86,7 @@ def moved_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shard_load(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(shards.shard_load(_key_rows(spark, sf), _owners(spark, sf), RING_PARTITIONS))
+    return plain(shards.shard_load(_key_rows(spark, sf), _members(spark, sf), _owners(spark, sf), RING_PARTITIONS))
 
 
 QUERIES = {

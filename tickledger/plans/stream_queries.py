@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tickledger import schemas as S
 from tickledger.operators import compaction, restore
+from tickledger.plans.log_queries import GENERATION
 from tickledger.plans.shape import plain
 from tickledger.plans.state_queries import SPLIT_US
 from tickledger.session import configure, shared_path
 from tickledger.sources import sample
-from tickledger.streaming import fires, projections
+from tickledger.streaming import fence, fires, projections
 
 KEY = S.KEY_COLUMNS
 FILES = 4  # the log arrives in so many slices of time; odd partitions are one file behind
@@ -88,10 +89,19 @@ def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     return _run_fires(spark, records.where(~old), "stream-restore", restored=state)
 
 
+def stream_fence(spark: SparkSession, sf: str) -> DataFrame:
+    """The create log as far as each partition has seen the marker of its own generation."""
+    base = shared_path(spark, "stream-fence")
+    writer = fence.released(_log(spark, sf), GENERATION).writeStream.format("parquet").option("path", f"{base}/rows")
+    writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(fence.OUTPUT_SCHEMA).parquet(f"{base}/rows")
+    return plain(rows.select("partition", "offset", "fence", "phase", F.col("key").isNull().alias("is_marker")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         stream_timers, stream_dedup_executions, stream_progress, stream_quarantine, stream_fires, late_fires,
-        stream_restore,
+        stream_restore, stream_fence,
     )
 }

@@ -57,14 +57,14 @@ def route(topic: Column) -> Column:
     )
 
 
-def fences(log: DataFrame, generation: str) -> DataFrame:
-    """Per partition, the last offset of a generation's own marker: the end of the replay."""
+def fences(log: DataFrame, generation: str, first: bool = False) -> DataFrame:
+    """Per partition, the last (or first) offset of a generation's own marker: the end of the replay."""
     own = codec.classify_marker(F.col("key"), F.col("headers"), generation) == "MY_MARKER"
     marks = log.where((F.col("topic") == S.CREATE_TOPIC) & own)
-    return marks.groupBy("topic", "partition").agg(F.max("offset").alias("fence"))
+    return marks.groupBy("topic", "partition").agg((F.min if first else F.max)("offset").alias("fence"))
 
 
-def with_phase(log: DataFrame, generation: str) -> DataFrame:
+def with_phase(log: DataFrame, generation: str, first: bool = False) -> DataFrame:
     """Mark each create record as ``snapshot`` (up to the fence), ``live`` or ``waiting``.
 
     ``waiting`` partitions have not seen the marker yet. One fence row per topic partition, so the
@@ -76,7 +76,7 @@ def with_phase(log: DataFrame, generation: str) -> DataFrame:
         .when(F.col("offset") <= F.col("fence"), "snapshot")
         .otherwise("live")
     )
-    return creates.join(F.broadcast(fences(log, generation)), ["topic", "partition"], "left").withColumn("phase", phase)
+    return creates.join(F.broadcast(fences(log, generation, first)), ["topic", "partition"], "left").withColumn("phase", phase)
 
 
 def replay_bounded(log: DataFrame, generation: str) -> DataFrame:
