@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -43,27 +44,73 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-# words, link density, words before, link density before, words after, link density after,
-# inside a part beside the article, inside an article or main part, heading; content or not
+# Words that join others to a beside word without making it another thing, and words that unmake it.
+PLAIN_WORDS = frozenset(
+    "site main page top bottom left right global primary secondary header head box bar block list links link item items wrapper container "
+    "inner section area panel post posts article articles story stories button buttons form message text body content title count author "
+    "thread slot unit policy".split()
+)
+UNMAKING_WORDS = frozenset("with has no not without is non".split())
+LEGAL = re.compile(r"\u00a9|\bcopyright\b|\ball rights reserved\b|\b(?:we|site|page|website) uses? cookies\b|\b(?:cookie|privacy) policy\b|\bterms of (?:use|service)\b", re.I)
+
+NONE, LINKS, PROSE = [(0, 0.0)], [(3, 1.0), (20, 0.9)], [(50, 0.0), (12, 0.1)]
+ANY, APART = NONE + LINKS + PROSE, NONE + LINKS
+WORDS = (1, 2, 4, 7, 12, 20, 30, 45, 80, 150)
+DENSITIES = (0.0, 0.15, 0.3, 0.5, 0.75, 1.0)
+TEXT, MIXED, LINKED, ALL = (0.0, 0.3), (0.0, 0.5), (0.75, 1.0), (0.0, 1.0)
+# Kinds of blocks, labelled by hand: words from and to, link density from and to, blocks before, blocks after,
+# beside (0.5: perhaps), in an article, heading, a line of rights or cookies; content or not.
+CASES = [
+    # inside an article: prose of any length, whatever stands next to it, and headings
+    ((1, 150), MIXED, ANY, ANY, (0,), (1,), (0,), (0,), 1),
+    ((1, 20), ALL, ANY, ANY, (0,), (1,), (1,), (0, 1), 1),
+    # links there: long ones and single ones are part of it, rows of short ones are menus
+    ((7, 150), LINKED, ANY, ANY, (0,), (1,), (0,), (0,), 1),
+    ((1, 4), LINKED, NONE + PROSE, NONE + PROSE, (0,), (1,), (0,), (0,), 1),
+    ((1, 4), LINKED, ANY, LINKS, (0,), (1,), (0,), (0,), 0),
+    ((1, 4), LINKED, LINKS, NONE + PROSE, (0,), (1,), (0,), (0,), 0),
+    # parts beside the article, by tag, role or name
+    ((1, 150), ALL, ANY, ANY, (1,), (0, 1), (0, 1), (0, 1), 0),
+    # perhaps beside, by one word of a longer name: long prose is not, short texts are, but for those among prose
+    ((20, 150), TEXT, ANY, ANY, (0.5,), (1,), (0,), (0, 1), 1),
+    ((1, 12), TEXT, PROSE, PROSE, (0.5,), (1,), (0,), (0,), 1),
+    ((1, 12), TEXT, APART, ANY, (0.5,), (1,), (0,), (0, 1), 0),
+    ((1, 12), TEXT, PROSE, APART, (0.5,), (1,), (0,), (0, 1), 0),
+    ((1, 20), ALL, ANY, PROSE, (0.5,), (1,), (1,), (0,), 1),
+    ((1, 20), ALL, ANY, APART, (0.5,), (0, 1), (1,), (0,), 0),
+    ((1, 150), (0.5, 1.0), ANY, ANY, (0.5,), (0, 1), (0,), (0, 1), 0),
+    ((45, 150), TEXT, ANY, ANY, (0.5,), (0,), (0,), (0,), 1),
+    ((1, 30), TEXT, ANY, ANY, (0.5,), (0,), (0,), (0, 1), 0),
+    # pages without an article element: prose, and short texts that do not stand among links
+    ((12, 150), TEXT, ANY, ANY, (0,), (0,), (0,), (0,), 1),
+    ((1, 7), TEXT, PROSE, ANY, (0,), (0,), (0,), (0,), 1),
+    ((1, 7), TEXT, APART, PROSE, (0,), (0,), (0,), (0,), 1),
+    ((1, 7), TEXT, NONE, NONE, (0,), (0,), (0,), (0,), 1),
+    ((1, 7), TEXT, LINKS, APART, (0,), (0,), (0,), (0,), 0),
+    ((1, 7), TEXT, NONE, LINKS, (0,), (0,), (0,), (0,), 0),
+    ((20, 150), (0.5, 0.5), PROSE, ANY, (0,), (0,), (0,), (0,), 1),
+    ((20, 150), (0.5, 0.5), APART, APART, (0,), (0,), (0,), (0,), 0),
+    ((1, 12), (0.5, 0.5), ANY, ANY, (0,), (0,), (0,), (0,), 0),
+    ((1, 150), LINKED, PROSE, PROSE, (0,), (0,), (0,), (0,), 1),
+    ((1, 150), LINKED, APART, ANY, (0,), (0,), (0,), (0,), 0),
+    ((1, 150), LINKED, PROSE, APART, (0,), (0,), (0,), (0,), 0),
+    ((1, 20), ALL, ANY, PROSE, (0,), (0,), (1,), (0,), 1),
+    ((1, 20), ALL, NONE + PROSE, NONE, (0,), (0,), (1,), (0,), 1),
+    ((1, 20), ALL, ANY, LINKS, (0,), (0,), (1,), (0,), 0),
+    ((1, 20), ALL, LINKS, NONE, (0,), (0,), (1,), (0,), 0),
+    # lines of rights and cookies without a telling name
+    ((1, 45), ALL, ANY, ANY, (0,), (0,), (0, 1), (1,), 0),
+    ((80, 150), TEXT, ANY, ANY, (0,), (0,), (0,), (1,), 1),
+    ((1, 150), MIXED, ANY, ANY, (0,), (1,), (0,), (1,), 1),
+]
 LABELLED = np.array([
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0, 0),
-    (8, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0), (14, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0), (30, 0.1, 60, 0.0, 12, 0.5, 1, 0, 0, 0),
-    (60, 0.0, 60, 0.0, 45, 0.0, 1, 0, 0, 0), (60, 0.0, 90, 0.0, 45, 0.0, 1, 1, 0, 0), (20, 0.0, 80, 0.0, 25, 0.0, 1, 1, 0, 0),
-    (3, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0), (9, 0.0, 1, 1.0, 70, 0.0, 1, 0, 1, 0), (45, 0.2, 6, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (10, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1), (11, 0.0, 8, 0.0, 9, 0.0, 0, 1, 1, 1), (60, 0.0, 10, 0.0, 120, 0.0, 0, 1, 0, 1),
-    (120, 0.0, 60, 0.0, 90, 0.1, 0, 1, 0, 1), (2, 0.0, 90, 0.0, 70, 0.0, 0, 1, 0, 1), (1, 0.0, 70, 0.0, 14, 0.0, 0, 1, 0, 1),
-    (5, 0.0, 11, 0.0, 14, 0.0, 0, 1, 0, 1), (40, 0.3, 60, 0.0, 50, 0.0, 0, 1, 0, 1), (25, 0.5, 80, 0.1, 40, 0.0, 0, 1, 0, 1),
-    (3, 1.0, 80, 0.0, 60, 0.0, 0, 1, 0, 1), (4, 1.0, 90, 0.1, 50, 0.0, 0, 1, 0, 1), (3, 1.0, 3, 1.0, 4, 1.0, 0, 1, 0, 0),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (5, 1.0, 4, 1.0, 60, 0.0, 0, 1, 0, 0), (70, 0.0, 9, 0.0, 80, 0.0, 0, 0, 0, 1),
-    (90, 0.0, 70, 0.0, 35, 0.0, 0, 0, 0, 1), (35, 0.1, 90, 0.0, 60, 0.0, 0, 0, 0, 1), (18, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1, 1), (6, 0.0, 60, 0.0, 55, 0.0, 0, 0, 1, 1), (6, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1),
-    (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 2, 0.0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.8, 60, 0.0, 5, 0.9, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (12, 0.7, 5, 1.0, 8, 0.6, 0, 0, 0, 0),
-    (20, 0.8, 12, 0.9, 18, 0.7, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (words, density, *before, *after, *place, content)
+    for (least, most), (low, high), *lists, content in CASES for words in WORDS if least <= words <= most
+    for density in DENSITIES if low <= density <= high for before, after, *place in product(*lists)
 ])
 
 
-def grow(rows: np.ndarray, depth: int = 8):
+def grow(rows: np.ndarray, depth: int = 16):
     """A decision tree by Gini impurity: a share of content, or (column, threshold, below, above)."""
     y = rows[:, -1]
     if depth == 0 or y.min() == y.max():
@@ -94,29 +141,48 @@ def is_content(node, features: tuple) -> bool:
     return node >= 0.5
 
 
-def beside(tag: str, attributes: str, in_article: bool) -> str:
-    """Whether an element is a part beside the article: by its "tag", which covers roles, or its "words", class or id."""
+# How sure a part is beside the article. Entering an article or main element clears all but TAG.
+CLEAR, PERHAPS, NAMED_SO, FORM, TAG = range(5)
+BESIDE = (0.0, 0.5, 1.0, 1.0, 1.0)
+
+
+def named_beside(value: str) -> int:
+    """What a class or id says: one name of beside and plain words is enough, a word among others only hints at it."""
+    found = CLEAR
+    for name in value.split():
+        parts = [p.lower() for p in PART.findall(name)]
+        own = [p for p in parts if p in BESIDE_WORDS]
+        if own and not UNMAKING_WORDS.intersection(parts):
+            sure = all(p in BESIDE_WORDS or p in PLAIN_WORDS or len(p) == 1 for p in parts)
+            found = max(found, NAMED_SO if sure else PERHAPS)
+    return found
+
+
+def beside(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is a part beside the article, by its tag or role, or by its class or id."""
+    if tag == "form":
+        return FORM
     if tag in BESIDE_TAGS or tag == "header" and not in_article:
-        return "tag"
+        return TAG
     if "=" not in attributes or tag in ("html", "body", "main", "article"):
-        return ""
-    words = ""
+        return CLEAR
+    found = CLEAR
     for name, *values in NAMED.findall(attributes):
         value = "".join(values)
         if name.lower() == "role":
             if BESIDE_ROLES.intersection(value.lower().split()):
-                return "tag"
-        elif any(p.lower() in BESIDE_WORDS for p in PART.findall(value)):
-            words = "words"
-    return words
+                return TAG
+        else:
+            found = max(found, named_beside(value))
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, int, float, float, bool, bool]]:
     """(text, words, link density, beside, in article, heading) of each block that has text."""
     out: list[tuple] = []
     # tag, and how beside, whether in an article, a heading from here on
-    stack: list[tuple[str, str, bool, bool]] = []
-    state = ("", False, False)
+    stack: list[tuple[str, int, bool, bool]] = []
+    state = (CLEAR, False, False)
     text: list[str] = []
     linked: list[str] = []
     link = False
@@ -126,7 +192,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             words = html.unescape("".join(text)).split()
             if words:
                 n_linked = len(html.unescape(" ".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), state[0] != "", *state[1:]))
+                out.append((" ".join(words), len(words), min(1.0, n_linked / len(words)), BESIDE[state[0]], *state[1:]))
             text.clear()
             linked.clear()
 
@@ -162,26 +228,31 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             else:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option", *HEADINGS) and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                     stack.pop()
-                state = stack[-1][1:] if stack else ("", False, False)
+                state = stack[-1][1:] if stack else (CLEAR, False, False)
                 if tag not in VOID:
                     article = state[1] or tag in ("article", "main")
-                    # a wrapper named has-sidebar around the article is not the sidebar
-                    outer = "" if article and not state[1] and state[0] == "words" else state[0]
-                    own = beside(tag, m[4], state[1])
-                    stack.append((tag, "tag" if "tag" in (outer, own) else outer or own, article, tag in HEADINGS))
-            state = stack[-1][1:] if stack else ("", False, False)
+                    # a form or a wrapper of some name around the article is not beside it
+                    outer = CLEAR if article and not state[1] and state[0] < TAG else state[0]
+                    stack.append((tag, max(outer, beside(tag, m[4], state[1])), article, tag in HEADINGS))
+            state = stack[-1][1:] if stack else (CLEAR, False, False)
     add(page[at:])
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """Content blocks of a page in page order, joined by an empty line."""
+    """Content blocks of a page in page order, joined by an empty line.
+
+    Neighbours count only inside the same part of the page: what follows the article says nothing
+    about its last paragraph.
+    """
     found = blocks(page or "")
-    measures = [(0, 0.0), *((n, density) for _, n, density, *_ in found), (0, 0.0)]
+    part = [(sure, article) for *_, sure, article, _ in found]
+    measure = lambda k, own: found[k][1:3] if 0 <= k < len(found) and part[k] == own else NONE[0]
     kept = []
-    for k, (text, n, density, *place) in enumerate(found, 1):
-        if is_content(tree(), (n, density, *measures[k - 1], *measures[k + 1], *place)):
+    for k, (text, n, density, *place) in enumerate(found):
+        legal = LEGAL.search(text) is not None
+        if is_content(tree(), (n, density, *measure(k - 1, part[k]), *measure(k + 1, part[k]), *place, legal)):
             kept.append(text)
     return "\n\n".join(kept)
 
