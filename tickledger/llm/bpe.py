@@ -8,7 +8,7 @@ changes three leaves and their paths. Short pieces of one size are merged side b
 from __future__ import annotations
 
 import json
-from functools import cache
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +216,8 @@ def merge_all(pieces: list[bytes], size: int, v: Vocabulary) -> list[np.ndarray]
     return np.split(ids[:, :n][kept], np.cumsum(kept.sum(axis=1))[:-1])
 
 
-@cache
 def _vocabulary(text: str) -> Vocabulary:
-    return Vocabulary(text)
+    return X.kept_in_worker(f"vocabulary {zlib.crc32(text.encode())}", lambda: Vocabulary(text))
 
 
 def _file(df: DataFrame, path: str):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import cache
 from itertools import product
 
 import numpy as np
@@ -129,9 +128,8 @@ def grow(rows: np.ndarray, depth: int = 16):
     return column, float(cut), grow(rows[low], depth - 1), grow(rows[~low], depth - 1)
 
 
-@cache
 def tree():
-    return grow(LABELLED)
+    return X.kept_in_worker("tree of page blocks", lambda: grow(LABELLED))
 
 
 def is_content(node, features: tuple) -> bool:

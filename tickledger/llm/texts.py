@@ -116,18 +116,29 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def _held() -> dict:
+    return sys.modules.setdefault("worker memory", types.ModuleType("worker memory")).__dict__
+
+
 def kept_in_worker(name: str, make: Callable):
     """What ``make`` returns, kept by this Python process for its next tasks; one value per name.
 
     Functions reach the workers by value and would start anew in each task, so what is dear to load
-    is put where the process keeps its modules.
+    is put where the process keeps its modules. Values with a method ``forget`` lose what they have
+    learnt from texts at the end of a task, so that later stages find the memory free.
     """
-    held = sys.modules.setdefault("worker memory", types.ModuleType("worker memory")).__dict__
+    held = _held()
     if name not in held:
         held[name] = make()
     return held[name]
 
 
+def forget_texts() -> None:
+    for value in list(_held().values()):
+        if hasattr(value, "forget"):
+            value.forget()
+
+
 def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``function`` makes of each Arrow batch.
 
@@ -145,6 +156,7 @@ def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa
             for at in range(0, batch.num_rows, step):
                 part = pa.RecordBatch.from_arrays([c.slice(at, step) for c in batch.columns], batch.schema.names)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + function(part), names)
+        forget_texts()
 
     return df.mapInArrow(run, schema)
 

@@ -97,6 +97,7 @@ class Pair:
         # no token of B has a space behind other characters, and none of A's pieces has: both may be cut there
         inner = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.cut = (lambda t: [" " + t]) if inner else (lambda t: UNIT.split(" " + t))
+        self.digits = decimals()
         self.forget()
 
     def forget(self) -> None:
@@ -231,7 +232,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     name = f"tokens of {a_path} and {b_path}"
 
     def made(batch):
-        pair, digits = X.kept_in_worker(name, lambda: (Pair(*sent.value), decimals()))
+        pair = X.kept_in_worker(name, lambda: Pair(*sent.value))
         parts = []
         for i, j in X.slices(X.joined(batch.column(column))[1], SLICE_BYTES):
             found = Aligned(batch.column(column)[i:j].to_pylist(), pair)
@@ -239,7 +240,7 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
             row, a, b, links = found.pairs()
             counts = [np.diff(found.a_at), np.diff(found.b_at), np.bincount(found.per_row(ends), minlength=n), np.bincount(row, links, minlength=n).astype(np.int64)]
             parts.append([
-                *(pa.array(c, pa.int64()) for c in counts), pa.array([x.decode() for x in found.lines(digits)], pa.string()),
+                *(pa.array(c, pa.int64()) for c in counts), pa.array([x.decode() for x in found.lines(pair.digits)], pa.string()),
                 _lists(a, row, n, pa.int32()), _lists(b, row, n, pa.int32()), _lists(links, row, n, pa.int32()),
             ])
         return [pa.concat_arrays(c) for c in zip(*parts, strict=True)]
