@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickledger import schemas as S
 from tickledger.functions import codec, keys, results, rules
 from tickledger.sources import logs, sample, tables
-from tickledger.operators import compaction
+from tickledger.operators import commands, compaction
 
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
@@ -164,3 +164,12 @@ def test_bracket_hosts(spark):
     }
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.e for r in df.select("url", rules.url_error(F.col("url")).alias("e")).collect()} == urls
+
+
+def test_creates_without_an_id_get_one_each(spark):
+    http = (("http://h/", 0, None, None, True),)
+    rows = [("d", None if i % 2 else f"00000000-0000-0000-0000-0000000000{i:02d}", (http, ("@daily", None, None, 0), None)) for i in range(40)] + [("d", None, None)]
+    asked = spark.createDataFrame(rows, f"domain string, timer_uuid string, create {S.CREATE.simpleString()}")
+    good, bad = commands.split(commands.judge(asked, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)))
+    assert good.select("timer_uuid").distinct().count() == good.count() == 40
+    assert [(r.timer_uuid, r.reason) for r in bad.collect()] == [(None, "invalid timer id")]

@@ -228,24 +228,28 @@ def stamp_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accept_commands(spark: SparkSession, sf: str) -> DataFrame:
-    """Creates, some without a start or with a broken text, and deletes, some with a broken id."""
+    """Creates, some without an id, without a start or with a broken text, and deletes, some with a broken id.
+
+    An id that is drawn is not the same twice, so only its form is shown.
+    """
     rows = sample.records(configure(spark), sf).where((F.col("topic") == S.CREATE_TOPIC) & (F.col("kind") != codec.MARKER))
     plan = F.col("create.schedule")
     cron = F.when(F.col("k") % 11 == 0, "@sometimes").otherwise(plan["cron"])
     start = F.when(F.col("k") % 7 != 0, plan["start_time"])
     create = F.col("create").withField("schedule", plan.withField("cron", cron).withField("start_time", start))
     is_delete = F.col("kind") == codec.DELETE
+    nameless = ~is_delete & (F.col("k") % 5 == 2)
     asked = rows.select(
         "offset", "domain", is_delete.alias("is_delete"),
-        F.when(is_delete & (F.col("k") % 13 == 0), "nobody").otherwise(F.col("timer_uuid")).alias("timer_uuid"),
-        F.when(~is_delete, create).alias("create"),
+        F.when(is_delete & (F.col("k") % 13 == 0), "nobody").when(nameless, None).otherwise(F.col("timer_uuid")).alias("timer_uuid"),
+        F.when(~is_delete, create).alias("create"), nameless.alias("nameless"),
     )
     judged = commands.judge(asked, NOW)
     good = F.col("reason").isNull()
     return plain(
         judged.select(
-            "offset", "domain", "is_delete", "reason",
-            F.when(good, keys.partition_of(F.col("timer_uuid"), sample.PARTITIONS)).alias("partition"),
+            "offset", "domain", "is_delete", "reason", (F.col("nameless") & keys.is_uuid(F.col("timer_uuid"))).alias("id_drawn"),
+            F.when(good & ~F.col("nameless"), keys.partition_of(F.col("timer_uuid"), sample.PARTITIONS)).alias("partition"),
             F.when(good, F.col("create.schedule.start_time")).alias("start_time"),
         )
     )

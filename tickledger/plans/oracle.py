@@ -275,7 +275,8 @@ LOG_SQL = {
         f"""SELECT off AS "offset", {NOW}::BIGINT AS create_time, true AS id_ok FROM lg WHERE topic = 'create' AND kind = 'UPSERT'"""
     ),
     "accept_commands": _with(_LOG, _PARTS)
-    + f"""SELECT off AS "offset", domain, kind = 'DELETE' AS is_delete, reason, CASE WHEN reason IS NULL THEN part END AS partition,
+    + f"""SELECT off AS "offset", domain, kind = 'DELETE' AS is_delete, reason, kind = 'UPSERT' AND k % 5 = 2 AS id_drawn,
+           CASE WHEN reason IS NULL AND NOT (kind = 'UPSERT' AND k % 5 = 2) THEN part END AS partition,
            CASE WHEN reason IS NULL AND kind = 'UPSERT' THEN CASE WHEN k % 7 = 0 THEN {NOW} ELSE start_us END END AS start_time
            FROM (SELECT *, CASE WHEN kind = 'DELETE' THEN CASE WHEN k % 13 = 0 THEN 'invalid timer id' END
                    WHEN k % 11 = 0 THEN 'invalid schedule: invalid cron: unknown descriptor' END AS reason
