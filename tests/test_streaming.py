@@ -13,7 +13,7 @@ from tickledger import schemas as S
 from tickledger.functions import codec
 from tickledger.operators import compaction
 from tickledger.sources import logs, sample
-from tickledger.streaming import fence, fires, projections
+from tickledger.streaming import chain, fence, fires, projections
 
 KEY = S.KEY_COLUMNS
 
@@ -390,3 +390,19 @@ def test_partitions_wait_for_their_own_marker(spark, tmp_path):
     columns = ["partition", "offset", "fence", "phase", "key", "value"]
     assert got.count() == 240
     assert got.select(*columns).exceptAll(batch.select(*columns)).count() == 0
+
+
+def test_fires_become_log_records_in_order(spark, tmp_path):
+    rows = [("d", "00000000-0000-0000-0000-00000000000a", "FIRE", n, T0 + n * MINUTE) for n in (2, 1, 3)]
+    rows += [("d", "00000000-0000-0000-0000-00000000000a", "FINISH", 3, None), ("d", "00000000-0000-0000-0000-00000000000b", "FIRE", 1, T0)]
+    handler = chain.append_handler(str(tmp_path), 2)
+    events = spark.createDataFrame(rows, fires.OUTPUT_SCHEMA)
+    handler(events, 0)
+    handler(events, 1)
+    handler(events, 1)  # a batch may run again
+    log = codec.decode_records(spark.read.schema(S.ENVELOPE).parquet(str(tmp_path)))
+    mine = log.where(F.col("timer_uuid").endswith("a")).orderBy("topic", "offset").collect()
+    assert [(r.topic, r.kind, r.execute and r.execute.progress.completed_executions) for r in mine] == [
+        ("create", codec.DELETE, None)] * 2 + [("execute", codec.UPSERT, 1), ("execute", codec.UPSERT, 2), ("execute", codec.UPSERT, 3), ("execute", codec.DELETE, None)] * 2
+    assert log.groupBy("topic", "partition", "offset").count().where("count > 1").count() == 0
+    assert {r.offset >> chain.OFFSET_BITS for r in mine} == {0, 1}

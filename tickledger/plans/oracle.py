@@ -565,6 +565,9 @@ STREAM_SQL = {
 new AS ({_NEW} UNION ALL SELECT domain, timer_uuid, -1, cron, start_us, stop_us, max_executions, done, run_us, high_us FROM old_lives),
 {_events('new', 'said')}
 SELECT * FROM said""",
+    "stream_chain": _with(_LOG, _LIVES, _CAL, f"new AS ({_NEW})", _events("new", "said"))
+    + """SELECT domain, timer_uuid, count(DISTINCT fire_us) AS executions, CAST(arg_max(n, fire_us * 1000 + n) AS BIGINT) AS completed_executions, max(fire_us) AS last_execution
+         FROM said WHERE event = 'FIRE' GROUP BY domain, timer_uuid""",
     "stream_fence": _with(_LOG, _PARTS, _FENCE.replace("max(off)", "min(off)"))
     + """SELECT part AS partition, off AS "offset", fence, CASE WHEN off <= fence THEN 'snapshot' ELSE 'live' END AS phase, kind = 'MARKER' AS is_marker
          FROM plog JOIN fence USING (part) WHERE topic = 'create'""",

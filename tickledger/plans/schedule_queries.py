@@ -83,7 +83,7 @@ def fire_records(spark: SparkSession, sf: str) -> DataFrame:
         *KEY, F.lit("FINISH").alias("event"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("fire_us")
     )
     log = logs.fire_records(fired.union(done), sample.PARTITIONS)
-    placed = log.select("*", F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"))
+    placed = log.select("*", F.lit(0).cast("bigint").alias("offset"))
     rows = decode_records(placed)
     return plain(rows.select("topic", "partition", *KEY, "kind", "execute.progress.completed_executions", "execute.progress.last_execution"))
 

@@ -12,7 +12,7 @@ from tickledger.plans.shape import plain
 from tickledger.plans.state_queries import SPLIT_US
 from tickledger.session import configure, shared_path
 from tickledger.sources import sample
-from tickledger.streaming import fence, fires, projections
+from tickledger.streaming import chain, fence, fires, projections
 
 KEY = S.KEY_COLUMNS
 FILES = 4  # the log arrives in so many slices of time; odd partitions are one file behind
@@ -98,10 +98,22 @@ def stream_fence(spark: SparkSession, sf: str) -> DataFrame:
     return plain(rows.select("partition", "offset", "fence", "phase", F.col("key").isNull().alias("is_marker")))
 
 
+def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """What the projected tables say after timers have fired over the whole log: executions and progress by timer."""
+    base = shared_path(spark, "stream-chain")
+    records = sample.records(configure(spark), sf)
+    delay = sample.write_in_files(records, f"{base}/commands", FILES, closing=True)
+    chain.run(sample.stream_files(spark, f"{base}/commands", records.schema), delay, base, sample.PARTITIONS, spark, FOLD_EVERY)
+    done = projections.read_changes(spark, f"{base}/executions", projections.EXECUTION_ROWS)
+    counted = done.groupBy(*KEY).agg(F.count(F.lit(1)).alias("executions"))
+    progress = projections.current_progress(projections.read_table(spark, f"{base}/progress", projections.PROGRESS_CHANGES))
+    return plain(counted.join(progress, KEY, "full").select(*KEY, "executions", "completed_executions", "last_execution"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         stream_timers, stream_dedup_executions, stream_progress, stream_quarantine, stream_fires, late_fires,
-        stream_restore, stream_fence,
+        stream_restore, stream_fence, stream_chain,
     )
 }

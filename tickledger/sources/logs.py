@@ -130,7 +130,8 @@ def fire_records(events: DataFrame, partitions: int) -> DataFrame:
     """What fires and finishes write to the logs.
 
     ``events`` has domain, timer_uuid, event, n and fire_us (see ``streaming.fires``). A fire becomes
-    an execution with the progress and no result yet, a finish the two tombstones of its timer.
+    an execution with the progress and no result yet, a finish the two tombstones of its timer. The
+    time of a fire is the ``timestamp`` of its record; tombstones leave it to the log.
     """
     progress = F.struct(
         F.col("n").cast("int").alias("completed_executions"), F.timestamp_micros("fire_us").alias("last_execution")
@@ -142,5 +143,7 @@ def fire_records(events: DataFrame, partitions: int) -> DataFrame:
         codec.encode(F.struct("domain", "timer_uuid")).alias("key"),
         codec.encode(execute).alias("value"),
         F.array().cast(S.HEADERS).alias("headers"),
+        F.timestamp_micros("fire_us").alias("timestamp"),
     )
-    return fired.unionByName(finish_tombstones(events.where(F.col("event") == "FINISH"), partitions))
+    ended = finish_tombstones(events.where(F.col("event") == "FINISH"), partitions)
+    return fired.unionByName(ended, allowMissingColumns=True)
