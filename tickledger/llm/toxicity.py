@@ -51,8 +51,8 @@ def fit(
     """Weights of the n-grams and the bias.
 
     The fit takes the ``per_class`` labelled rows of each class with the smallest hashes of their
-    keys (``learn`` says of a label row whether it may be used); this bounds what reaches the
-    driver. Class shares are those of all usable label rows. Label rows without key or label are
+    keys (``learn`` says of a label row whether it may be used). Their n-grams are counted in the
+    tasks, and only those that count reach the driver, so neither many nor long rows fill it. Class shares are those of all usable label rows. Label rows without key or label are
     left out; of repeated ones the highest label holds. Without rows of both classes every text
     gets the share of toxic labels, or one half without labels.
     """
@@ -71,27 +71,49 @@ def fit(
     sample = F.broadcast(session.createDataFrame([tuple(r) for part in chosen for r in part], own.schema))
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sample, "_key")
 
+    ratio, n_clean, n_toxic = _ratios(rows)
+    if not n_clean or not n_toxic:  # the sampled keys have no text
+        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
+    used = df.sparkSession.sparkContext.broadcast(ratio != 0)
+
     def made(batch):
-        return [pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))]
+        grams = [features(t.as_py()) for t in batch.column(1)]
+        return [pa.array([g[used.value[g]] for g in grams], pa.list_(pa.int32()))]
 
+    # few n-grams are left, so a row is short however long its text is
     table = X.append(rows, "_grams array<int>", made).select("_key", "_label", "_grams").toArrow().sort_by("_key")
     grams = table["_grams"].combine_chunks()
-    return _fit(grams.flatten().to_numpy(), np.diff(grams.offsets.to_numpy()), table["_label"].to_numpy(), share)
+    return _fit(grams.flatten().to_numpy(), np.diff(grams.offsets.to_numpy()), table["_label"].to_numpy(), ratio, share)
 
 
-def _fit(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    if not 0 < y.sum() < len(y):  # the sampled keys have no text
-        return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    seen = np.ones((2, BUCKETS))
-    for k in range(len(y)):
-        seen[y[k], index[ends[k] : ends[k + 1]]] += 1  # the n-grams of a text are distinct
-    clean, toxic = seen
-    ratio = np.log(toxic / (y.sum() + 2)) - np.log(clean / (len(y) - y.sum() + 2))
+def _ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Log-count ratio of each n-gram, zero where it is not certain, and the number of clean and of toxic rows.
+
+    The tasks count their own rows; at most one row of sums per bucket reaches the driver.
+    """
+
+    def counted(batches):
+        seen = np.zeros((2, BUCKETS + 1), np.int64)  # the last bucket counts the rows
+        for batch in batches:
+            for label, text in zip(batch.column("_label").to_pylist(), batch.column("_text"), strict=True):
+                seen[label, features(text.as_py())] += 1  # the n-grams of a text are distinct
+                seen[label, BUCKETS] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (at, *seen[:, at])], ["bucket", "clean", "toxic"])
+
+    counts = rows.mapInArrow(counted, "bucket bigint, clean bigint, toxic bigint")
+    table = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen = np.zeros((2, BUCKETS + 1))
+    for k, name in enumerate(("clean", "toxic")):
+        seen[k, table["bucket"].to_numpy()] = table[name].to_numpy()
+    (n_clean, n_toxic), (clean, toxic) = seen[:, BUCKETS], seen[:, :BUCKETS] + 1
+    ratio = np.log(toxic / (n_toxic + 2)) - np.log(clean / (n_clean + 2))
     ratio[np.abs(ratio) < CERTAIN * np.sqrt(1 / toxic + 1 / clean)] = 0
+    return ratio, int(n_clean), int(n_toxic)
+
+
+def _fit(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    used = ratio[index] != 0  # few n-grams are left
-    row, index = row[used], index[used]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes weigh the same
     value = ratio.astype(np.float32)[index]
     theta, bias = np.zeros(BUCKETS), 0.0
