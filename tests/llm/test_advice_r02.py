@@ -32,11 +32,39 @@ def test_links_hidden_among_texts_just_under_the_threshold(spark):
     assert {r["id"]: r["component_id"] for r in found.collect()} == expected
 
 
-def test_shared_shingles_against_sets():
-    rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 40 if k % 2 else 4000, 60)) for k in range(90)]
-    plain = [[len(set(a) & set(b)) for b in sets[30:]] for a in sets[:30]]
-    assert near_duplicates.shared_shingles(sets[:30], sets[30:]).tolist() == plain
+@pytest.mark.parametrize("percent", [60, 80, 100])
+def test_rare_shingles_miss_no_close_pair(spark, percent):
+    """Sets of all sizes around a few bases, against every pair of them."""
+    rng = np.random.default_rng(percent)
+    sets = {}
+    for d in range(300):
+        size = int(rng.choice([1, 2, 5, 30, 63, 64, 65, 90, 130, 300]))
+        base = np.arange(size) + 1000 * int(rng.integers(0, 3))
+        moved = rng.random(size) < rng.choice([0, 0.02, 0.08, 0.12, 0.3])
+        sets[d] = np.unique(np.where(moved, rng.integers(5000, 5400, size), base))
+    component = {d: d if d % 3 else 0 for d in sets}
+    schema = "rep long, n long, component long"
+    docs = spark.createDataFrame([(d, len(x), component[d]) for d, x in sets.items()], schema)
+    grams = spark.createDataFrame([(d, x.tolist()) for d, x in sets.items()], "id long, grams array<long>")
+    candidates = near_duplicates._candidates(docs, grams, percent)
+    found = near_duplicates._confirmed(candidates, grams, percent).collect()
+    expected = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            shared = len(np.intersect1d(x, y))
+            if a < b and component[a] != component[b] and shared * 100 >= (len(x) + len(y) - shared) * percent:
+                expected.add((a, b))
+    assert expected and {(min(p), max(p)) for p in found} == expected and len(found) == len(expected)
+
+
+def test_size_classes(spark):
+    made = spark.range(1, 5000).selectExpr("id", f"{near_duplicates._size_class('id')} AS c")
+    rows = made.selectExpr("id", "c", f"{near_duplicates._smallest_of_class('c')} AS low").orderBy("id").collect()
+    first = {}
+    for r in rows:
+        first.setdefault(r["c"], r["id"])
+    assert all(r["low"] == first[r["c"]] for r in rows)
+    assert sorted(first) == list(range(1, rows[-1]["c"] + 1)) and all(r["c"] == r["id"] for r in rows[:64])
 
 
 def test_search_keeps_vectors_with_large_components(spark):

@@ -3,8 +3,9 @@
 Each distinct shingle falls into one of ``BANDS * ROWS`` bins by part of its hash, and a bin keeps the
 smallest. An empty bin borrows from the first filled bin of a random order of its own. Documents
 meet in a bucket when a band of bins agrees. In a bucket every member is first paired with one centre,
-which joins most of what belongs together. What then still stands in different components of a bucket is
-compared in full, in tiles of two slices of documents each. Pairs are confirmed on full sets.
+which joins most of what belongs together. Members that then still stand in different components of a bucket
+meet on their rarest shingles: two close sets share one of the first few in any common order. Pairs are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tickledger.llm import texts as X
 from tickledger.llm.components import components
+from tickledger.operators.skew import split_join
 
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
@@ -23,8 +25,6 @@ IN_WORD = np.ones(256, bool)
 IN_WORD[0x20] = IN_WORD[0x09:0x0E] = False  # fixed: the bytes between words
 ORDERS = np.argsort(np.random.default_rng(8).random((BINS, BINS)), axis=1).astype(np.int16)
 ROUNDS = 2
-TILE_ROWS, TILE_GRAMS = 512, 1 << 20
-COLUMNS = 4096
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     missed with a probability of about 1e-5. After the first stars, around the smallest key, every
     bucket that still holds several components gets one more star around another member, a
     ``ROUNDS``-th of the bands at a time. Members of a bucket that are in different components after
-    that are compared with each other, every pair of them.
+    that are joined on their rarest shingles, which finds every close pair among them.
     """
     sets = X.stored(sketches(df, key, text, words), "sketches")
     classes = sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "x", "y").agg(
@@ -140,7 +140,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         if not new.isEmpty():
             links = links.union(new)
             labels = components(links)
-    new = X.stored(_compared(_tiles(members, labels), grams, percent), "links")
+    rest = _candidates(_unsettled(members, labels), grams, percent)
+    new = X.stored(_confirmed(rest, grams, percent), "links")
     if not new.isEmpty():
         labels = components(links.union(new))
     return _labelled(sets, classes, labels)
@@ -162,139 +163,57 @@ def _star(members: DataFrame, order: Column) -> DataFrame:
     ).distinct()
 
 
-def _tiles(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``i``, ``j``, ``rep``, ``component``, ``slice`` of the members that have to be compared with each other.
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rep``, ``n``, ``component`` of the members of buckets of several components; a star settles a bucket of two."""
+    own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    buckets = own.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("m"))
+    return own.join(buckets.where("c < d AND m > 2").select("bucket"), "bucket").select("rep", "n", "component").distinct()
+
+
+def _needed(n: str, m: str, percent: int) -> str:
+    """SQL: how many shingles sets of ``n`` and ``m`` must share at least to be close."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def _size_class(n: str) -> str:
+    """SQL: number of the size class of ``n``: one for each size under 64, then 32 of equal width to each doubling."""
+    over = f"(length(bin({n})) - 6)"
+    return f"CASE WHEN {n} < 64 THEN {n} ELSE {over} * 32 + shiftright({n}, {over}) END"
+
 
-    Documents are cut into slices of about ``TILE_ROWS`` rows or ``TILE_GRAMS`` shingles among those they share
-    buckets with; a large component has slices of its own. A tile holds the members that two slices ``i`` and
-    ``j`` have in a common bucket, and is left out when they are all of one component. Buckets of two
-    members are complete after their star.
+def _smallest_of_class(c: str) -> str:
+    return f"CASE WHEN {c} < 64 THEN {c} ELSE shiftleft(({c} & 31) | 32, int(shiftright({c}, 5)) - 1) END"
+
+
+def _prefixes(docs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The first shingles of each set, rarest first, one row for each shingle and class of partner sizes.
+
+    Sets of ``n`` and ``m`` that share ``k`` shingles have one of them among the first ``n - k + 1`` of the one and the
+    first ``m - k + 1`` of the other, in any order that both follow. Shingles of one set only count in the order but meet nothing.
     """
-    own = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    unsettled = own.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("m"))
-    rows = own.join(unsettled.where("c < d AND m > 2"), "bucket").select("bucket", "rep", "n", "component", "c")
-    rows = X.stored(rows, "unsettled")
-    reps = rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("c").alias("home"))
-    room = lambda m, w: F.ceil(F.greatest(F.col(m) / TILE_ROWS, F.col(w) / TILE_GRAMS))
-    runs = reps.groupBy("home", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    runs = runs.withColumn("large", (F.col("m") * 2 >= TILE_ROWS) | (F.col("w") * 2 >= TILE_GRAMS)).withColumn("parts", room("m", "w"))
-    homes = runs.where("NOT large").groupBy("home").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
-    homes = homes.select("home", room("m", "w").alias("shared"))
-    placed = reps.join(runs.select("home", "component", "large", "parts"), ["home", "component"]).join(homes, "home", "left")
-    alone = F.xxhash64(F.lit(1), "home", "component", F.pmod(F.xxhash64(F.lit("part"), "rep"), "parts"))
-    shared = F.xxhash64(F.lit(0), "home", F.pmod(F.xxhash64(F.lit("part"), "component"), "shared"))
-    placed = X.stored(placed.select("rep", "component", F.when(F.col("large"), alone).otherwise(shared).alias("slice")), "slices")
-    spread = rows.select("bucket", "rep").join(placed, "rep")
-    ends = spread.groupBy("bucket", "slice").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    ends = ends.groupBy("bucket").agg(F.collect_list(F.struct("slice", "low", "high")).alias("ends"))
-    both = ends.withColumn("x", F.explode("ends")).withColumn("y", F.explode("ends")).drop("ends")
-    both = both.where("x.slice <= y.slice AND least(x.low, y.low) < greatest(x.high, y.high)")
-    both = both.select("bucket", F.col("x.slice").alias("i"), F.col("y.slice").alias("j"))
-    both = both.withColumn("slice", F.explode(F.array_distinct(F.array("i", "j"))))
-    return spread.join(both, ["bucket", "slice"]).select("i", "j", "rep", "component", "slice").distinct()
-
-
-def shared_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each set of ``left`` shares with each of ``right``."""
-    counts = np.zeros((len(left), len(right)), np.int64)
-    values = [np.concatenate([np.zeros(0, np.int64), *sets]) for sets in (left, right)]
-    common = np.intersect1d(*values)
-    if not len(common):
-        return counts
-    at, column = [], []
-    for sets, value in zip((left, right), values, strict=True):
-        place = np.minimum(np.searchsorted(common, value), len(common) - 1)
-        hit = common[place] == value
-        at.append(np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit])
-        column.append(place[hit])
-    times = [np.bincount(c, minlength=len(common)) for c in column]
-    often = times[0] * times[1] * 64 > counts.size
-    numbers = np.flatnonzero(often)
-    for k in range(0, len(numbers), COLUMNS):
-        part = numbers[k : k + COLUMNS]
-        grids = []
-        for sets, a, c in zip((left, right), at, column, strict=True):
-            use = (c >= part[0]) & (c <= part[-1]) & often[c]
-            grid = np.zeros((len(sets), len(part)), np.float32)
-            grid[a[use], np.searchsorted(part, c[use])] = 1
-            grids.append(grid)
-        counts += (grids[0] @ grids[1].T).astype(np.int64)
-    order = np.argsort(column[1], kind="stable")
-    owner, first = at[1][order], np.cumsum(times[1]) - times[1]
-    use = ~often[column[0]]
-    a, c = at[0][use], column[0][use]
-    size = times[1][c]
-    upto = np.cumsum(size)
-    k = 0
-    while k < len(a):
-        before = upto[k] - size[k]
-        to = max(k + 1, int(np.searchsorted(upto, before + (1 << 22), "right")))
-        s = size[k:to]
-        place = np.repeat(first[c[k:to]] - (upto[k:to] - s - before), s) + np.arange(s.sum())
-        counts += np.bincount(np.repeat(a[k:to], s) * len(right) + owner[place], minlength=counts.size).reshape(counts.shape)
-        k = to
-    return counts
-
-
-def close_pairs(grams: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the close pairs between ``left`` and ``right`` of different components; equal sides are one set."""
-    sizes, same = np.array([len(x) for x in grams], np.int64), left is right
-    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-    for a in range(0, len(left), TILE_ROWS):
-        for b in range(a if same else 0, len(right), TILE_ROWS):
-            p, q = left[a : a + TILE_ROWS], right[b : b + TILE_ROWS]
-            n, m = sizes[p][:, None], sizes[q][None, :]
-            asked = (component[p][:, None] != component[q][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
-            if same and a == b:
-                asked = np.triu(asked, 1)
-            x, y = np.nonzero(asked)
-            if not len(x):
-                continue
-            if len(x) <= 16:
-                shared = np.array([len(np.intersect1d(grams[p[i]], grams[q[j]], True)) for i, j in zip(x, y, strict=True)])
-            else:
-                shared = shared_shingles([grams[i] for i in p], [grams[i] for i in q])[x, y]
-            close = shared * 100 >= (sizes[p[x]] + sizes[q[y]] - shared) * percent
-            found[0].append(p[x[close]])
-            found[1].append(q[y[close]])
-    return np.concatenate(found[0]), np.concatenate(found[1])
-
-
-def _compared(tiles: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Close pairs of different components in each tile."""
-    rows = tiles.join(grams.withColumnRenamed("id", "rep"), "rep").withColumn("component", F.xxhash64("component"))
-    rows = rows.select("i", "j", "slice", "component", "rep", "grams").repartition("i", "j").sortWithinPartitions("i", "j")
-
-    def pairs(held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        column = table["grams"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        places, values = column.offsets.to_numpy(), column.values.to_numpy()
-        sets = [values[x:y] for x, y in zip(places, places[1:], strict=False)]
-        side = table["slice"].to_numpy()
-        left = np.flatnonzero(side == i)
-        right = left if i == j else np.flatnonzero(side == j)
-        a, b = close_pairs(sets, table["component"].to_numpy(), left, right, percent)
-        ids = table["rep"].combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array(ids.take(pa.array(x)).to_numpy()) for x in (a, b)], ["a", "b"])
-
-    def run(batches):
-        held = []
-        for batch in batches:
-            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), batch.num_rows]
-            for x, y in zip(edges, edges[1:], strict=False):
-                if x == y:
-                    continue
-                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (i[x], j[x]):
-                    yield pairs(held)
-                    held = []
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield pairs(held)
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    sets = X.stored(docs.join(grams.withColumnRenamed("id", "rep"), "rep"), "unsettled")
+    entries = sets.select("rep", F.explode("grams").alias("gram"))
+    times = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    ranked = split_join(entries, times, ["gram"], "inner").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("ranked"))
+    rows = sets.drop("grams").join(ranked, "rep").withColumn("own", F.expr(_size_class("n")))
+    rows = rows.withColumn("low", F.expr(f"({percent} * n + 99) div 100")).withColumn("high", F.expr(f"100 * n div {percent}"))
+    rows = rows.withColumn("class", F.explode(F.sequence(F.expr(_size_class("low")), F.expr(_size_class("high")))))
+    rows = rows.withColumn("low", F.expr(f"greatest(low, {_smallest_of_class('class')})")).withColumn("alone", F.expr("n - size(ranked)"))
+    rows = rows.withColumn("upto", F.expr(f"n - {_needed('n', 'low', percent)} + 1 - alone")).where("upto > 0")
+    rows = rows.select("rep", "component", "n", "own", "class", "alone", F.posexplode(F.expr("slice(ranked, 1, int(upto))")).alias("at", "entry"))
+    return rows.select("rep", "component", "n", "own", "class", (F.col("alone") + F.col("at")).alias("at"), "entry.gram")
+
+
+def _candidates(docs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes, early enough to be close."""
+    rows = X.stored(_prefixes(docs, grams, percent), "prefixes")
+    side = lambda k, m, x: (
+        "gram", F.col(k).alias("k"), F.col(m).alias("m"), F.col("rep").alias(x), *(F.col(c).alias(c[0] + x) for c in ("component", "n", "at"))
+    )
+    left, right = rows.where("own <= class").select(*side("own", "class", "a")), rows.where("own >= class").select(*side("class", "own", "b"))
+    early = f"least(na - aa, nb - ab) >= {_needed('na', 'nb', percent)}"  # what follows the first common shingle is all they can share
+    pairs = left.join(right, ["gram", "k", "m"]).where(f"ca <> cb AND (k < m OR a < b) AND {early}")
+    return pairs.select("a", "b", "na", "nb").distinct()
 
 
 def _confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
