@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickledger.llm import texts as X
@@ -24,7 +24,6 @@ BINS = BANDS * ROWS
 IN_WORD = np.ones(256, bool)
 IN_WORD[0x20] = IN_WORD[0x09:0x0E] = False  # fixed: the bytes between words
 ORDERS = np.argsort(np.random.default_rng(8).random((BINS, BINS)), axis=1).astype(np.int16)
-ROUNDS = 2
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +112,9 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     have no shingles and are linked with nothing, null keys likewise (their component is null).
     Rows with equal sets are one class, so copies are never paired; rows that share a key count as
     one document. Sets are compared by 64-bit hashes of their shingles. A pair at the threshold is
-    missed with a probability of about 1e-5. After the first stars, around the smallest key, every
-    bucket that still holds several components gets one more star around another member, a
-    ``ROUNDS``-th of the bands at a time. Members of a bucket that are in different components after
-    that are joined on their rarest shingles, which finds every close pair among them.
+    missed with a probability of about 1e-5. Members of a bucket that are in different components
+    after the stars around the smallest key are joined on their rarest shingles, which finds every
+    close pair among them.
     """
     sets = X.stored(sketches(df, key, text, words), "sketches")
     classes = sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "x", "y").agg(
@@ -131,15 +129,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     ids = members.select(F.col("rep").alias("id")).distinct()
     kept = df.join(ids, df[key] == ids["id"], "left_semi")
     grams = X.stored(full_sets(kept, key, text, words).dropDuplicates(["id"]), "sets")
-    links = X.stored(_confirmed(_star(members, F.col("rep")), grams, percent), "links")
+    links = X.stored(_confirmed(_star(members), grams, percent), "links")
     labels = components(links)
-    for number in range(ROUNDS):
-        own = members.where(F.col("band") % ROUNDS == number).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        own = own.withColumn("component", F.coalesce("component", "rep"))
-        new = X.stored(_confirmed(_star(own, F.xxhash64(F.lit(number), "rep")), grams, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
     rest = _candidates(_unsettled(members, labels), grams, percent)
     new = X.stored(_confirmed(rest, grams, percent), "links")
     if not new.isEmpty():
@@ -147,20 +138,11 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return _labelled(sets, classes, labels)
 
 
-def _star(members: DataFrame, order: Column) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's first member in an order; none inside a component."""
-    rows = members.withColumn("drawn", order)
-    rows = rows if "component" in rows.columns else rows.withColumn("component", F.col("rep"))
-    centre = rows.groupBy("bucket").agg(
-        F.min("component").alias("c"), F.max("component").alias("d"),
-        *(F.min_by(x, "drawn").alias(y) for x, y in (("rep", "centre"), ("n", "m"), ("component", "other"))),
-    )
-    pairs = rows.join(centre.where("c < d"), "bucket").where("component <> other")
-    return pairs.select(
-        F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"),
-        F.when(F.col("rep") < F.col("centre"), F.col("n")).otherwise(F.col("m")).alias("na"),
-        F.when(F.col("rep") < F.col("centre"), F.col("m")).otherwise(F.col("n")).alias("nb"),
-    ).distinct()
+def _star(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket with the bucket's smallest key."""
+    centre = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("na"))
+    pairs = members.join(centre, "bucket").where("rep <> a")
+    return pairs.select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb")).distinct()
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
