@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from tickledger.llm import texts as X
+
 LAW = "rows"
 
 
@@ -30,14 +32,17 @@ def shards(
     seed, its key and its text; the order is the same in every run on the same rows. Null keys and
     texts hash like a value of their own. Repeated rows share a bucket and are all kept; a bucket
     that they make too large is sorted on disk by Spark, and pass two holds one number per row of
-    it. An empty table gives no rows. Columns named ``shard`` or ``slot`` are replaced.
+    it. An empty table gives no rows. Columns named ``shard`` or ``slot`` are replaced, any other
+    name is free.
     """
+    df, named = X.shielded(df.drop("shard", "slot"), key=key, text=text)
+    key, text = "own_key", "own_text"
     content = F.crc32(text_bytes(text))
     size = F.octet_length(text_bytes(text)).cast("long") + 1
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
     drawn = [F.xxhash64(F.lit(f"{seed}/{use}"), F.col(key), content) for use in ("bucket", "order")]
-    rows = df.drop("shard", "slot").select(
+    rows = df.select(
         "*", F.pmod(drawn[0], F.lit(buckets)).alias("_bucket"), drawn[1].alias("_drawn")
     )
     # one row for each bucket_bytes of input; the running sum needs them in one place
@@ -51,7 +56,7 @@ def shards(
     placed = _fisher_yates(scattered, seed)
     numbered = placed.withColumn("shard", F.expr(f"cast(_rank * {n_shards} div {max(n, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")
-    return numbered.withColumn("slot", F.col("_rank") - first).drop("_bucket", "_drawn", "_rows", "_before", "_rank")
+    return named(numbered.withColumn("slot", F.col("_rank") - first).drop("_bucket", "_drawn", "_rows", "_before", "_rank"))
 
 
 def _fisher_yates(scattered: DataFrame, seed: int) -> DataFrame:

@@ -317,12 +317,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Texts are UTF-8 bytes and are judged as they come in. Null and empty texts, texts shorter than
     ``LENGTH`` bytes and rows with a null key lose nothing, and a null key is never the smaller one.
-    Rows that share a key do not touch each other. Columns named like the results are replaced. An
-    empty table gives no rows. Chunks hold about ``CHUNK_BYTES`` of whole rows, the sort about
+    Rows that share a key do not touch each other. Columns named like the results are replaced, any
+    other name is free. An empty table gives no rows. Chunks hold about ``CHUNK_BYTES`` of whole rows, the sort about
     ``SORT_SUFFIXES`` suffixes and always whole anchors: of a passage that very many documents share,
     the anchors at its two ends have one surrounding per document, all others at most one per chunk.
     """
-    df = df.drop("removed", "kept")
+    df, named = X.shielded(df.drop("removed", "kept"), key=key, text=text)
+    key, text = "own_key", "own_text"
     names = df.columns
     at, content = names.index(key), names.index(text)
     session = df.sparkSession
@@ -344,7 +345,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     asked = both.applyInArrow(_surroundings(at, content, ranges, False), "_chunk bigint, around bigint")
     marks = asked.join(masks, "around").select("_chunk", "around", "first", "mask")
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("removed array<struct<begin:int,end:int>>, kept binary").fields])
-    return rows.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(_cut(at, content, names), schema)
+    return named(rows.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(_cut(at, content, names), schema))
 
 
 def whole_characters(df: DataFrame, column: str, name: str) -> DataFrame:

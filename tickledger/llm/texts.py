@@ -116,6 +116,18 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(df: DataFrame, **own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with each column of ``own`` called ``own_`` and its keyword, all others ``user_`` and a number.
+
+    No column of the user can then meet a name that an operator uses inside. The function that
+    comes with it gives the columns of a result their old names back. Letter case is ignored.
+    """
+    known = {given.lower(): f"own_{use}" for use, given in own.items()}
+    names = [known.get(c.lower(), f"user_{i}") for i, c in enumerate(df.columns)]
+    old = dict(zip(names, df.columns, strict=True))
+    return df.toDF(*names), lambda made: made.toDF(*[old.get(c, c) for c in made.columns])
+
+
 def _held() -> dict:
     return sys.modules.setdefault("worker memory", types.ModuleType("worker memory")).__dict__
 
