@@ -15,8 +15,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under the threshold; those without text are kept."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, name="toxicity")
-    return scored.where(F.col("toxicity") < toxicity.TOXIC_FROM).select(*docs.columns)
+    name = X.free(docs, "toxicity")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < toxicity.TOXIC_FROM).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of earlier documents; of a character that is cut, no byte stays.
 
-    Every document is kept, also with nothing left of its text; ``n_chars`` follows the text.
+    Every document is kept, also with nothing left of its text; ``n_chars``, where there is one, follows the text.
     """
-    rows = suffix_dedup.dedup(docs)
+    docs, named = X.shielded(docs, key="doc_id", text="text", chars="n_chars")
+    rows = suffix_dedup.dedup(docs, "own_key", "own_text")
     changed = F.size("removed") > 0
     rows = suffix_dedup.whole_characters(rows, "kept", "_left")
-    rows = rows.withColumn("text", F.when(changed, F.col("_left")).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("own_text", F.when(changed, F.col("_left")).otherwise(F.col("own_text")))
+    if "own_chars" in docs.columns:
+        rows = rows.withColumn("own_chars", F.when(changed, F.char_length("own_text").cast("bigint")).otherwise(F.col("own_chars")))
+    return named(rows.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
-    rows = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.where(F.size("hits") == 0).select(*docs.columns)
+    docs, named = X.shielded(docs, key="doc_id", text="text")
+    rows = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="own_text")
+    return named(rows.where(F.size("hits") == 0).select(*docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
