@@ -83,7 +83,7 @@ def test_search_keeps_vectors_with_large_components(spark):
         best = sorted(scores, key=lambda i: (-scores[i], i))[:15]
         expected |= {(q, r): (i, min(max(scores[i], -(2**63)), 2**63 - 1)) for r, i in enumerate(best, 1)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=15, shard_rows=25, large=True).collect()
+    got = exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=15, shard_rows=25).collect()
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == expected
 
 

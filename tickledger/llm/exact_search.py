@@ -192,18 +192,18 @@ def _search_wide(rows: DataFrame, k: int, scale: float) -> DataFrame:
 
 def top_k(
     df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0,
-    shard_rows: int = SHARD_ROWS, large: bool = False,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best candidates of each query row.
 
     The score is the inner product of the components times ``scale``, rounded down; ties go to the
     smaller id. Candidates are the rows of other ids with as many components; all if fewer than k.
     A query id counts once, with its smallest vector; repeated candidates are each a row. For
-    vectors that take no part see ``vectors``; ``wide`` ones take part if ``large``. A score that a long cannot hold is ranked by its true value
+    vectors that take no part see ``vectors``. A score that a long cannot hold is ranked by its true value
     and written as the long's end. No usable query gives no rows. Each query travels to
     every shard, candidates travel once for each pass; a shard holds about ``shard_rows`` of them.
     """
-    every = vectors(df, key, vector, scale).where(F.lit(large) | ~F.col("wide"))
+    every = vectors(df, key, vector, scale)
     counted = every.groupBy("dims", "wide").count().collect()  # at most two rows per vector length
     empty = df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not counted:
@@ -216,7 +216,7 @@ def top_k(
     rows = narrow(every)
     home = F.struct(F.col("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("n"))
     candidates = rows.select(F.xxhash64(home).alias("_shard"), F.lit(False).alias("_query"), F.lit(None).cast("double").alias("_least"), "id", "dims", "v")
-    queries = vectors(df.where(is_query), key, vector, scale).where(F.lit(large) | ~F.col("wide"))
+    queries = vectors(df.where(is_query), key, vector, scale)
     if any_wide:
         queries = queries.groupBy("id").agg(F.min(F.struct("dims", "y", "x", "wide")).alias("q")).select("id", "q.*")
         asked = narrow(queries)
