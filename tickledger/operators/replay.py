@@ -73,7 +73,9 @@ def _replay_every(state: DataFrame, ticks: DataFrame) -> DataFrame:
     joined = _first_tick(ticks, SECOND_US).join(
         state.select(*KEY, "every_s", "start_us", "stop_us", "max_executions", "completed_executions", "last_us"), KEY
     )
-    ordered = joined.repartition(*KEY).sortWithinPartitions(*KEY, "tick_us")
+    # dealt by the packed key: an exchange by the columns of the join counts as done by the join, which
+    # adaptive execution may turn into a broadcast or split, and then a timer's ticks are not together
+    ordered = joined.repartition(F.struct(*KEY)).sortWithinPartitions(*KEY, "tick_us")
     return ordered.mapInPandas(_fold_every, "domain string, timer_uuid string, n long, fire_us long")
 
 
