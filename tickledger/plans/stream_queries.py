@@ -15,7 +15,7 @@ from tickledger.sources import sample
 from tickledger.streaming import chain, fence, fires, projections
 
 KEY = S.KEY_COLUMNS
-FILES = 4  # the log arrives in so many slices of time; odd partitions are one file behind
+FILES = 4  # the log arrives in so many slices of time; odd partitions are one slice behind
 FOLD_EVERY = 2
 
 
@@ -25,8 +25,8 @@ def _log(spark: SparkSession, sf: str, damaged: bool = False, redelivered: bool
     if redelivered:
         rows = sample.with_redelivery(rows)
     path = shared_path(spark, "log")
-    sample.write_in_files(rows, path, FILES)
-    return sample.to_envelope(sample.stream_files(spark, path, rows.schema), damaged)
+    _, parts = sample.write_in_files(rows, path, FILES)
+    return sample.to_envelope(sample.stream_files(spark, path, rows.schema, parts), damaged)
 
 
 def stream_timers(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,10 +60,10 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_fires(spark: SparkSession, records: DataFrame, label: str, lag: bool = True, **options) -> DataFrame:
-    """Events of the timers of some records, which arrive in ``FILES`` files and, with ``lag``, out of order."""
+    """Events of the timers of some records, which arrive in ``FILES`` slices and, with ``lag``, out of order."""
     base = shared_path(spark, label)
-    delay = sample.write_in_files(records, f"{base}/log", FILES, lag, closing=True)
-    events = fires.fires(sample.stream_files(spark, f"{base}/log", records.schema), delay, **options)
+    delay, parts = sample.write_in_files(records, f"{base}/log", FILES, lag, closing=True)
+    events = fires.fires(sample.stream_files(spark, f"{base}/log", records.schema, parts), delay, **options)
     writer = events.writeStream.format("parquet").option("path", f"{base}/events")
     query = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     fires.run_checked(query)
@@ -76,7 +76,7 @@ def stream_fires(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def late_fires(spark: SparkSession, sf: str) -> DataFrame:
-    """One fire per timer and watermark for all that was missed: files in order, a watermark after each."""
+    """One fire per timer and watermark for all that was missed: slices in order, a watermark after each."""
     return _run_fires(spark, sample.records(configure(spark), sf), "late-fires", lag=False, catch_up="coalesce")
 
 
@@ -102,8 +102,8 @@ def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
     """What the projected tables say after timers have fired over the whole log: executions and progress by timer."""
     base = shared_path(spark, "stream-chain")
     records = sample.records(configure(spark), sf)
-    delay = sample.write_in_files(records, f"{base}/commands", FILES, closing=True)
-    chain.run(sample.stream_files(spark, f"{base}/commands", records.schema), delay, base, sample.PARTITIONS, spark, FOLD_EVERY)
+    delay, parts = sample.write_in_files(records, f"{base}/commands", FILES, closing=True)
+    chain.run(sample.stream_files(spark, f"{base}/commands", records.schema, parts), delay, base, sample.PARTITIONS, spark, FOLD_EVERY)
     done = projections.read_changes(spark, f"{base}/executions", projections.EXECUTION_ROWS)
     counted = done.groupBy(*KEY).agg(F.count(F.lit(1)).alias("executions"))
     progress = projections.current_progress(projections.read_table(spark, f"{base}/progress", projections.PROGRESS_CHANGES))

@@ -14,6 +14,8 @@ from tickledger import schemas as S
 from tickledger.functions import codec, keys
 
 PARTITIONS = 8
+# Records of one file of a log that is read as a stream, about.
+PART_ROWS = 100_000
 CRONS = ["*/15 * * * *", "0 * * * *", "30 6 * * 1-5", "0 0 1,15 * 1", "@every 90m", "@daily"]
 
 
@@ -154,27 +156,37 @@ def with_redelivery(rows: DataFrame) -> DataFrame:
     return rows.unionByName(again)
 
 
-def write_in_files(rows: DataFrame, path: str, files: int, lag: bool = True, closing: bool = False) -> str:
-    """Records as ``files`` slices of log time, one after the other; with ``lag`` odd partitions are one file behind.
+def write_in_files(
+    rows: DataFrame, path: str, files: int, lag: bool = True, closing: bool = False, part_rows: int = PART_ROWS
+) -> tuple[str, int]:
+    """Records as ``files`` slices of log time, one after the other; with ``lag`` odd partitions are one slice behind.
 
-    Returns the delay by which partitions then run apart at most. ``closing`` adds the tombstone of
-    an unknown timer, that delay after the last command, so that event time reaches the end of the log.
+    Returns the delay by which partitions then run apart at most, and the number of files of each slice:
+    the same for all, with about ``part_rows`` records each, so that a slice is written and read by many tasks
+    and a batch of so many files is one slice. ``closing`` adds the tombstone of an unknown timer, that
+    delay after the last command, so that event time reaches the end of the log.
     """
+    spark = rows.sparkSession
     us = F.unix_micros("timestamp")
     command = (F.col("topic") == S.CREATE_TOPIC) & (F.col("kind") != codec.MARKER)
-    low, high, last = rows.agg(F.min(us), F.max(us), F.max(F.when(command, us))).first()
+    low, high, last, total = rows.agg(F.min(us), F.max(us), F.max(F.when(command, us)), F.count(F.lit(1))).first()
     delay_ms = ((high - low) // files // 1000 + 1000) if lag else 0
+    parts = max(1, -(-total // (files * part_rows)))
     number = F.floor((us - low) * files / (high - low + 1)) + (F.pmod("partition", F.lit(2)) if lag else 0)
     for i in range(files + lag):
         part = rows.where(number == i)
         if closing and i == files + lag - 1:
-            end = rows.sparkSession.range(1).select(F.timestamp_micros(F.lit(last + delay_ms * 1000)).alias("timestamp"))
+            end = spark.range(1).select(F.timestamp_micros(F.lit(last + delay_ms * 1000)).alias("timestamp"))
             end = end.select("timestamp", F.lit(S.CREATE_TOPIC).alias("topic"), F.lit(0).alias("partition"), F.lit(-1).cast("long").alias("offset"), F.lit(codec.DELETE).alias("kind"), F.lit("").alias("domain"), F.lit("closing").alias("timer_uuid"))
             part = part.unionByName(end, allowMissingColumns=True)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return f"{delay_ms} milliseconds"
+        dealt = part.coalesce(1) if parts == 1 else part.repartition(parts, "offset")
+        dealt.write.mode("append").parquet(path)
+        # a task without records leaves no file behind
+        for _ in range((i + 1) * parts - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return f"{delay_ms} milliseconds", parts
 
 
-def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Such files as a stream, one file per batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def stream_files(spark: SparkSession, path: str, schema, parts: int = 1) -> DataFrame:
+    """Such files as a stream, one slice of ``parts`` files per batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", parts).parquet(path)

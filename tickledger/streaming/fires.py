@@ -1,18 +1,21 @@
 """Timers that fire in event time, with restorable keyed state.
 
-Create and delete commands arrive as a stream; each timer keeps its schedule masks, its progress
-and the next due time in a value state and is woken by an event-time timer.
+Create and delete commands arrive as a stream; the state keeps the schedule masks, the progress and
+the next due time of each timer. Timers share buckets by the hash of their key: a bucket is one value
+in the state store and has one event-time timer, at the first due time in it.
 """
 
 from __future__ import annotations
 
 import sys
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,8 @@ STATE_NAMES = [name for name, _ in STATE_FIELDS]
 STATE_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATE_FIELDS)
 # Rows of one frame of events, and of one slice of commands.
 PART_ROWS = 10_000
+# Groups of the keyed state. A call into the state costs as much as some hundred timers, so they share it.
+BUCKETS = 2048
 NO_TIME = -(1 << 63)
 # Name, numbers and times of some events of one timer.
 Event = tuple[str, np.ndarray, np.ndarray]
@@ -173,6 +178,29 @@ def instants(timer: dict, until: int, most: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *found])[:most]
 
 
+def framed(events: Iterator[tuple[tuple[str, str], Event]]) -> Iterator[pd.DataFrame]:
+    """Frames of at most ``PART_ROWS`` events, each given with the key of its timer."""
+    held: list[tuple[tuple[str, str], Event]] = []
+    size = 0
+
+    def frame() -> pd.DataFrame:
+        sizes = [len(n) for _, (_, n, _) in held]
+        words = [[key[0] for key, _ in held], [key[1] for key, _ in held], [event[0] for _, event in held]]
+        domain, uuid, name = (np.repeat(np.array(column, object), sizes) for column in words)
+        n, at = (np.concatenate([event[i] for _, event in held]) for i in (1, 2))
+        fire_us = pd.arrays.IntegerArray(at, at == NO_TIME)
+        return pd.DataFrame({"domain": domain, "timer_uuid": uuid, "event": name, "n": n, "fire_us": fire_us})
+
+    for key, event in events:
+        if held and size + len(event[1]) > PART_ROWS:
+            yield frame()
+            held, size = [], 0
+        held.append((key, event))
+        size += len(event[1])
+    if held:
+        yield frame()
+
+
 class TimerProcessor(StatefulProcessor):
     """Fires timers when the watermark passes their due time.
 
@@ -212,9 +240,18 @@ class TimerProcessor(StatefulProcessor):
     def _obey(self, rows: Iterator[pd.DataFrame]) -> Iterator[Event]:
         timer = self._load()
         self._forget_wake_up(timer)
+        timer = yield from self._obeyed(timer, self._in_order(rows))
+        self._save(timer)
+
+    def _wake(self, now: int) -> Iterator[Event]:
+        timer = yield from self._woken(self._load(), now)
+        self._save(timer)
+
+    def _obeyed(self, timer: dict | None, commands: Iterable[dict]):
+        """The timer after some commands in log order."""
         if timer is not None and timer["due_us"] is None:
             timer = yield from self._keep(timer)
-        for row in self._in_order(rows):
+        for row in commands:
             if timer is not None and self.catch_up == "all":
                 before = pd.Timestamp(row["timestamp"]).value // 1000
                 timer = yield from self._fire_until(timer, before - 1)
@@ -224,17 +261,17 @@ class TimerProcessor(StatefulProcessor):
             timer = {name: _python(row[name]) for name, _ in SCHEDULE_FIELDS}
             timer.update(completed=0, last_us=None)
             timer = yield from self._keep(timer)
-        self._save(timer)
+        return timer
 
-    def _wake(self, now: int) -> Iterator[Event]:
-        timer = self._load()
+    def _woken(self, timer: dict | None, now: int):
+        """The timer after the watermark has come to ``now``."""
         if timer is not None and timer["due_us"] is None:
             timer = yield from self._keep(timer)
         elif timer is not None and self.catch_up == "all":
             timer = yield from self._fire_until(timer, now)
         elif timer is not None and timer["due_us"] <= now:
             timer = yield from self._fire_late(timer, now)
-        self._save(timer)
+        return timer
 
     def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
         """Commands of one key and batch in log order; coalescing only needs the last one."""
@@ -252,24 +289,8 @@ class TimerProcessor(StatefulProcessor):
 
     @staticmethod
     def _frames(key, events: Iterator[Event]) -> Iterator[pd.DataFrame]:
-        """Frames of at most ``PART_ROWS`` events."""
-        held: list[Event] = []
-        size = 0
-
-        def frame() -> pd.DataFrame:
-            names = np.repeat([name for name, _, _ in held], [len(n) for _, n, _ in held])
-            n, at = (np.concatenate([e[i] for e in held]) for i in (1, 2))
-            fire_us = pd.arrays.IntegerArray(at, at == NO_TIME)
-            return pd.DataFrame({"domain": key[0], "timer_uuid": key[1], "event": names, "n": n, "fire_us": fire_us})
-
-        for event in events:
-            if size + len(event[1]) > PART_ROWS:
-                yield frame()
-                held, size = [], 0
-            held.append(event)
-            size += len(event[1])
-        if held:
-            yield frame()
+        """Frames of at most ``PART_ROWS`` events of one timer."""
+        return framed((key, event) for event in events)
 
     @staticmethod
     def _millis(micros: int) -> int:
@@ -328,8 +349,122 @@ class TimerProcessor(StatefulProcessor):
         return timer
 
 
+HELD_SCHEMA = pa.schema(
+    [(name, pa.string()) for name in KEY]
+    + [(name, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[kind]) for name, kind in STATE_FIELDS]
+)
+
+
+class BucketProcessor(TimerProcessor):
+    """The same for all timers of a bucket: one call into the state for many keys.
+
+    The timers of a bucket are one Arrow table in a value state. Only those that get a command or are
+    due become Python values; the others stay columns and are written back as they were read.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "timers binary, wake long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        held, wake = self._read()
+        timers = []
+        for row in initialState.to_dict("records"):
+            timer = {name: _python(row[name]) for name in STATE_NAMES if name != "due_us"}
+            self._schedule(timer)
+            timers.append(((row["domain"], row["timer_uuid"]), timer))
+        self._write(held, timers, wake)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        commands = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        return framed(self._each_obeys(commands.sort_values([*KEY, "timestamp", "offset"], ignore_index=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return framed(self._each_wakes(timerValues.getCurrentWatermarkInMs() * 1000))
+
+    def _each_obeys(self, commands: pd.DataFrame):
+        held, wake = self._read()
+        domain, uuid = (commands[name].to_numpy(object) for name in KEY)
+        first = np.flatnonzero(np.concatenate([[True], (domain[1:] != domain[:-1]) | (uuid[1:] != uuid[:-1])]))
+        named = dict.fromkeys(zip(domain[first], uuid[first], strict=True))
+        touched = np.fromiter((key in named for key in zip(*(held.column(name).to_pylist() for name in KEY), strict=True)), bool, len(held))
+        named |= dict(_timers(held.filter(pa.array(touched))))
+        kept, sizes = [], np.diff(first, append=len(commands))
+        if self.catch_up == "coalesce":  # only the last command of a key counts
+            commands, sizes = commands.iloc[first + sizes - 1], np.ones_like(sizes)
+        rows = _dicts(commands)
+        for (key, timer), size in zip(named.items(), sizes, strict=True):
+            timer = yield from _of(key, self._obeyed(timer, islice(rows, int(size))))
+            if timer is not None:
+                kept.append((key, timer))
+        self._write(held.filter(pa.array(~touched)), kept, wake)
+
+    def _each_wakes(self, now: int):
+        held, _ = self._read()
+        due = held.column("due_us").to_pandas()
+        touched = (due.isna() | (due <= now)).to_numpy(bool)
+        kept = []
+        for key, timer in _timers(held.filter(pa.array(touched))):
+            timer = yield from _of(key, self._woken(timer, now))
+            if timer is not None:
+                kept.append((key, timer))
+        self._write(held.filter(pa.array(~touched)), kept, None)  # the wake-up that came is gone
+
+    def _read(self) -> tuple[pa.Table, int | None]:
+        stored = self.bucket.get()
+        if stored is None:
+            return HELD_SCHEMA.empty_table(), None
+        return pa.ipc.open_stream(bytes(stored[0])).read_all(), _python(stored[1])
+
+    def _write(self, held: pa.Table, timers: list[tuple[tuple[str, str], dict]], wake: int | None) -> None:
+        """Store the bucket; ``wake`` is the wake-up that is registered for it."""
+        columns = [[key[0] for key, _ in timers], [key[1] for key, _ in timers], *([t[name] for _, t in timers] for name in STATE_NAMES)]
+        table = pa.concat_tables([held, pa.table([pa.array(c, f.type) for c, f in zip(columns, HELD_SCHEMA, strict=True)], schema=HELD_SCHEMA)])
+        due = [0 if at is None else at for at in table.column("due_us").to_pylist()]  # a restored timer that is finished reports it at once
+        first = self._millis(min(due)) if due else None
+        if wake is not None and wake != first:
+            self.handle.deleteTimer(wake)
+        if first is None:
+            self.bucket.clear()
+            return
+        if wake != first:
+            self.handle.registerTimer(first)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, HELD_SCHEMA) as writer:
+            writer.write_table(table.combine_chunks())
+        self.bucket.update((sink.getvalue().to_pybytes(), first))
+
+
+def _timers(table: pa.Table) -> Iterator[tuple[tuple[str, str], dict]]:
+    for row in table.to_pylist():
+        yield (row.pop("domain"), row.pop("timer_uuid")), row
+
+
+def _dicts(commands: pd.DataFrame) -> Iterator[dict]:
+    """Rows in order; a slice of them at a time becomes Python values, column by column."""
+    for at in range(0, len(commands), PART_ROWS):
+        part = commands.iloc[at : at + PART_ROWS]
+        for row in zip(*(part[name].astype(object).to_list() for name in part.columns), strict=True):
+            yield dict(zip(part.columns, row, strict=True))
+
+
+def _of(key: tuple[str, str], events):
+    """Events with the key of their timer; hands on what the events end with."""
+    while True:
+        try:
+            event = next(events)
+        except StopIteration as end:
+            return end.value
+        yield key, event
+
+
+def _bucketed(rows: DataFrame, buckets: int):
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")).groupBy("_bucket")
+
+
 def fires(
-    records: DataFrame, delay: str, catch_up: str = "all", restored: DataFrame | None = None
+    records: DataFrame, delay: str, catch_up: str = "all", restored: DataFrame | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """FIRE and FINISH events of the timers that a stream of records creates and deletes.
 
@@ -339,11 +474,14 @@ def fires(
 
     ``restored`` starts the timers of an earlier replay with their progress; the batch job that
     computes it ends before the stream starts, which is the gate between replay and live.
+
+    ``buckets`` groups of timers share their calls into the state; it is fixed at the first start of
+    a stream and should leave some thousand timers to a bucket at most.
     """
-    keyed = commands(records).withWatermark("timestamp", delay).groupBy(*KEY)
-    state = None if restored is None else initial_state(restored).groupBy(*KEY)
+    keyed = _bucketed(commands(records).withWatermark("timestamp", delay), buckets)
+    state = None if restored is None else _bucketed(initial_state(restored), buckets)
     return keyed.transformWithStateInPandas(
-        TimerProcessor(catch_up), OUTPUT_SCHEMA, "append", "EventTime", initialState=state
+        BucketProcessor(catch_up), OUTPUT_SCHEMA, "append", "EventTime", initialState=state
     )
 
 
