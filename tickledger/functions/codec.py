@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickledger import schemas as S
+from tickledger.functions.once import evaluate_once
 
 TIME_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -93,21 +94,26 @@ def decode_records(log: DataFrame) -> DataFrame:
     """
     is_create = F.col("topic") == S.CREATE_TOPIC
     is_execute = F.col("topic") == S.EXECUTE_TOPIC
-    decoded = (
-        log.withColumn("_key", decode(F.col("key"), S.KEY))
+    # every text is made once and parsed once: a filter on the kind or the reason takes no copy of it
+    texts = evaluate_once(log, "key", "value")
+    decoded = evaluate_once(
+        texts.withColumn("_key", decode(F.col("key"), S.KEY))
         .withColumn("_create", F.when(is_create, decode(F.col("value"), S.CREATE)))
         .withColumn("_execute", F.when(is_execute, decode(F.col("value"), S.EXECUTE)))
+        .withColumn("_key_whole", is_document(F.col("key")))
+        .withColumn("_value_whole", is_document(F.col("value"))),
+        "_key", "_create", "_execute", "_key_whole", "_value_whole",
     )
     key_ok = (
         F.col(f"_key.{S.CORRUPT}").isNull()
         & F.col("_key.domain").isNotNull()
         & F.col("_key.timer_uuid").isNotNull()
-        & is_document(F.col("key"))
+        & F.col("_key_whole")
     )
     value_bad = F.coalesce(
         F.col(f"_create.{S.CORRUPT}").isNotNull() | F.col(f"_execute.{S.CORRUPT}").isNotNull(),
         F.lit(False),
-    ) | ~is_document(F.col("value"))
+    ) | ~F.col("_value_whole")
     kind = (
         F.when(~(is_create | is_execute), UNKNOWN_TOPIC)
         .when(F.col("key").isNull(), MARKER)

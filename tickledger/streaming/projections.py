@@ -200,8 +200,8 @@ def quarantine_handler(good_path: str, bad_path: str) -> Callable[[DataFrame, in
     """Usable records to one folder, malformed ones with their reason to another."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # decoded once for both writes; lost blocks are decoded again
-        records = codec.decode_records(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        # decoded once for both writes, without the messages, which neither of them reads; lost blocks are decoded again
+        records = codec.decode_records(batch).drop("create", "execute", "headers").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good, bad = codec.split_quarantine(records)
             write_batch(good.select("topic", "partition", "offset", "kind", *KEY), good_path, batch_id)
