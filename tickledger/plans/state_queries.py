@@ -74,7 +74,7 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
 def domain_layout(spark: SparkSession, sf: str) -> DataFrame:
     rows = compaction.timers_projection(_records(spark, sf))
     path = shared_path(spark, "timers")
-    tables.write_by_domain(rows.select(*KEY, "created_at", "create"), path)
+    tables.write_by_bucket(rows.select(*KEY, "created_at", "create"), path)
     back = tables.read_table(spark, path, "domain string, timer_uuid string, created_at timestamp")
     return plain(back.groupBy("domain").agg(F.count(F.lit(1)).alias("timers"), F.min("created_at").alias("first_at")))
 
@@ -112,10 +112,10 @@ def timer_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tenant_read(spark: SparkSession, sf: str) -> DataFrame:
-    """One tenant's executions from the table that is laid out by domain."""
+    """One tenant's executions from the table that is laid out by buckets of domains."""
     path = shared_path(spark, "executions")
-    tables.write_by_domain(compaction.executions(_records(spark, sf), ("partition", "offset")), path)
-    back = tables.read_table(spark, path, "domain string, timer_uuid string, kafka_timestamp timestamp, offset bigint")
+    tables.write_by_bucket(compaction.executions(_records(spark, sf), ("partition", "offset")), path)
+    back = tables.read_table(spark, path, "domain string, timer_uuid string, kafka_timestamp timestamp, offset bigint, domain_bucket int")
     return plain(tables.scoped({"executions": back}, "executions", TENANT).select(*KEY, "kafka_timestamp", "offset"))
 
 
