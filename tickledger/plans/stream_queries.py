@@ -21,7 +21,7 @@ FOLD_EVERY = 2
 
 def _log(spark: SparkSession, sf: str, damaged: bool = False, redelivered: bool = False) -> DataFrame:
     """The log as a stream of ``FILES`` slices, out of order between partitions."""
-    rows = sample.records(configure(spark), sf)
+    rows = sample.spread_records(configure(spark), sf)
     if redelivered:
         rows = sample.with_redelivery(rows)
     path = shared_path(spark, "log")
@@ -72,18 +72,18 @@ def _run_fires(spark: SparkSession, records: DataFrame, label: str, lag: bool =
 
 
 def stream_fires(spark: SparkSession, sf: str) -> DataFrame:
-    return _run_fires(spark, sample.records(configure(spark), sf), "stream-fires")
+    return _run_fires(spark, sample.spread_records(configure(spark), sf), "stream-fires")
 
 
 def late_fires(spark: SparkSession, sf: str) -> DataFrame:
     """One fire per timer and watermark for all that was missed: slices in order, a watermark after each."""
-    return _run_fires(spark, sample.records(configure(spark), sf), "late-fires", lag=False, catch_up="coalesce")
+    return _run_fires(spark, sample.spread_records(configure(spark), sf), "late-fires", lag=False, catch_up="coalesce")
 
 
 def stream_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Timers of the older half of the log restored with their progress, the newer half live."""
     old = F.unix_micros("timestamp") < SPLIT_US
-    records = sample.records(configure(spark), sf)
+    records = sample.spread_records(configure(spark), sf)
     past = records.where(old)
     state = restore.restore_state(compaction.live_creates(past, parts=("schedule",)), compaction.progress_latest(past))
     return _run_fires(spark, records.where(~old), "stream-restore", restored=state)
@@ -101,7 +101,7 @@ def stream_fence(spark: SparkSession, sf: str) -> DataFrame:
 def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
     """What the projected tables say after timers have fired over the whole log: executions and progress by timer."""
     base = shared_path(spark, "stream-chain")
-    records = sample.records(configure(spark), sf)
+    records = sample.spread_records(configure(spark), sf)
     delay, parts = sample.write_in_files(records, f"{base}/commands", FILES, closing=True)
     chain.run(sample.stream_files(spark, f"{base}/commands", records.schema, parts), delay, base, sample.PARTITIONS, spark, FOLD_EVERY)
     done = projections.read_changes(spark, f"{base}/executions", projections.EXECUTION_ROWS)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickledger import schemas as S
 from tickledger.functions import codec, keys
@@ -146,6 +147,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(events(spark, sf_dir))
 
 
+def spread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, made by as many tasks as there are cores however few the files: an event is far smaller than its record."""
+    return typed(events(spark, sf_dir).repartition(2 * spark.sparkContext.defaultParallelism, "event_id"))
+
+
 def envelope(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
     return to_envelope(records(spark, sf_dir), damaged)
 
@@ -173,8 +179,11 @@ def write_in_files(
     delay_ms = ((high - low) // files // 1000 + 1000) if lag else 0
     parts = max(1, -(-total // (files * part_rows)))
     number = F.floor((us - low) * files / (high - low + 1)) + (F.pmod("partition", F.lit(2)) if lag else 0)
+    # the records are made once, not once for each slice
+    rows.withColumn("_slice", number.cast("int")).write.partitionBy("_slice").parquet(f"{path}-slices")
+    sliced = spark.read.schema(T.StructType([*rows.schema, T.StructField("_slice", T.IntegerType())])).parquet(f"{path}-slices")
     for i in range(files + lag):
-        part = rows.where(number == i)
+        part = sliced.where(F.col("_slice") == i).drop("_slice")
         if closing and i == files + lag - 1:
             end = spark.range(1).select(F.timestamp_micros(F.lit(last + delay_ms * 1000)).alias("timestamp"))
             end = end.select("timestamp", F.lit(S.CREATE_TOPIC).alias("topic"), F.lit(0).alias("partition"), F.lit(-1).cast("long").alias("offset"), F.lit(codec.DELETE).alias("kind"), F.lit("").alias("domain"), F.lit("closing").alias("timer_uuid"))
