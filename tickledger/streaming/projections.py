@@ -188,7 +188,8 @@ def executions_handler(spark: SparkSession, path: str) -> Callable[[DataFrame, i
             days = [r.day for r in rows.select("day").distinct().collect()]
             stored = read_days(spark, path, days).where(F.col("batch_id") != batch_id)
             new = compaction.append_new(rows, stored).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            writer = new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            # the rows of a day come together, in as many files as their size asks for: not a file per task and day
+            writer = new.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("day", "batch_id").parquet(path)
         finally:
             rows.unpersist()
