@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ LARGEST_BITS = 22
 SAMPLE = 256
 FREQUENT = 200_000
 SLICE = 512 << 10
+PART_BITS = 1 << 15
 END_TOKEN = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -121,6 +123,34 @@ def slots(context: np.ndarray, place: np.ndarray, node: np.ndarray, width: int)
 # ---- the mixer
 
 
+def _votes(symbol: np.ndarray, place: np.ndarray, node: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of every bit, a constant one behind them, and the gate that chooses its weights."""
+    votes, gate = np.empty((PREDICTORS + 1, len(place)), np.float32), np.zeros(len(place), np.int8)
+    for k, context in enumerate(contexts(symbol)):
+        vote = model["tables"][k][slots(context, place, node, model["width"])]
+        np.maximum(gate, (vote != 0) * np.int8(k + 1), out=gate)
+        np.multiply(vote, np.float32(1 / 16), out=votes[k])
+    votes[PREDICTORS] = 0.3
+    return votes, gate
+
+
+def slopes(symbol: np.ndarray, model: dict, weights: np.ndarray) -> np.ndarray:
+    """Per gate the slope of the log-likelihood at ``weights``, its negated curvature, and the number of bits."""
+    place, node, bit = bits(symbol, np.flatnonzero(symbol != BEFORE), model["code"])
+    votes, gate = _votes(symbol, place, node, model)
+    out = np.zeros((GATES, PREDICTORS + 1, PREDICTORS + 3))
+    for g in range(GATES):
+        own = np.flatnonzero(gate == g)
+        out[g, :, -1] = len(own)
+        for i in range(0, len(own), PART_BITS):
+            at = own[i : i + PART_BITS]
+            vote = votes[:, at].astype(np.float64)
+            one = 1 / (1 + np.exp(-np.clip(weights[g] @ vote, -11, 11)))
+            out[g, :, 0] += vote @ (bit[at] - one)
+            out[g, :, 1:-1] += (vote * (one * (1 - one))) @ vote.T
+    return out
+
+
 def mix_bits(symbol, row, room, model, weights: np.ndarray, shared: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each row. Every row's weights begin at ``weights`` and learn block by block.
 
@@ -135,12 +165,7 @@ def mix_bits(symbol, row, room, model, weights: np.ndarray, shared: bool = False
     ends = np.concatenate([[0], np.cumsum(model["code"]["length"][symbol[at]])])
     cut = ends[np.searchsorted(block, np.arange(block[-1] + 2))] if len(at) else np.zeros(1, np.int64)
     own = row[place]
-    votes, gate = np.empty((PREDICTORS + 1, len(place)), np.float32), np.zeros(len(place), np.int8)
-    for k, context in enumerate(contexts(symbol)):
-        vote = model["tables"][k][slots(context, place, node, model["width"])]
-        np.maximum(gate, (vote != 0) * np.int8(k + 1), out=gate)
-        np.multiply(vote, np.float32(1 / 16), out=votes[k])
-    votes[PREDICTORS] = 0.3
+    votes, gate = _votes(symbol, place, node, model)
     keys = gate.astype(np.intp) if shared else own * GATES + gate
     sign = (bit * 2 - 1).astype(np.float32)
     n = GATES if shared else rows * GATES
@@ -188,8 +213,27 @@ def _slices(column: pa.Array):
         yield i, j, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
 
 
-def _tables(df: DataFrame, code: dict, width: int) -> list[np.ndarray]:
-    """Predictions of every context slot, in sixteenths of the logistic domain, from counts over all of ``df``."""
+def _symbol_counts(df: DataFrame) -> np.ndarray:
+    """How often each symbol stands in ``text``, over all rows."""
+
+    def run(batches):
+        seen = np.zeros(END + 1, np.int64)
+        for batch in batches:
+            seen[END] += batch.num_rows
+            for _, _, data, starts in X.by_slice(batch.column(0)):
+                data = X.LOWER[data]
+                seen[32] += len(X.words(data, starts, IN_WORD)[0])
+                seen[:END] += np.where(IN_WORD, np.bincount(data, minlength=END), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(END + 1)), pa.array(seen)], ["s", "c"])
+
+    out = np.zeros(END + 1, np.int64)
+    for s, c in df.mapInArrow(run, "s bigint, c bigint").groupBy("s").agg(F.sum("c")).collect():
+        out[s] = c
+    return out
+
+
+def _tables(df: DataFrame, code: dict, width: int) -> list[list[np.ndarray]]:
+    """Predictions of every context slot, in sixteenths of the logistic domain: by the counts of either half of ``df``, and of all of it."""
     sent = df.sparkSession.sparkContext.broadcast(code)
     per_task = max(1, df.sparkSession.sparkContext.defaultParallelism)
 
@@ -211,40 +255,69 @@ def _tables(df: DataFrame, code: dict, width: int) -> list[np.ndarray]:
             )
 
     def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 * BLOCK_SLOTS, np.int64)
-        for part in table.column("seen"):
+        total = np.zeros((3, 2 * BLOCK_SLOTS), np.int64)
+        for half, part in zip(table.column("half").to_pylist(), table.column("seen"), strict=True):
             own = np.frombuffer(part.as_py(), np.uint32)
-            total[: len(own)] += own
-        zero, one = total[0::2], total[1::2]
+            total[half, : len(own)] += own
+        total[2] = total[0] + total[1]
+        zero, one = total[:, 0::2], total[:, 1::2]
         vote = np.clip(np.rint(16 * np.log((one + 0.4) / (zero + 0.4))), -127, 127).astype(np.int8)
         return pa.table({"k": table.column("k")[:1], "n": table.column("n")[:1], "votes": pa.array([vote.tobytes()], pa.binary())})
 
     # one set of counts per core, not per file
-    parts = df.coalesce(per_task).mapInArrow(run, "k int, n int, seen binary")
-    rows = parts.groupBy("k", "n").applyInArrow(summed, "k int, n int, votes binary").toArrow()
-    tables = [np.zeros(max(1 << width, BLOCK_SLOTS), np.int8) for _ in range(PREDICTORS)]
-    for k, n, votes in zip(*(rows.column(c).to_pylist() for c in ("k", "n", "votes")), strict=True):
-        tables[k][n * BLOCK_SLOTS : (n + 1) * BLOCK_SLOTS] = np.frombuffer(votes, np.int8)
+    parts = [df.where(F.col("half") == half).select("text").coalesce(per_task).mapInArrow(run, "k int, n int, seen binary").withColumn("half", F.lit(half)) for half in (0, 1)]
+    rows = parts[0].union(parts[1]).groupBy("k", "n").applyInArrow(summed, "k int, n int, votes binary").toArrow()
+    tables = [[np.zeros(max(1 << width, BLOCK_SLOTS), np.int8) for _ in range(PREDICTORS)] for _ in range(3)]
+    for k, n, votes in zip(rows.column("k").to_pylist(), rows.column("n").to_pylist(), rows.column("votes"), strict=True):
+        for table, vote in zip(tables, np.frombuffer(votes.as_py(), np.int8).reshape(3, -1), strict=True):
+            table[k][n * BLOCK_SLOTS : (n + 1) * BLOCK_SLOTS] = vote
     return tables
 
 
-def _rehearse(sample: list[str], model: dict) -> np.ndarray:
-    """Weights after a few passes over texts that are not in the tables."""
+def _rehearse(sample: list[tuple[str, int]], halves: list[dict]) -> np.ndarray:
+    """Weights to start from: a few passes over some texts, each with the tables of the half that it is not in."""
     weights = np.full((GATES, PREDICTORS + 1), 0.4, np.float32)
     weights[:, PREDICTORS] = 0
-    column = pa.array(sample, pa.string())
+    columns = [pa.array([text for text, own in sample if own == half], pa.string()) for half in (0, 1)]
     for _ in range(3):
-        for _, _, data, starts in _slices(column):
-            symbol, row, room, _, _ = symbols(data, starts)
-            _, weights = mix_bits(symbol, row, room, model, weights, shared=True)
+        for half in (0, 1):
+            for _, _, data, starts in _slices(columns[half]):
+                symbol, row, room, _, _ = symbols(data, starts)
+                _, weights = mix_bits(symbol, row, room, halves[1 - half], weights, shared=True)
     return weights
 
 
+def _learnt(df: DataFrame, halves: list[dict], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after a Newton step from ``start`` over all rows of ``df``, and the number of bits that each gate saw.
+
+    The tables of a half predict the texts of the other one. What is summed are plain numbers, so the weights
+    do not depend on which task has which row.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((halves, start))
+
+    def run(batches):
+        halves, start = sent.value
+        total = np.zeros((GATES, PREDICTORS + 1, PREDICTORS + 3))
+        for batch in batches:
+            for half in (0, 1):
+                column = batch.column(0).filter(pc.equal(batch.column(1), half))
+                for _, _, data, starts in _slices(column):
+                    total += slopes(symbols(data, starts)[0], halves[1 - half], start)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["i", "x"])
+
+    total = np.zeros((GATES, PREDICTORS + 1, PREDICTORS + 3))
+    for i, x in df.select("text", "half").mapInArrow(run, "i bigint, x double").groupBy("i").agg(F.sum("x")).collect():
+        total.reshape(-1)[i] = x
+    sent.unpersist()
+    step = np.linalg.solve(total[:, :, 1:-1] + np.eye(PREDICTORS + 1), total[:, :, :1])[:, :, 0]
+    return (start + np.clip(step, -1, 1)).astype(np.float32), total[:, 0, -1].astype(np.int64)
+
+
 def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """``df`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``bits``, ``score``.
 
-    ``learn`` marks the rows to learn from. Token counts cover all of them, the context counts all
-    but ``sample`` rows of lowest hash, on which the mixing weights are trained. ``base_score`` is the
+    ``learn`` marks the rows to learn from. Token, symbol and context counts and the mixing weights cover all
+    of them; ``sample`` rows of lowest hash only say where the weights begin. ``base_score`` is the
     add-half unigram score, ``score`` the mixing model's; both are log10 probabilities of the text's
     tokens. Null, empty and wordless texts have the end token only. Rows are scored alone, equal
     texts alike. Without training rows all contexts are unseen. Tokens are told apart by 64-bit
@@ -256,6 +329,7 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     df, named = X.shielded(df.withColumn(mark, learn).drop(*made), key=key, text=text, learn=mark)
     key, text = "own_key", "own_text"
     training = df.where("own_learn").select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.lit("rehearsal"), key, text).alias("_drawn"))
+    training = training.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int"))  # copies are in one half
     counts = X.stored(_tokens(training.select("text")), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     common, known = _common(counts, frequent)
@@ -263,14 +337,12 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     size, rows = training.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     limit = int(min(1.0, sample / max(rows, 1)) * (2**64 - 1)) - 2**63  # about ``sample`` rows, at most a quarter
     limit = limit if rows >= 4 * sample else -(2**63) + (2**62 if rows > 1 else 0)
-    rehearsal = [r[0] for r in training.where(F.col("_drawn") < limit).select("text").toLocalIterator()]
+    rehearsal = [tuple(r) for r in training.where(F.col("_drawn") < limit).select("text", "half").toLocalIterator()]
     width = int(min(LARGEST_BITS, max(16, math.ceil(math.log2(max(size, 1) / 128 + 1)))))
-    seen = np.ones(257, np.int64)
-    for _, _, data, starts in _slices(pa.array(rehearsal, pa.string())):
-        seen += np.bincount(symbols(data, starts)[0], minlength=258)[:257] * 16
-    model = {"code": prefix_code(seen), "width": width}
-    model["tables"] = _tables(training.where(F.col("_drawn") >= limit).select("text"), model["code"], width)
-    model["weights"] = _rehearse(rehearsal, model)
+    model = {"code": prefix_code(1 + _symbol_counts(training.select("text"))), "width": width}
+    *halves, model["tables"] = _tables(training, model["code"], width)
+    halves = [model | {"tables": tables} for tables in halves]
+    model["weights"] = _learnt(training, halves, _rehearse(rehearsal, halves))[0]
     model["common"], model["known"] = common, known
     df = df.drop("own_learn")
     return named(_joined(_scored(df, text, model), counts, n, v, df.columns))
