@@ -182,17 +182,42 @@ def executions_handler(spark: SparkSession, path: str) -> Callable[[DataFrame, i
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = compaction.executions(codec.decode_records(batch))
-        rows = rows.withColumn("day", F.to_date("kafka_timestamp")).persist(StorageLevel.MEMORY_AND_DISK)
+        insert_executions(spark, codec.decode_records(batch), path, batch_id)
+
+    return handle
+
+
+def insert_executions(spark: SparkSession, records: DataFrame, path: str, batch_id: int) -> None:
+    """Executions of some decoded records that ``path`` does not hold yet, see ``executions_handler``."""
+    rows = compaction.executions(records)
+    rows = rows.withColumn("day", F.to_date("kafka_timestamp")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        days = [r.day for r in rows.select("day").distinct().collect()]
+        stored = read_days(spark, path, days).where(F.col("batch_id") != batch_id)
+        new = rows if stored.isEmpty() else compaction.append_new(rows, stored)
+        new = new.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        # the rows of a day come together, in as many files as their size asks for: not a file per task and day
+        writer = new.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch_id").parquet(path)
+    finally:
+        rows.unpersist()
+
+
+def execute_log_handler(spark: SparkSession, executions: str, progress: str, every: int = FOLD_EVERY) -> Callable[[DataFrame, int], None]:
+    """Executions and progress of an execution log, each batch decoded once for both; a batch may run again.
+
+    Both tables are as ``executions_handler`` and ``progress_handler`` make them.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        records = codec.decode_records(batch.where(F.col("topic") == S.EXECUTE_TOPIC))
+        # lost blocks are decoded again
+        records = records.drop("create", "key", "value", "headers").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            days = [r.day for r in rows.select("day").distinct().collect()]
-            stored = read_days(spark, path, days).where(F.col("batch_id") != batch_id)
-            new = compaction.append_new(rows, stored).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            # the rows of a day come together, in as many files as their size asks for: not a file per task and day
-            writer = new.hint("rebalance", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy("day", "batch_id").parquet(path)
+            insert_executions(spark, records, executions, batch_id)
+            add_batch(compaction.progress_latest(records), progress, batch_id, PROGRESS_CHANGES, current_progress, every)
         finally:
-            rows.unpersist()
+            records.unpersist()
 
     return handle
 
