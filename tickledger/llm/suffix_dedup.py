@@ -6,8 +6,9 @@ agree, so a comparison takes logarithmic time, and a merge sort orders them. Equ
 verified byte by byte.
 
 Only suffixes that can matter are sorted. Each window of ``LENGTH`` bytes belongs to an anchor, the
-``GRAM`` bytes in it that hash lowest, so equal windows have equal anchors. Anchors of one
-document only are found by an exchange of short fingerprints. The windows of the others travel
+``GRAM`` bytes in it that hash lowest, so equal windows have equal anchors, and the same bytes before
+and behind them: ``REACH`` bytes of context at least on one side. Anchors that no other document has
+with that context are found by an exchange of short fingerprints. The windows of the others travel
 with the few bytes around their anchor, equal surroundings once, and are sorted per anchor.
 """
 
@@ -23,7 +24,9 @@ from tickledger.llm import texts as X
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1  # grams of a window, and the most windows of an anchor
+REACH = (LENGTH - GRAM) // 2
 CHUNK_BYTES = 4 << 20
+SLICE = 512 << 10
 RANGE_PRINTS = 1 << 20
 SORT_SUFFIXES = 1 << 20
 EVERY = (1 << WIDTH) - 1
@@ -37,10 +40,11 @@ def segments(data: np.ndarray, starts: np.ndarray):
     n = len(data) - LENGTH + 1
     if n <= 0:
         return none, none, none, none, none.view(np.uint64), sums
-    at = np.arange(len(data) - GRAM + 1)
-    grams = X.span_hashes(sums, at, at + GRAM)
+    grams = X.hashes_of_length(sums, GRAM)
     bits = np.uint64(len(data).bit_length())
-    lowest = (grams >> bits << bits) | at.astype(np.uint64)  # the leftmost of equal hashes wins
+    lowest = grams >> bits
+    lowest <<= bits
+    lowest |= np.arange(len(grams), dtype=np.uint64)  # the leftmost of equal hashes wins
     for step in (1, 2, 4, 8):
         lowest = np.minimum(lowest[:-step], lowest[step:])
     lowest = np.minimum(lowest[:n], lowest[WIDTH - 16 : WIDTH - 16 + n])
@@ -58,10 +62,24 @@ def segments(data: np.ndarray, starts: np.ndarray):
     return begin, end, row, cut - begin, X.mix(grams[cut]), sums
 
 
+def contexts(begin: np.ndarray, end: np.ndarray, lead: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of anchors with ``REACH`` bytes before them or behind them, and the segment of each.
+
+    A window has that many bytes on one side of its anchor at least, so two equal windows share such a
+    context. A side that no window of a segment reaches gives none.
+    """
+    place = begin + lead
+    left = np.flatnonzero(lead >= REACH)
+    right = np.flatnonzero(place - (end - 1) <= LENGTH - GRAM - REACH)
+    before = X.span_hashes(sums, place[left] - REACH, place[left] + GRAM)
+    behind = X.span_hashes(sums, place[right], place[right] + LENGTH - REACH)
+    return np.concatenate([before, ~behind]), np.concatenate([left, right])
+
+
 class Chunk:
     """Bytes of the rows of a chunk, and the segments of those that have a key."""
 
-    def __init__(self, table: pa.Table, key: int, text: int):
+    def __init__(self, table: pa.Table, key: int, text: int, with_contexts: bool = False):
         table = table.combine_chunks()
         column = table.column(text)
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
@@ -69,31 +87,41 @@ class Chunk:
         ids = table.column(key)
         self.known = ids.is_valid().to_numpy()
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
-        parts = []
-        for i, j in X.slices(starts):
+        parts, near, count = [], [], 0
+        for i, j in X.slices(starts, SLICE):
             own, places = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
             begin, end, row, lead, anchor, sums = segments(own, places)
+            use = self.known[row + i]
+            begin, end, row, lead, anchor = (c[use] for c in (begin, end, row, lead, anchor))
             around = X.span_hashes(sums, begin, end + LENGTH - 1)
             parts.append((begin + starts[i], end + starts[i], row + i, lead, anchor, around))
+            if with_contexts:
+                context, segment = contexts(begin, end, lead, sums)
+                near.append((context, segment + count))
+            count += len(begin)
         self.data, self.starts, self.table = data, starts, table
         empty = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
-        joined = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else empty
-        use = self.known[joined[2]]
-        self.begin, self.end, self.row, self.lead, self.anchor, self.around = (c[use] for c in joined)
+        self.begin, self.end, self.row, self.lead, self.anchor, self.around = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else empty
+        self.context, self.segment = (np.concatenate(c) for c in zip(*near, strict=True)) if near else (empty[4], empty[0])
 
     def prints(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Range and short fingerprint of each distinct anchor, in order, and whether two rows here have it."""
-        row, anchor = X.distinct_pairs(self.row, self.anchor)
-        anchor, first, count = np.unique(anchor, return_index=True, return_counts=True)
-        order = np.lexsort((anchor >> np.uint64(32), anchor % np.uint64(ranges)))
-        return anchor[order], (anchor % np.uint64(ranges)).astype(np.int64)[order], count[order] > 1
+        """Each distinct context by range and short fingerprint, its range, and whether two rows here have it."""
+        order = np.argsort(self.context)
+        context, row = self.context[order], self.row[self.segment[order]]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), context[1:] != context[:-1]]))
+        if not len(first):
+            return context, first, first.astype(bool)
+        context, several = context[first], np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
+        of = (context % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+        order = np.argsort(of, kind="stable")
+        return context[order], of[order].astype(np.int64), several[order]
 
 
 def _fingerprints(key: int, text: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("_chunk")[0].as_py()
-        anchor, of, _ = Chunk(table, key, text).prints(ranges)
-        short = (anchor >> np.uint64(32)).astype(np.uint32)
+        context, of, _ = Chunk(table, key, text, True).prints(ranges)
+        short = (context >> np.uint64(32)).astype(np.uint32)
         cut = np.searchsorted(of, np.arange(ranges + 1))
         used = [r for r in range(ranges) if cut[r] < cut[r + 1]]
         blobs = [short[cut[r] : cut[r + 1]].tobytes() for r in used]
@@ -117,42 +145,38 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"_chunk": table.column("_chunk"), "_range": table.column("_range"), "shared": pa.array(masks, pa.binary())})
 
 
-def _surroundings(key: int, text: int, ranges: int, content: bool):
-    """Surroundings of the anchors that another document has too, each once per chunk.
+def _surroundings(key: int, text: int, ranges: int):
+    """Surroundings of the anchors whose context another document has too, each once per chunk.
 
-    With ``content`` their bytes, with the smallest and largest key of the chunk; else only their hashes.
+    Their bytes go with the chunk and the smallest and largest key in it.
     """
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        columns, around = [none] * (4 if content else 2), pa.array([], pa.binary())
+        columns, around = [np.zeros(0, np.int64)] * 5, pa.array([], pa.binary())
         if table.num_rows:
-            chunk = Chunk(table, key, text)
-            anchor, of, several = chunk.prints(ranges)
+            chunk = Chunk(table, key, text, True)
+            context, of, several = chunk.prints(ranges)
             cut = np.searchsorted(of, np.arange(ranges + 1))
             for r, mask in zip(replies.column("_range").to_pylist(), replies.column("shared").to_pylist(), strict=True):
                 size = cut[r + 1] - cut[r]
                 several[cut[r] : cut[r + 1]] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=size).astype(bool)
-            hit = np.flatnonzero(np.isin(chunk.anchor, anchor[several]))
+            candidate = np.zeros(len(chunk.begin), bool)
+            candidate[chunk.segment[np.isin(chunk.context, context[several])]] = True
+            hit = np.flatnonzero(candidate)
             ids = chunk.ids[chunk.row[hit]]
             order = np.lexsort((ids, chunk.around[hit]))
             at, ids = hit[order], ids[order]
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), np.diff(chunk.around[at].view(np.int64)) != 0]))
             last = np.append(first[1:], len(at)) - 1 if len(at) else first
             low, high, at = ids[first], ids[last], at[first]
-            if content:
-                begin, end = chunk.begin[at], chunk.end[at] + LENGTH - 1
-                size = end - begin
-                flat = chunk.data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
-                places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                around = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
-                columns = [chunk.anchor[at].view(np.int64), chunk.lead[at], low, high]
-            else:
-                number = table.column("_chunk")[0].as_py()
-                columns = [np.full(len(at), number), chunk.around[at].view(np.int64)]
-        if content:
-            return pa.table([*(pa.array(c, pa.int64()) for c in columns), around], ["anchor", "lead", "low", "high", "bytes"])
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["_chunk", "around"])
+            begin, end = chunk.begin[at], chunk.end[at] + LENGTH - 1
+            size = end - begin
+            flat = chunk.data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+            places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            around = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
+            number = table.column("_chunk")[0].as_py()
+            columns = [np.full(len(at), number), chunk.anchor[at].view(np.int64), chunk.lead[at], low, high]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns), around], ["_chunk", "anchor", "lead", "low", "high", "bytes"])
 
     return run
 
@@ -236,7 +260,7 @@ def first_documents(data: np.ndarray, starts: np.ndarray, lead: np.ndarray, anch
 
 
 def _sorted_masks(batches):
-    """Streams surroundings in anchor order and sorts them, whole anchors at a time."""
+    """Streams surroundings in anchor order and sorts them, whole anchors at a time; each chunk is told about its own."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -251,13 +275,15 @@ def _sorted_masks(batches):
         edge = np.flatnonzero(np.concatenate([[True], np.diff(around[order]) != 0]))
         first = np.minimum.reduceat(table.column("low").to_numpy()[order], edge)
         last = np.maximum.reduceat(table.column("high").to_numpy()[order], edge)
-        at = order[edge]
-        around, size = around[at], np.diff(starts)[at]
+        at, group = order[edge], np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
+        own, size = around, np.diff(starts)[at]
         data = data[np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)]
         starts = np.concatenate([[0], np.cumsum(size)])
         masks = first_documents(data, starts, table.column("lead").to_numpy()[at], table.column("anchor").to_numpy()[at], first)
-        use = (masks != 0) | (last > first)  # others change nothing
-        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (around, first, masks)], ["around", "first", "mask"])
+        use = ((masks != 0) | (last > first))[group]  # others change nothing
+        columns = table.column("_chunk").to_numpy(), own, first[group], masks[group]
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["_chunk", "around", "first", "mask"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -329,7 +355,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     session = df.sparkSession
     total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_BYTES))
-    ranges = max(1, -(-total // 16 // RANGE_PRINTS))
+    ranges = max(1, -(-total // 11 // RANGE_PRINTS))
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), min(chunks, 100_000))
     rows = df.withColumn("_chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("long")).repartition(parts, "_chunk")
 
@@ -337,13 +363,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     replies = prints.groupBy("_range").applyInArrow(_repeated, "_chunk bigint, _range int, shared binary")
     both = rows.groupBy("_chunk").cogroup(replies.groupBy("_chunk"))
     found = both.applyInArrow(
-        _surroundings(at, content, ranges, True), "anchor bigint, lead bigint, low bigint, high bigint, bytes binary"
+        _surroundings(at, content, ranges), "_chunk bigint, anchor bigint, lead bigint, low bigint, high bigint, bytes binary"
     )
-    masks = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _sorted_masks, "around bigint, first bigint, mask bigint"
+    marks = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
+        _sorted_masks, "_chunk bigint, around bigint, first bigint, mask bigint"
     )
-    asked = both.applyInArrow(_surroundings(at, content, ranges, False), "_chunk bigint, around bigint")
-    marks = asked.join(masks, "around").select("_chunk", "around", "first", "mask")
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string("removed array<struct<begin:int,end:int>>, kept binary").fields])
     return named(rows.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(_cut(at, content, names), schema))
 

@@ -82,6 +82,15 @@ def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[begin]) * down[begin] + length * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes_of_length(sums: np.ndarray, length: int) -> np.ndarray:
+    """``span_hashes`` of all spans of one length, in order of their place."""
+    _, down = powers(len(sums))
+    h = sums[length:] - sums[:-length]
+    h *= down[: len(h)]
+    h += np.uint64(length * 0xD6E8FEB86659FD93 % 2**64)
+    return mix(h)
+
+
 def words(data: np.ndarray, starts: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and row of every maximal run of word bytes; runs never cross rows."""
     inside = in_word[data]
