@@ -61,3 +61,19 @@ def test_the_chunks_are_cut_into_segments_three_times_and_joined_never(spark):
     df = spark.createDataFrame([(1, "x" * 60)], "doc_id long, text string")
     plan = D.dedup(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 2 and "Join" not in plan
+
+
+def test_keys_at_the_ends_of_their_range(spark, monkeypatch):
+    text, keys = text_of(120, 7), [-(1 << 63), (1 << 63) - 1, 0]
+    for size in (1, 4 << 20):  # in chunks of their own and in one
+        monkeypatch.setattr(D, "CHUNK_BYTES", size)
+        got = {r.doc_id: len(r.kept) for r in D.dedup(spark.createDataFrame([(k, text) for k in keys], "doc_id long, text string")).collect()}
+        assert got == {keys[0]: 120, keys[1]: 0, keys[2]: 0}
+
+
+def test_half_of_the_hash_of_an_anchor_travels():
+    texts = pa.table({"id": [1, 2], "text": [text_of(120, 3)] * 2, "_chunk": [0, 0]})
+    replies = pa.table({"_chunk": pa.array([], pa.int64()), "_range": pa.array([], pa.int32()), "shared": pa.array([], pa.binary())})
+    made = D._surroundings(0, 1, 1)(texts, replies)
+    assert made.num_rows and made.schema.field("anchor").type == pa.int32()
+    assert made.column("more").to_pylist() == [1] * made.num_rows

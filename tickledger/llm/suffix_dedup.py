@@ -148,11 +148,13 @@ def _repeated(table: pa.Table) -> pa.Table:
 def _surroundings(key: int, text: int, ranges: int):
     """Surroundings of the anchors whose context another document has too, each once per chunk.
 
-    Their bytes go with the chunk and the smallest and largest key in it.
+    Their bytes go with the chunk, the smallest key in it and how far the largest is from it. Half of the hash of
+    the anchor is enough to bring equal ones together, and the numbers are small, so that they take little room.
     """
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        columns, around = [np.zeros(0, np.int64)] * 5, pa.array([], pa.binary())
+        columns, around = [np.zeros(0, np.int64)] * 4, pa.array([], pa.binary())
+        anchor = np.zeros(0, np.uint32)
         if table.num_rows:
             chunk = Chunk(table, key, text, True)
             context, of, several = chunk.prints(ranges)
@@ -175,8 +177,10 @@ def _surroundings(key: int, text: int, ranges: int):
             places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             around = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(flat.tobytes())])
             number = table.column("_chunk")[0].as_py()
-            columns = [np.full(len(at), number), chunk.anchor[at].view(np.int64), chunk.lead[at], low, high]
-        return pa.table([*(pa.array(c, pa.int64()) for c in columns), around], ["_chunk", "anchor", "lead", "low", "high", "bytes"])
+            columns = [np.full(len(at), number), chunk.lead[at], low, high - low]  # a difference may wrap, and wraps back
+            anchor = (chunk.anchor[at] >> np.uint64(32)).astype(np.uint32)
+        columns = [pa.array(c, pa.int64()) for c in columns]
+        return pa.table([pa.array(anchor.view(np.int32)), *columns, around], ["anchor", "_chunk", "lead", "low", "more", "bytes"])
 
     return run
 
@@ -273,14 +277,15 @@ def _sorted_masks(batches):
         # equal surroundings of several chunks are one
         order = np.argsort(around, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], np.diff(around[order]) != 0]))
-        first = np.minimum.reduceat(table.column("low").to_numpy()[order], edge)
-        last = np.maximum.reduceat(table.column("high").to_numpy()[order], edge)
+        low, more = table.column("low").to_numpy(), table.column("more").to_numpy()
+        first = np.minimum.reduceat(low[order], edge)
+        last = np.maximum.reduceat((low + more)[order], edge)
         at, group = order[edge], np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
         own, size = around, np.diff(starts)[at]
         data = data[np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)]
         starts = np.concatenate([[0], np.cumsum(size)])
-        masks = first_documents(data, starts, table.column("lead").to_numpy()[at], table.column("anchor").to_numpy()[at], first)
+        masks = first_documents(data, starts, table.column("lead").to_numpy()[at], table.column("anchor").to_numpy()[at].astype(np.int64), first)
         use = ((masks != 0) | (last > first))[group]  # others change nothing
         columns = table.column("_chunk").to_numpy(), own, first[group], masks[group]
         return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in columns], ["_chunk", "around", "first", "mask"])
@@ -363,7 +368,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     replies = prints.groupBy("_range").applyInArrow(_repeated, "_chunk bigint, _range int, shared binary")
     both = rows.groupBy("_chunk").cogroup(replies.groupBy("_chunk"))
     found = both.applyInArrow(
-        _surroundings(at, content, ranges), "_chunk bigint, anchor bigint, lead bigint, low bigint, high bigint, bytes binary"
+        _surroundings(at, content, ranges), "anchor int, _chunk bigint, lead bigint, low bigint, more bigint, bytes binary"
     )
     marks = found.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(
         _sorted_masks, "_chunk bigint, around bigint, first bigint, mask bigint"
