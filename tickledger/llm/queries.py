@@ -70,11 +70,11 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
     held_out = X.remainder("doc_id", 5) == 1
-    rows = context_mixing.score(read(spark, sf, "documents").select("doc_id", "text"), learn=~held_out)
-    n_bytes = F.octet_length(shuffle_shards.text_bytes("text"))
+    documents = read(spark, sf, "documents").select("doc_id", "text", F.octet_length(shuffle_shards.text_bytes("text")).alias("n_bytes"))
+    rows = context_mixing.score(documents, learn=~held_out, keep=["doc_id", "n_bytes"])
     return rows.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
-        (F.col("bits") / F.greatest(n_bytes, F.lit(1))).alias("bits_per_byte"),
+        (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

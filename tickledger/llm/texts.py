@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,13 +160,13 @@ def forget_texts() -> None:
             value.forget()
 
 
-def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, ddl: str, function: Callable[[pa.RecordBatch], list[pa.Array]], without: Iterable[str] = ()) -> DataFrame:
     """``df`` with the columns of ``ddl`` that ``function`` makes of each Arrow batch.
 
-    A column of ``df`` with the name of a new one is replaced. Batches are cut to about ``PART_BYTES``.
+    A column of ``df`` with the name of a new one is replaced, those of ``without`` end here. Batches are cut to about ``PART_BYTES``.
     """
     new = T._parse_datatype_string(ddl)
-    taken = {name.lower() for name in new.names}
+    taken = {name.lower() for name in [*new.names, *without]}
     keep = [i for i, field in enumerate(df.schema.fields) if field.name.lower() not in taken]
     schema = T.StructType([df.schema.fields[i] for i in keep] + new.fields)
     names = schema.names
