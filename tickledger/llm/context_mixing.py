@@ -34,10 +34,11 @@ BLOCK = 512
 RATE = 1.0
 BLOCK_SLOTS = 4096
 LARGEST_BITS = 22
+SENT_BLOCKS = 64
 SAMPLE = 256
 FREQUENT = 200_000
 SLICE = 512 << 10
-LEARN_SLICE = 1 << 20
+LEARN_SLICE = 768 << 10
 PART = 1 << 16
 SCALE = np.array([1 / 16] * PREDICTORS + [0.3])
 PART_BITS = 1 << 13  # products of this size stay in one thread
@@ -350,12 +351,13 @@ def _tables(df: DataFrame, code: dict, width: int) -> list[list[np.ndarray]]:
                         np.add.at(seen[k], slots(context[at], size, node, width) * 2 + bit, count)
         step = 2 * BLOCK_SLOTS
         for k in range(PREDICTORS):
-            parts = [(n, seen[k, n * step : (n + 1) * step]) for n in range(-(-(2 << width) // step))]
-            parts = [(n, p) for n, p in parts if p.any()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * len(parts), pa.int32()), pa.array([n for n, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())],
-                ["k", "n", "seen"],
-            )
+            for begin in range(0, -(-(2 << width) // step), SENT_BLOCKS):  # few at a time: they are copied on their way
+                parts = [(n, seen[k, n * step : (n + 1) * step]) for n in range(begin, begin + SENT_BLOCKS)]
+                parts = [(n, p) for n, p in parts if p.any()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * len(parts), pa.int32()), pa.array([n for n, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())],
+                    ["k", "n", "seen"],
+                )
 
     def summed(table: pa.Table) -> pa.Table:
         total = np.zeros((3, 2 * BLOCK_SLOTS), np.int64)
