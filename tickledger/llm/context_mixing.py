@@ -42,7 +42,7 @@ LEARN_SLICE = 768 << 10
 PART = 1 << 16
 SCALE = np.array([1 / 16] * PREDICTORS + [0.3])
 PART_BITS = 1 << 13  # products of this size stay in one thread
-LOWERED = X.LOWER.astype(np.int64)
+SYMBOLS = np.where(IN_WORD, X.LOWER, 32).astype(np.int64)
 TOKEN_VALUES = np.append(X.BYTE_VALUES, np.zeros(2, np.uint64))
 VALUES = (X.mix(np.arange(BEFORE + 1, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
 ODD = np.uint32(0x9E3779B1)
@@ -67,7 +67,7 @@ def laid_out(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     inside = IN_WORD[raw]
     keep = inside.copy()
     keep[1:] |= inside[:-1]
-    out = np.where(inside, LOWERED[raw], 32)
+    out = SYMBOLS[raw]
     out[ends] = END
     keep[ends] = True
     for k in range(PAD):
@@ -199,7 +199,7 @@ def _votes(found: list[np.ndarray], at: np.ndarray, begin: np.ndarray, size: np.
     out[:, PREDICTORS] = 2 * model["code"]["bit"][step] - 1
     for k, context in enumerate(found):
         vote = model["tables"][k][slots(context[at], size, node, model["width"])]
-        gate[vote != 0] = k + 1
+        np.maximum(gate, (vote != 0) * np.int8(k + 1), out=gate)
         np.multiply(vote, out[:, PREDICTORS], out=out[:, k])
     out[:, PREDICTORS + 1] = gate
     return out.view(np.int64)[:, 0]
